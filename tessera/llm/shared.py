@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,13 @@ def n_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; of null or an empty text, none."""
-    bare = F.trim(F.translate(F.coalesce(text, F.lit("")), _SPACES[1:], " " * (len(_SPACES) - 1)))
-    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
+    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, though body's lambda functions may read it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
