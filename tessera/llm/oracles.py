@@ -21,4 +21,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op5_benchmark_decontamination": OP5}
+OP7 = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+    CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END AS bare FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_replace(regexp_replace(lower(bare), '[0-9]', '0', 'g'), '[^\x20-\x7E]', '~', 'g') AS folded FROM parts
+), judged AS (
+  SELECT page_id, host, path, folded, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split
+), labelled AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NULL THEN '' ELSE 'block' END AS label FROM judged
+), urls AS (SELECT folded, label, count(*) AS n FROM labelled GROUP BY folded, label),
+steps AS (SELECT folded, label, n, substr('^^^' || folded, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(folded) + 1)) AS i FROM urls)),
+counts AS (SELECT gram, coalesce(sum(n) FILTER (label = 'allow'), 0) AS a, coalesce(sum(n) FILTER (label = 'block'), 0) AS r FROM steps GROUP BY gram),
+seen AS (SELECT * FROM counts WHERE a + r > 0),
+g AS (SELECT k, right(gram, k + 1) AS g, sum(a) AS ga, sum(r) AS gr FROM seen CROSS JOIN range(0, 4) t(k) GROUP BY ALL),
+x AS (SELECT k, left(g, k) AS x, sum(ga) AS xa, sum(gr) AS xr, count(*) FILTER (ga > 0) AS ta, count(*) FILTER (gr > 0) AS tr FROM g GROUP BY ALL),
+p AS (
+  SELECT gram, list(struct_pack(ga := coalesce(ga, 0)::DOUBLE, gr := coalesce(gr, 0)::DOUBLE, xa := coalesce(xa, 0)::DOUBLE, xr := coalesce(xr, 0)::DOUBLE, ta := coalesce(ta, 0)::DOUBLE, tr := coalesce(tr, 0)::DOUBLE) ORDER BY t.k) AS l
+  FROM counts CROSS JOIN range(0, 4) t(k) LEFT JOIN g ON g.k = t.k AND g.g = right(gram, (t.k + 1)) LEFT JOIN x ON x.k = t.k AND x.x = left(right(gram, (t.k + 1)), t.k) GROUP BY gram
+), p0 AS (SELECT gram, l, 1.0::DOUBLE / 70 AS a, 1.0::DOUBLE / 70 AS r FROM p),
+p1 AS (SELECT gram, l, CASE WHEN l[1].xa = 0 THEN a ELSE (l[1].ga + l[1].ta * a) / (l[1].xa + l[1].ta) END AS a, CASE WHEN l[1].xr = 0 THEN r ELSE (l[1].gr + l[1].tr * r) / (l[1].xr + l[1].tr) END AS r FROM p0),
+p2 AS (SELECT gram, l, CASE WHEN l[2].xa = 0 THEN a ELSE (l[2].ga + l[2].ta * a) / (l[2].xa + l[2].ta) END AS a, CASE WHEN l[2].xr = 0 THEN r ELSE (l[2].gr + l[2].tr * r) / (l[2].xr + l[2].tr) END AS r FROM p1),
+p3 AS (SELECT gram, l, CASE WHEN l[3].xa = 0 THEN a ELSE (l[3].ga + l[3].ta * a) / (l[3].xa + l[3].ta) END AS a, CASE WHEN l[3].xr = 0 THEN r ELSE (l[3].gr + l[3].tr * r) / (l[3].xr + l[3].tr) END AS r FROM p2),
+p4 AS (SELECT gram, CASE WHEN l[4].xa = 0 THEN a ELSE (l[4].ga + l[4].ta * a) / (l[4].xa + l[4].ta) END AS a, CASE WHEN l[4].xr = 0 THEN r ELSE (l[4].gr + l[4].tr * r) / (l[4].xr + l[4].tr) END AS r FROM p3),
+scored AS (SELECT folded, label, n, round(avg(ln(a) - ln(r)), 6) AS score FROM steps JOIN p4 USING (gram) GROUP BY folded, label, n),
+bins AS (SELECT floor(score * 100) AS bin, coalesce(sum(n) FILTER (label = 'allow'), 0) AS a, coalesce(sum(n) FILTER (label = 'block'), 0) AS b FROM scored WHERE label <> '' GROUP BY 1),
+errors AS (
+  SELECT bin / 100 AS lim, coalesce(sum(a) OVER w, 0) AS lost, sum(b) OVER () - coalesce(sum(b) OVER w, 0) AS let, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), best AS (SELECT lim FROM errors WHERE all_a > 0 AND all_b > 0 ORDER BY round(lost / all_a + let / all_b, 9), abs(lim), lim LIMIT 1)
+SELECT page_id, host, path, rule, CASE WHEN l.label <> '' THEN l.label WHEN coalesce(score, 0) >= coalesce((SELECT lim FROM best), 0) THEN 'allow' ELSE 'block' END AS verdict
+FROM labelled l LEFT JOIN scored s ON s.label = '' AND s.folded = l.folded
+"""
+
+SQL = {"op7_url_filter": OP7, "op5_benchmark_decontamination": OP5}
