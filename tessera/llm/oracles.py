@@ -2,6 +2,54 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line, CAST('0x' || left(md5(l[i]), 7) AS BIGINT) AS v, len(l) AS n_lines
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), cuts AS (
+  SELECT *, coalesce((31 * lag(v) OVER w + v) % 3 = 0, false) AS is_end FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts
+), chunks AS (
+  SELECT doc_id, k, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, k
+), gone AS (
+  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, start) AS r FROM chunks WHERE n >= 2) WHERE r > 1
+)
+SELECT doc_id, CAST(any_value(n_lines) AS BIGINT) AS n_lines, CAST(count(g.doc_id) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.doc_id IS NULL), '')) AS kept_sha256
+FROM numbered LEFT JOIN gone g USING (doc_id, k) GROUP BY doc_id
+"""
+
+_SHARE = """
+  SELECT {path}, least(capacity, greatest(CAST(CASE WHEN is_full THEN capacity ELSE floor(weight * water) END AS BIGINT), 0)) AS given FROM (
+    SELECT *, min(CASE WHEN NOT is_full THEN struct_pack(r := r, lv := lv) END) OVER (PARTITION BY {parent}).lv AS water FROM (
+      SELECT *, capacity <= weight * lv AS is_full FROM (
+        SELECT *, (given - coalesce(sum(capacity) OVER b, 0)) / CAST(sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS lv, row_number() OVER o AS r
+        FROM ({nodes}) WHERE weight > 0
+        WINDOW o AS (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / weight, {child}), b AS (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      )
+    )
+  )
+"""
+OP2 = rf"""
+WITH own AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+    CASE WHEN num = '' THEN 'other' WHEN length(num) = 1 THEN CASE WHEN num < '5' THEN 'web' ELSE 'books' END WHEN num < '15' THEN 'code' ELSE 'news' END AS domain
+  FROM (SELECT *, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS num FROM documents)
+), leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM own GROUP BY ALL),
+g0 AS (SELECT floor(sum(tokens) * 80 / 100)::BIGINT AS given FROM leaves),
+g1 AS ({_SHARE.format(path="domain", parent="1", child="domain", nodes="SELECT domain, sum(tokens)::BIGINT * 2 AS capacity, CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 30 WHEN 'code' THEN 20 WHEN 'news' THEN 10 ELSE 1 END AS weight, any_value(g0.given) AS given FROM leaves, g0 GROUP BY domain")}),
+g2 AS ({_SHARE.format(path="domain, lang", parent="domain", child="lang", nodes="SELECT domain, lang, sum(tokens)::BIGINT * 2 AS capacity, CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 ELSE 1 END AS weight, any_value(g1.given) AS given FROM leaves JOIN g1 USING (domain) GROUP BY domain, lang")}),
+g3 AS ({_SHARE.format(path="domain, lang, source", parent="domain, lang", child="source", nodes="SELECT domain, lang, source, sum(tokens)::BIGINT * 2 AS capacity, 1 AS weight, any_value(g2.given) AS given FROM leaves JOIN g2 USING (domain, lang) GROUP BY domain, lang, source")}),
+allotted AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS rest FROM leaves JOIN g3 USING (domain, lang, source) WHERE given > 0),
+taken AS (
+  SELECT o.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || whole || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM own o JOIN allotted USING (domain, lang, source) WHERE n_tokens > 0
+)
+SELECT doc_id, o.domain, o.lang, o.source, CAST(o.n_tokens AS BIGINT) AS n_tokens, CAST(coalesce(t.whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END, 0) AS BIGINT) AS copies
+FROM own o LEFT JOIN taken t USING (doc_id)
+"""
+
 OP5 = r"""
 WITH own AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
@@ -60,4 +108,4 @@ SELECT page_id, host, path, rule, CASE WHEN l.label <> '' THEN l.label WHEN coal
 FROM labelled l LEFT JOIN scored s ON s.label = '' AND s.folded = l.folded
 """
 
-SQL = {"op7_url_filter": OP7, "op5_benchmark_decontamination": OP5}
+SQL = {"op1_line_dedup": OP1, "op2_source_mixing": OP2, "op7_url_filter": OP7, "op5_benchmark_decontamination": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_extract, quality, simhash, substring_dedup, suffix_dedup, token_records, url_filter
+from tessera.llm import decontaminate, html_extract, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def mixture() -> list[mixing.Level]:
+    """The tree of the query and the pipeline: a domain by the source's number, the language, the source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    domain = F.when(number == "", "other").when(F.length(number) == 1, F.when(number < "5", "web").otherwise("books")).when(number < "15", "code").otherwise("news")
+    return [
+        mixing.Level("domain", domain, {"web": 40, "books": 30, "code": 20, "news": 10}, 1),
+        mixing.Level("lang", F.col("lang"), {"en": 50, "de": 20, "fr": 20, "es": 10}, 1),
+        mixing.Level("source", F.col("source"), {}, 1),
+    ]
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"), mixture(), per_cent=80, epochs=2, seed=1).drop("row")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
     return found.withColumns({c: F.round(c, 4) for c in ("js_chars", "js_words")})
@@ -57,7 +77,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_html_extraction, op5_benchmark_decontamination, op6_substring_dedup, op7_url_filter, op8_token_records, op9_simhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_quality_rules, op4_html_extraction, op5_benchmark_decontamination, op6_substring_dedup, op7_url_filter, op8_token_records, op9_simhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
