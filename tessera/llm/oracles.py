@@ -50,6 +50,44 @@ SELECT doc_id, o.domain, o.lang, o.source, CAST(o.n_tokens AS BIGINT) AS n_token
 FROM own o LEFT JOIN taken t USING (doc_id)
 """
 
+_JS = "sqrt(greatest(0, list_sum(list_transform(range(1, len({c}) + 1), lambda i: (CASE WHEN {c}[i] > 0 THEN ({c}[i] / {cs}) * log2(2 * ({c}[i] / {cs}) / ({c}[i] / {cs} + {r}[i] / {rs})) ELSE 0 END + CASE WHEN {r}[i] > 0 THEN ({r}[i] / {rs}) * log2(2 * ({r}[i] / {rs}) / ({c}[i] / {cs} + {r}[i] / {rs})) ELSE 0 END) / 2))))"
+OP3 = rf"""
+WITH lists(lang, l) AS (VALUES
+  ('en', string_split('the of and to a in is that it for was on with as by be this are at from', ' ')), ('fr', string_split('de la le et les des en un du que une pour est dans qui pas par sur au avec', ' ')),
+  ('de', string_split('der die und in den von zu das mit sich des auf für nicht ist im dem ein eine als', ' ')), ('es', string_split('de la que el en y los se las del con un por no su una para es al lo', ' '))
+), docs AS (
+  SELECT doc_id, d.lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, lists.l,
+    regexp_extract_all(translate(lower(coalesce(text, '')), '.,;:!?', '      '), '[^\x20\x09-\x0D]+') AS bare,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents d LEFT JOIN lists ON lists.lang = d.lang
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) > 5))
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win WHERE c > 1) GROUP BY doc_id),
+r1 AS (SELECT *, regexp_replace(t, '[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{Lt}}]+', '', 'g') AS a1 FROM docs),
+r2 AS (SELECT *, regexp_replace(a1, '[\x20\x09-\x0D]+', '', 'g') AS a2 FROM r1), r3 AS (SELECT *, regexp_replace(a2, '\p{{Lu}}+', '', 'g') AS a3 FROM r2),
+r4 AS (SELECT *, regexp_replace(a3, '[.,]+', '', 'g') AS a4 FROM r3), r5 AS (SELECT *, regexp_replace(a4, '[0-9]+', '', 'g') AS a5 FROM r4),
+r6 AS (SELECT *, regexp_replace(a5, '[#*$%&|<>]+', '', 'g') AS a6 FROM r5),
+h AS (
+  SELECT doc_id, lang, w, l, lines, [length(t) - length(a1), length(a1) - length(a2), length(a2) - length(a3), length(a3) - length(a4), length(a4) - length(a5), length(a5) - length(a6), length(a6)] AS cls,
+    length(t) - (length(a1) - length(a2)) AS word_chars, length(a5) - length(a6) AS n_symbols,
+    CASE WHEN l IS NULL THEN NULL ELSE list_append(list_transform(l, lambda c: len(list_filter(bare, lambda x: x = c))), len(list_filter(bare, lambda x: NOT list_contains(l, x)))) END AS com, len(bare) AS listed
+  FROM r6
+), ref AS (
+  SELECT lang, list(s ORDER BY i) AS v, kind FROM (
+    SELECT lang, i, 'cls' AS kind, sum(cls[i]) AS s FROM h, range(1, 8) t(i) WHERE com IS NOT NULL AND listed >= 60 GROUP BY lang, i
+    UNION ALL SELECT lang, i, 'com', sum(com[i]) FROM h, range(1, 22) t(i) WHERE com IS NOT NULL AND listed >= 60 GROUP BY lang, i) GROUP BY lang, kind
+), both_ AS (
+  SELECT h.*, a.v AS rc, b.v AS rw, coalesce(rep.n, 0) AS n_rep, CAST(list_sum(cls) AS DOUBLE) AS cs, CAST(listed AS DOUBLE) AS ws, CAST(list_sum(a.v) AS DOUBLE) AS rcs, CAST(list_sum(b.v) AS DOUBLE) AS rws
+  FROM h LEFT JOIN ref a ON a.lang = h.lang AND a.kind = 'cls' LEFT JOIN ref b ON b.lang = h.lang AND b.kind = 'com' LEFT JOIN rep USING (doc_id)
+), js AS (
+  SELECT *, CASE WHEN com IS NOT NULL AND listed >= 60 THEN {_JS.format(c="cls", cs="cs", r="rc", rs="rcs")} END AS jc, CASE WHEN com IS NOT NULL AND listed >= 60 THEN {_JS.format(c="com", cs="ws", r="rw", rs="rws")} END AS jw,
+    (len(w) < 10 OR 100 * n_rep > 20 * len(w)) AS base FROM both_
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(n_rep AS BIGINT) AS n_repeat_words, base AS base_failed, round(jc, 4) AS js_chars, round(jw, 4) AS js_words, NOT base AND NOT coalesce(jc > 0.25 OR jw > 0.22 + 1.0 / sqrt(listed), false) AS kept
+FROM js
+"""
+
 OP5 = r"""
 WITH own AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
@@ -108,4 +146,4 @@ SELECT page_id, host, path, rule, CASE WHEN l.label <> '' THEN l.label WHEN coal
 FROM labelled l LEFT JOIN scored s ON s.label = '' AND s.folded = l.folded
 """
 
-SQL = {"op1_line_dedup": OP1, "op2_source_mixing": OP2, "op7_url_filter": OP7, "op5_benchmark_decontamination": OP5}
+SQL = {"op1_line_dedup": OP1, "op2_source_mixing": OP2, "op7_url_filter": OP7, "op3_quality_rules": OP3, "op5_benchmark_decontamination": OP5}
