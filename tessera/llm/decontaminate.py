@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import let, written
+from tessera.llm.shared import let, split_words, written
 
 SIZE = 10
 #: Distinct windows that are broadcast at most: some 150 bytes each.
@@ -22,19 +22,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def lower_ascii(text: Column) -> Column:
-    """text with A-Z lower-cased and all else as it is; lower() does that for texts of ASCII alone."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+    """text with A-Z lower-cased and all else as it is. lower() does that for texts of ASCII alone; translate() is slow, so others take a replacement for each letter."""
+    other = text
+    for c in _UPPER:
+        other = F.replace(other, F.lit(c), F.lit(c.lower()))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other)
 
 
 def normal_words(text: Column) -> Column:
     """The normalised words of a text; of null, none."""
-
-    def inner(parts: Column) -> Column:
-        first = F.when(F.get(parts, F.lit(0)) == "", 2).otherwise(1)
-        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.size(parts) - 1).otherwise(F.size(parts))
-        return F.slice(parts, first, F.greatest(F.lit(0), last - first + 1))
-
-    return let(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), inner)
+    return split_words(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN)
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white space characters; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,17 +40,27 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text; of null or an empty text, none."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
-    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, though body's lambda functions may read it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def split_words(text: Column, between: str) -> Column:
+    """What stands between matches of a pattern of separators (which matches no empty text); of null or an empty text, nothing."""
+
+    def inner(parts: Column) -> Column:
+        first = F.when(F.get(parts, F.lit(0)) == "", 2).otherwise(1)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.size(parts) - 1).otherwise(F.size(parts))
+        return F.slice(parts, first, F.greatest(F.lit(0), last - first + 1))
+
+    return let(F.split(F.coalesce(text, F.lit("")), between), inner)
+
+
+def words(text: Column) -> Column:
+    """Words `[^\\x20\\x09-\\x0D]+` of a text; of null or an empty text, none."""
+    return split_words(text, f"[{SPACE}]+")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), long ids: a row (node, label) per node with an edge; label is the least node reachable.
 

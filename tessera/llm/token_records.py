@@ -12,7 +12,9 @@ checksums of data that hold checksums stay meaningful.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +35,9 @@ LENGTH = struct.Struct("<QI")
 CRC = struct.Struct("<I")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n", "<u8")])
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Letters (ASCII, or of Latin-1 in UTF-8), then marks: to a tokenizer that splits letters from marks, two pieces.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -44,36 +48,73 @@ def masked_crc(data: bytes) -> int:
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins characters across ASCII white space, remembering words.
 
-    For such a tokenizer the ids of a text are those of its words in order, so a word is encoded once per worker.
+    For such a tokenizer the ids of a text are those of its words in order, so a word is encoded once per worker. If its tokens also
+    mark the ends of pieces (an end-of-word suffix), letters and the marks behind them are remembered apart, and
+    new pieces are encoded many at a time.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, remembered
+        self.tokenizer, self.most = Tokenizer.from_file(path), remembered
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {b"": b""}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
 
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [self.pack(e.ids) for e in found]
+
+    def _learn_pieces(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 2048):
+            part = new[i : i + 2048]
+            packed = self._encode([b" ".join(part)])[0]
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(packed, dtype=f"<u{self.width}")]) + 1) * self.width
+            if len(cuts) == len(part):
+                starts = [0, *cuts[:-1].tolist()]
+                self.pieces.update((w, packed[a:b]) for w, a, b in zip(part, starts, cuts.tolist()))
+            else:
+                self.pieces.update(zip(part, self._encode(part)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.pieces) > self.most:
+            self.pieces = {b"": b""}
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if self.ends.any():
+            plain = [m.groups() for m in map(PLAIN.fullmatch, new) if m]
+            new = [w for w in new if not PLAIN.fullmatch(w)]
+            self._learn_pieces([p for p in dict.fromkeys(x for pair in plain for x in pair) if p not in self.pieces])
+            self.known.update((a + b, self.pieces[a] + self.pieces[b]) for a, b in plain)
+        for i in range(0, len(new), 4096):
+            self.known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
+
     def encode(self, text: bytes) -> bytes:
         """The ids of one text, packed. A very long text is taken in pieces that end at white space."""
-        out = []
-        for piece in pieces(text):
-            words = piece.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                if len(self.known) > self.most:
-                    self.known.clear()
-                new = [w for w in dict.fromkeys(words) if w not in self.known]
-                for i in range(0, len(new), 4096):
-                    part = new[i : i + 4096]
-                    found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                    self.known.update(zip(part, (self.pack(e.ids) for e in found)))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+        return b"".join(self._words(piece.split()) for piece in pieces(text))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """encode() of each; what is new in all of them is learned together."""
+        split = [t.split() if len(t) < 1 << 22 else None for t in texts]
+        self._learn([w for words in split if words for w in words if w not in self.known])
+        return [self.encode(t) if words is None else self._words(words) for t, words in zip(texts, split)]
+
+    def _words(self, words: list[bytes]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            return b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(text: bytes, most: int = 1 << 22) -> Iterator[bytes]:
@@ -135,6 +176,11 @@ class Shard:
             yield int(i), self[i]
 
 
+def encoded(code: WordEncoder, texts: pa.Array, at_once: int = 256) -> Iterator[bytes]:
+    for i in range(0, len(texts), at_once):
+        yield from code.encode_all(texts[i : i + at_once].to_pylist())
+
+
 def write_shard(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer_path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     """Write the (doc_id, text) rows of one task, which come in order, as the shard of that task's number."""
     from pyarrow import fs
@@ -150,8 +196,8 @@ def write_shard(batches: Iterator[pa.RecordBatch], out_dir: str, tokenizer_path:
         f.write(HEAD.pack(MAGIC, 1, code.width))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for doc, text in zip(ids, texts):
-                data = code.encode(text.as_py()) + end
+            for doc, data in zip(ids, encoded(code, texts)):
+                data += end
                 size = struct.pack("<Q", len(data))
                 f.write(size + CRC.pack(masked_crc(size)) + data + CRC.pack(masked_crc(data)))
                 n = len(data) // code.width
