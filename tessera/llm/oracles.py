@@ -139,7 +139,7 @@ p4 AS (SELECT gram, CASE WHEN l[4].xa = 0 THEN a ELSE (l[4].ga + l[4].ta * a) /
 scored AS (SELECT folded, label, n, round(avg(ln(a) - ln(r)), 6) AS score FROM steps JOIN p4 USING (gram) GROUP BY folded, label, n),
 bins AS (SELECT floor(score * 100) AS bin, coalesce(sum(n) FILTER (label = 'allow'), 0) AS a, coalesce(sum(n) FILTER (label = 'block'), 0) AS b FROM scored WHERE label <> '' GROUP BY 1),
 errors AS (
-  SELECT bin / 100 AS lim, coalesce(sum(a) OVER w, 0) AS lost, sum(b) OVER () - coalesce(sum(b) OVER w, 0) AS let, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b
+  SELECT greatest(coalesce(lag(bin) OVER (ORDER BY bin) + 1, least(bin, 0)), least(bin, 0)) / 100 AS lim, coalesce(sum(a) OVER w, 0) AS lost, sum(b) OVER () - coalesce(sum(b) OVER w, 0) AS let, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b
   FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), best AS (SELECT lim FROM errors WHERE all_a > 0 AND all_b > 0 ORDER BY round(lost / all_a + let / all_b, 9), abs(lim), lim LIMIT 1)
 SELECT page_id, host, path, rule, CASE WHEN l.label <> '' THEN l.label WHEN coalesce(score, 0) >= coalesce((SELECT lim FROM best), 0) THEN 'allow' ELSE 'block' END AS verdict

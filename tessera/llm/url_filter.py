@@ -122,8 +122,10 @@ def threshold(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(*sums)  # a few thousand at most
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
+    # limits above the bin before and up to this one err alike: of them the nearest to 0
+    lower = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.least("bin", F.lit(0)))
     errors = bins.select(
-        (F.col("bin") / 100).alias("limit"),
+        (F.greatest(lower, F.least("bin", F.lit(0))) / 100).alias("limit"),
         F.coalesce(F.sum("a").over(before), F.lit(0)).alias("lost"), (F.sum("b").over(whole) - F.coalesce(F.sum("b").over(before), F.lit(0))).alias("let"),
         F.sum("a").over(whole).alias("all_a"), F.sum("b").over(whole).alias("all_b"),
     ).where("all_a > 0 AND all_b > 0")
