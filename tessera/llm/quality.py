@@ -5,7 +5,8 @@ by Jensen-Shannon distance (the root of the divergence to base 2). The reference
 are long enough; documents that are shorter, or whose language has no word list, are not judged by distance. Symbol noise and shouting show in the
 classes, menus and word lists in the common words.
 
-All is column expressions: one pass sums the references (a row for each listed language), one pass judges.
+All is column expressions: one pass over the texts counts, into a written table of small rows, from which the references (a row for each
+listed language) are summed and the documents judged.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACE, let, words
+from tessera.llm.shared import SPACE, let, split_words, words, written
 
 #: Twenty frequent words of each language that is judged (fixed values).
 COMMON = {
@@ -62,55 +63,31 @@ def class_counts(text: Column) -> Column:
     return F.transform(chain(text, list(CLASSES.values()), [F.length(text)]), lambda n: n.cast("long"))
 
 
-def common_counts(text: Column, lang: Column, common: dict[str, str]) -> Column:
-    """How often each common word of the language is in text, and the number of all other words; null without a list."""
-    bare = words(F.translate(F.lower(text), MARKS, " " * len(MARKS)))
+def repeat_words(own: Column, hashes: Column, window: int) -> Column:
+    """Words that lie in windows found twice or more, the first included. own: the words; hashes: of each of their windows.
 
-    def of(listed: list[str]) -> Column:
-        def counts(own: Column) -> Column:
-            hits = F.filter(own, lambda w: w.isin(listed))
-            return let(
-                F.concat(F.lit("|"), F.array_join(hits, "||"), F.lit("|")),
-                lambda s: F.array(
-                    *(((F.length(s) - F.length(F.replace(s, F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("long") for w in listed),
-                    F.size(own).cast("long"),
-                ),
-            )
-
-        return let(bare, counts)
-
-    out = F.lit(None).cast("array<long>")
-    for name, listed in common.items():
-        out = F.when(lang == name, of(listed.split())).otherwise(out)
-    # the last entry: all words less the common ones
-    return let(out, lambda c: F.transform(c, lambda n, i: F.when(i == F.size(c) - 1, 2 * n - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)).otherwise(n)))
-
-
-def repeat_words(own: Column, window: int) -> Column:
-    """Words that lie in windows found twice or more among the words own, the first occurrences included."""
-
-    def from_hashes(h: Column) -> Column:
-        def from_pairs(p: Column) -> Column:
-            def hit(x: Column, i: Column) -> Column:
-                before = F.when(i > 0, F.get(p, i - 1)["h"] == x["h"]).otherwise(False)
-                after = F.when(i < F.size(p) - 1, F.get(p, i + 1)["h"] == x["h"]).otherwise(False)
-                return before | after
+    Both should be columns that are computed already.
+    """
 
-            at = F.sort_array(F.transform(F.filter(p, hit), lambda x: x["i"]))
-            return let(
-                at,
-                lambda a: F.aggregate(
-                    F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, F.size(a) - 1), lambda x, y: F.least(F.lit(window), x - y)),
-                    F.lit(window),
-                    lambda s, x: s + x,
-                ),
-            )
+    def from_pairs(p: Column) -> Column:
+        def hit(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(p, i - 1)["h"] == x["h"]).otherwise(False)
+            after = F.when(i < F.size(p) - 1, F.get(p, i + 1)["h"] == x["h"]).otherwise(False)
+            return before | after
 
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(pairs, from_pairs))
+        at = F.sort_array(F.transform(F.filter(p, hit), lambda x: x["i"]))
+        return let(
+            at,
+            lambda a: F.aggregate(
+                F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, F.size(a) - 1), lambda x, y: F.least(F.lit(window), x - y)),
+                F.lit(window),
+                lambda s, x: s + x,
+            ),
+        )
 
-    hashes = let(own, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window))))
-    return F.when(F.size(own) <= window, 0).otherwise(let(hashes, from_hashes)).cast("long")
+    pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    unique = F.size(F.array_distinct(hashes)) == F.size(hashes)
+    return F.when((F.size(own) <= window) | unique, 0).otherwise(let(pairs, from_pairs)).cast("long")
 
 
 def dup_lines(text: Column) -> Column:
@@ -135,60 +112,70 @@ def distance(counts: Column, reference: Column) -> Column:
     return let(F.struct(total(counts).alias("c"), total(reference).alias("r")), of)
 
 
-def _histograms(docs: DataFrame, rules: Rules) -> DataFrame:
+def features(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """doc_id, lang, row (xxhash64 of doc_id and text), the counts of the contract, and the histograms classes and common.
+
+    common: how often each word of the language's list is in the text, and the number of its other words; null without a list.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "*", F.struct(class_counts(text).alias("classes"), common_counts(text, F.col("lang"), rules.common).alias("common")).alias("__h")
-    )
+    cut = docs.select(
+        "doc_id", "lang", F.xxhash64("doc_id", "text").alias("row"), words(text).alias("w"),
+        split_words(F.lower(text), f"[{SPACE}{MARKS}]+").alias("bare"), class_counts(text).alias("classes"), dup_lines(text).alias("n_dup_lines"),
+    )
+    # each step reads the arrays of the one before more than once, so they are computed once
+    windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - rules.window + 1))
+    listed = F.array().cast("array<string>")
+    for name, own in rules.common.items():
+        listed = F.when(F.col("lang") == name, F.filter("bare", lambda x: x.isin(own.split()))).otherwise(listed)  # noqa: B023
+    hashed = cut.select(
+        "doc_id", "lang", "row", "w", "classes", "n_dup_lines", F.size("bare").cast("long").alias("n_bare"),
+        F.transform(windows, lambda i: F.xxhash64(F.slice("w", i, rules.window))).alias("h"),
+        F.concat(F.lit("|"), F.array_join(listed, "||"), F.lit("|")).alias("hits"),
+    )
+    common = F.lit(None).cast("array<long>")
+    for name, own in rules.common.items():
+        counts = [((F.length("hits") - F.length(F.replace("hits", F.lit(f"|{x}|"), F.lit("")))) / (len(x) + 2)).cast("long") for x in own.split()]
+        common = F.when(F.col("lang") == name, F.array(*counts)).otherwise(common)
+    order = list(CLASSES)
+    found = hashed.select(
+        "doc_id", "lang", "row", F.size("w").cast("long").alias("n_words"), "n_dup_lines", repeat_words(F.col("w"), F.col("h"), rules.window).alias("n_repeat_words"),
+        "classes", F.col("classes")[order.index("symbol")].alias("n_symbols"), common.alias("c"), "n_bare",
+    )
+    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b) - F.col("classes")[order.index("space")]
+    rest = F.col("n_bare") - F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select(*(x for x in found.columns if x not in ("c",)), chars.alias("word_chars"), F.concat("c", F.array(rest)).alias("common"))
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """lang and the summed histograms (classes, common) of its documents of rules.judged_words words or more; at most a row for each listed language."""
+def references(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """From features(): lang and the summed histograms of its documents of rules.judged_words words or more; at most a row for each listed language."""
     sizes = {"classes": len(CLASSES) + 1, "common": len(next(iter(rules.common.values())).split()) + 1}
-    found = _histograms(docs.where(F.col("lang").isin(list(rules.common))).select("lang", "text"), rules).where(
-        F.aggregate("__h.common", F.lit(0).cast("long"), lambda a, b: a + b) >= rules.judged_words
-    )
-    sums = [F.array(*(F.sum(F.col(f"__h.{k}")[i]) for i in range(n))).alias(k) for k, n in sizes.items()]
-    return found.groupBy("lang").agg(*sums)
+    long = found.where(F.col("lang").isin(list(rules.common)) & (F.col("n_bare") >= rules.judged_words))
+    return long.groupBy("lang").agg(*(F.array(*(F.sum(F.col(k)[i]) for i in range(n))).alias(k) for k, n in sizes.items()))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), out: str = "quality") -> DataFrame:
-    """docs(text, lang, ...) and, in a struct named out: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept.
+def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """For each row of docs(doc_id, text, lang): doc_id, row (xxhash64 of doc_id and text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept.
 
-    Null text counts as empty: no words, hence base_failed. A null or unlisted language, and a text with fewer than rules.judged_words
-    listed-language words, has null distances and is kept unless base_failed. Every row is judged for itself; repeated rows get the same values;
-    other columns pass through. An empty table gives none.
+    Null text counts as empty: no words, hence base_failed. A null or unlisted language, and a text of fewer than rules.judged_words
+    words, has null distances and is kept unless base_failed. Every row is judged for itself; repeated rows get the same values;
+    other columns are ignored. An empty table gives none.
     """
-    refs = references(docs, rules)
-    text = F.coalesce("text", F.lit(""))
-    found = _histograms(docs, rules).select(
-        "*",
-        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w, rules.window).alias("n_repeat_words"))).alias("__w"),
-        dup_lines(text).alias("__n_dup_lines"),
-    )
+    found = written(features(docs, rules), "features")
     # as many rows as there are word lists at most
-    named = refs.select(F.col("lang").alias("__lang"), F.struct("classes", "common").alias("__ref"))
-    found = found.join(F.broadcast(named), F.col("lang") == F.col("__lang"), "left").drop("__lang")
-    chars = F.aggregate("__h.classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    order = list(CLASSES)
-    listed = F.aggregate("__h.common", F.lit(0).cast("long"), lambda a, b: a + b)
-    judged = F.col("__ref").isNotNull() & (listed >= rules.judged_words)
-    base = (F.col("__w.n_words") < rules.least_words) | (100 * F.col("__w.n_repeat_words") > rules.most_repeated * F.col("__w.n_words"))
-    found = found.select(
-        *docs.columns,
-        F.struct(
-            F.col("__w.n_words"), (chars - F.col("__h.classes")[order.index("space")]).alias("word_chars"),
-            F.col("__h.classes")[order.index("symbol")].alias("n_symbols"), F.col("__n_dup_lines").alias("n_dup_lines"), F.col("__w.n_repeat_words"),
-            base.alias("base_failed"),
-            F.when(judged, distance(F.col("__h.classes"), F.col("__ref.classes"))).alias("js_chars"),
-            F.when(judged, distance(F.col("__h.common"), F.col("__ref.common"))).alias("js_words"),
-            (rules.word_distance + rules.length_allowance / F.sqrt(listed)).alias("limit"),
-        ).alias("__q"),
+    refs = references(found, rules).select(F.col("lang").alias("_lang"), F.col("classes").alias("_classes"), F.col("common").alias("_common"))
+    judged = F.col("_lang").isNotNull() & (F.col("n_bare") >= rules.judged_words)
+    base = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
+    found = found.join(F.broadcast(refs), F.col("lang") == F.col("_lang"), "left").select(
+        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "n_bare",
+        F.when(judged, distance(F.col("classes"), F.col("_classes"))).alias("js_chars"),
+        F.when(judged, distance(F.col("common"), F.col("_common"))).alias("js_words"),
     )
-    far = F.coalesce((F.col("__q.js_chars") > rules.char_distance) | (F.col("__q.js_words") > F.col("__q.limit")), F.lit(False))
-    return found.select(*docs.columns, F.col("__q").dropFields("limit").withField("kept", ~F.col("__q.base_failed") & ~far).alias(out))
+    limit = rules.word_distance + rules.length_allowance / F.sqrt(F.greatest("n_bare", F.lit(1)))
+    far = F.coalesce((F.col("js_chars") > rules.char_distance) | (F.col("js_words") > limit), F.lit(False))
+    return found.withColumn("kept", ~F.col("base_failed") & ~far).drop("n_bare")
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that judge() keeps."""
-    return judge(docs, rules, "__quality").where("__quality.kept").select(*docs.columns)
+    """The rows of docs that judge() keeps, with all their columns."""
+    gone = judge(docs, rules).where("NOT kept").select(F.col("row").alias("__row")).distinct()
+    return docs.join(written(gone, "rejected"), F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)

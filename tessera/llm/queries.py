@@ -41,7 +41,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    found = quality.judge(_table(spark, sf_dir, "documents")).drop("row")
     return found.withColumns({c: F.round(c, 4) for c in ("js_chars", "js_words")})
 
 
