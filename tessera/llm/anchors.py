@@ -300,8 +300,9 @@ def plan(
     decide: Callable[[pa.Table], pa.Table],
     finish: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
+    finer: int = 1,
 ) -> DataFrame:
-    """The steps above as one plan. The dealt-out documents are one exchange that three steps read."""
+    """The steps above as one plan. The dealt-out documents are one exchange that three steps read. finer: buckets of windows for each partition."""
     n = n_partitions(docs.sparkSession)
     n_blocks, n_buckets = 2 * n, n
     blocks = docs.select(
@@ -317,7 +318,7 @@ def plan(
     )
     repeats = anchors.groupBy("bucket").applyInArrow(find_repeats, "block long, data binary")
     runs = blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(
-        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets, content), "bucket long, block long, records binary, content binary"
+        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, content), "bucket long, block long, records binary, content binary"
     )
     spans = runs.groupBy("bucket").applyInArrow(decide, "block long, data binary")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)
