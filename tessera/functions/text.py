@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ GAP = r"[ \t\n\r\f\x0B]+"
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, though body's lambda functions may read it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Words between white space; of a blank text, none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
@@ -151,9 +156,10 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    last = F.size(words) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    none = F.array().cast("array<string>")
+    return let(
+        words,
+        lambda w: F.when(F.size(w) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))),
     )
 
 

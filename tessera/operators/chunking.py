@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sentences, tokens
+from tessera.functions.text import let, sentences, tokens
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -17,18 +17,28 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 def numbered(docs: DataFrame, chunks: Column, keep: Sequence[str]) -> DataFrame:
     """keep columns, chunk_index, chunk_count, content."""
     own = docs.select(*keep, chunks.alias("_c"))
-    return own.select(*keep, F.posexplode("_c").alias("chunk_index", "content"), F.size("_c").alias("chunk_count")).select(*keep, "chunk_index", "chunk_count", "content")
+    # the outer form keeps Spark from making the chunks a second time to filter on their number
+    out = own.select(*keep, F.posexplode_outer("_c").alias("chunk_index", "content"), F.size("_c").alias("chunk_count"))
+    return out.where("content IS NOT NULL").select(*keep, "chunk_index", "chunk_count", "content")
 
 
 def fixed(text: Column, size: int, overlap: int = 0) -> Column:
     """Every size characters, steps of size - overlap."""
-    step = size - overlap
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text), F.lit(step)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    step, none = size - overlap, F.array().cast("array<string>")
+    return let(
+        text,
+        lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)), F.lit(step)), lambda i: F.substring(t, i, F.lit(size)))).otherwise(none),
+    )
 
 
 def _windows(items: Column, size: int, overlap: int, join: str) -> Column:
-    n = F.size(items)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size - overlap)), lambda i: F.array_join(F.slice(items, i, size), join))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(size - overlap))
+        return F.when(F.size(x) > 0, F.transform(starts, lambda i: F.array_join(F.slice(x, i, size), join))).otherwise(none)
+
+    return let(items, of)
 
 
 def token_windows(text: Column, size: int, overlap: int = 0) -> Column:

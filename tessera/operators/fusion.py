@@ -103,8 +103,7 @@ def cascade(results: DataFrame, stages: Sequence[tuple[Column, int]], min_result
     rest = ranked(results.join(now, ["query_id", "id"], "left_anti"), min_results)
     rows = now.withColumn("late", F.lit(0)).unionByName(rest.withColumn("late", F.lit(1)))
     order = Window.partitionBy("query_id").orderBy("late", "rank")
-    have = F.sum(1 - F.col("late")).over(Window.partitionBy("query_id"))
-    return rows.withColumn("n", F.row_number().over(order)).where((F.col("late") == 0) | (F.col("n") <= F.greatest(F.lit(min_results), have))).select("query_id", "id", "score", F.col("n").alias("rank"))
+    return rows.withColumn("n", F.row_number().over(order)).where((F.col("late") == 0) | (F.col("n") <= min_results)).select("query_id", "id", "score", F.col("n").alias("rank"))
 
 
 def rerank(results: DataFrame, scores: DataFrame, k: int) -> DataFrame:

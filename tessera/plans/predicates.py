@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from dataclasses import field as _field
 from datetime import date, datetime, timedelta
 from typing import Any
 
@@ -76,7 +77,7 @@ class Pred:
 
     op: str = "and"
     field: str = ""
-    args: dict[str, Any] = field(default_factory=dict)
+    args: dict[str, Any] = _field(default_factory=dict)
     parts: tuple[Pred, ...] = ()
 
     def __and__(self, other: Pred) -> Pred:

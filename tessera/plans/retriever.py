@@ -63,9 +63,9 @@ class Retriever:
 
 def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text", clean: Callable[[Column], Column] = T.clean_standard, size: int = 400, overlap: int = 40) -> DataFrame:
     """Clean, describe and chunk: id_col, n_chars, n_words, n_lines, reading_minutes, chunk_index, chunk_count, content. One pass, no shuffle."""
-    cleaned = docs.select(id_col, clean(F.col(text)).alias("_t"))
-    described = cleaned.select("*", T.basic_metadata(F.col("_t")).alias("_m")).select(id_col, "_t", "_m.*")
-    return chunking.numbered(described, chunking.fixed(F.col("_t"), size, overlap), [id_col, "n_chars", "n_words", "n_lines", "reading_minutes"])
+    made = T.let(clean(F.col(text)), lambda t: F.struct(T.basic_metadata(t).alias("m"), chunking.fixed(t, size, overlap).alias("c")))
+    described = docs.select(id_col, made.alias("_d")).select(id_col, "_d.m.*", F.col("_d.c").alias("_c"))
+    return chunking.numbered(described, F.col("_c"), [id_col, "n_chars", "n_words", "n_lines", "reading_minutes"])
 
 
 def tuned(weights: dict[str, float], gains: dict[str, float], rate: float = 0.1, least: float = 0.1, most: float = 0.9) -> dict[str, float]:
