@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, corpus, embeddings, fusion, metrics, retrieval, telemetry
+from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, metrics, retrieval, telemetry
 from tessera.plans import retriever, schema
 from tessera.plans.predicates import Pred, where
 from tessera.streaming import windows
@@ -728,3 +728,55 @@ def alert_cooldown(spark, d):
 def cache_expiry(spark, d):
     out = windows.expiry(table(spark, d, "events"), "user_id", "ts", 3600, "adaptive")
     return out.withColumns({c: F.round(c, 3) for c in ("created", "last")})
+
+
+# --- particular kinds of texts, caches
+
+
+@query(rf"""SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS term FROM documents)
+  WHERE length(term) >= 4 AND term NOT IN ({', '.join(repr(w) for w in T.STOPWORDS)}) GROUP BY doc_id, term)) WHERE rank <= 5""")
+def keywords(spark, d):
+    return domains.keywords(table(spark, d, "documents"), "doc_id", "text", 5)
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')) AS INT) AS iso, CASE WHEN length(regexp_extract(text, '^[ \t\r\n]*([^\r\n]+)', 1)) <= 100 THEN trim(regexp_extract(text, '^[ \t\r\n]*([^\r\n]+)', 1)) END AS title FROM documents WHERE NOT regexp_matches(text, '(?m)^# +(.+)$')")
+def title_and_dates(spark, d):
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^# +(.+)$"))
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({domains.DATES[0]})"), F.lit(1))).alias("iso"), domains.title(F.col("text")).alias("title"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS INT) AS emails, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS INT) AS names FROM documents")
+def entity_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", domains.entities(F.col("text")).alias("e")).select("doc_id", F.size("e.emails").alias("emails"), F.size("e.names").alias("names"))
+
+
+@query("SELECT event_type, round(arg_max(value, ts), 4) AS current, round(avg(value), 4) AS mean, round(min(value), 4) AS min, round(max(value), 4) AS max, CASE WHEN arg_max(value, ts) > arg_min(value, ts) THEN 'up' WHEN arg_max(value, ts) < arg_min(value, ts) THEN 'down' ELSE 'flat' END AS trend, round((arg_max(value, ts) - arg_min(value, ts)) / count(*), 6) AS growth, round(avg(value) * 2592000 / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / greatest(count(*) - 1, 1)), 2) AS monthly FROM events GROUP BY event_type")
+def cache_dashboard(spark, d):
+    return caching.dashboard(table(spark, d, "events"), "event_type", "ts", "value")
+
+
+@query("SELECT day, round(r, 6) AS rate, round(avg(r) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM (SELECT CAST(ts AS DATE) AS day, avg(CAST(event_type = 'view' AS INT)) AS r FROM events GROUP BY 1)")
+def cache_hit_series(spark, d):
+    return caching.hit_series(table(spark, d, "events"), "ts", F.col("event_type") == "view", 3)
+
+
+@query("SELECT user_id FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) ORDER BY last DESC, user_id LIMIT 20")
+def cache_lru(spark, d):
+    entries = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return caching.least_recently_used(entries, 20, "last", "user_id").select("user_id")
+
+
+@query("WITH p AS (SELECT event_type, round(avg(value), 6) AS value, round(avg(CAST(props->>'k' AS BIGINT)), 6) AS k FROM events GROUP BY 1), o AS (SELECT *, round((value * 0.4 + k * 0.6) / 2, 6) AS overall FROM p) SELECT event_type, value, k, overall, row_number() OVER (ORDER BY overall DESC, event_type) = 1 AS is_best FROM o")
+def system_comparison(spark, d):
+    rows = table(spark, d, "events").select("event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return domains.compared(rows, {"value": 0.4, "k": 0.6}, "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(greatest(l_quantity - 30, 0) * 0.065::DOUBLE, 4) AS cost FROM lineitem")
+def cost_tiered(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", telemetry.tiered(F.col("l_quantity"), 30, 0.065).alias("cost"))
+
+
+@query()
+def chunk_sections(spark, d):
+    return chunking.sections(table(spark, d, "documents"), "doc_id", "text", r"^[A-Z][^|]{0,30}\.$")
