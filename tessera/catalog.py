@@ -691,7 +691,7 @@ def augment_swap(spark, d):
 # --- results as text, pairs of statements
 
 
-@query(f"WITH r AS ({_vec_sql('cosine', 3)}) SELECT query_id, string_agg('[' || rank || '] ' || substr(d.text, 1, 80), chr(10) ORDER BY rank) AS context FROM r JOIN documents d ON d.doc_id = r.id GROUP BY query_id")
+@query(f"WITH r AS ({_vec_sql('cosine', 3)}) SELECT query_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n) AS context FROM (SELECT query_id, substr(d.text, 1, 80) AS t, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r JOIN documents d ON d.doc_id = r.id) GROUP BY query_id")
 def context_numbered(spark, d):
     found = retrieval.top_k(retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings")), 3)
     return corpus.context(found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "text", 80, "\n")
