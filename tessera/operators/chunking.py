@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import let, sentences, tokens
+from tessera.session import ship
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -140,5 +141,6 @@ def chunked(docs: DataFrame, splitter: Callable[[str], list[str]], id_col: str,
             rows = [(i, k, len(c), x) for i, t in zip(b[id_col], b[text]) if t is not None for c in [splitter(t)] for k, x in enumerate(c)]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk_count", "content"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, chunk_index int, chunk_count int, content string")

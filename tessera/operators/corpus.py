@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.session import ship
 
 
 def exact_duplicates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -146,5 +147,6 @@ def augment(docs: DataFrame, kind: str, fraction: float, variants: int, id_col:
             rows = [(i, k, change(t, random.Random(f"{seed}:{i}:{k}"))) for i, t in zip(b[id_col], b[text]) if t is not None for k in range(variants)]
             yield pd.DataFrame(rows, columns=[id_col, "variant", "content"])
 
+    ship(docs.sparkSession)
     kind_of = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInPandas(run, f"{id_col} {kind_of}, variant int, content string")

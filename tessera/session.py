@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,17 @@ def session(name: str = "tessera", cores: int | str = "*", shuffle_partitions: i
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: they needn't have it installed, nor share the driver's folder or path."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"tessera/{f.relative_to(root)}")
+    context.addPyFile(str(path))
+    context._tessera_shipped = True

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import front_matter, html_title, language_of_file, strip_html
+from tessera.session import ship
 
 #: Names of hidden files and folders.
 _HIDDEN = r"(^|/)\.[^/]"
@@ -65,6 +66,7 @@ def pdf_files(spark: SparkSession, path: str, parse) -> DataFrame:
             rows = [(p, k, t) for p, c in zip(b["path"], b["content"]) for k, t in enumerate(parse(c))]
             yield pd.DataFrame(rows, columns=["path", "page", "content"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, page int, content string")
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 
 def timed(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -52,6 +54,7 @@ def alerts(events: DataFrame, ts: str, key: str, tie: str, seconds: float) -> Da
         rows = rows.sort_values([ts, tie])
         return rows[cool_down((rows[ts].astype("int64") / 1e9 if rows[ts].dtype.kind == "M" and rows[ts].dt.unit == "ns" else rows[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist(), seconds)]
 
+    ship(events.sparkSession)
     own = timed(events, ts).select(key, ts, tie)
     return own.groupBy(key).applyInPandas(run, own.schema)
 
@@ -72,6 +75,7 @@ def alerts_stream(events: DataFrame, ts: str, key: str, tie: str, seconds: float
             state.update((last,))
         yield rows[keep]
 
+    ship(events.sparkSession)
     own = timed(events, ts).select(key, ts, tie).withWatermark(ts, late)
     return own.groupBy(key).applyInPandasWithState(run, own.schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
