@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -225,5 +227,6 @@ def extracted(table: DataFrame) -> DataFrame:
     Every row is taken for itself, its whole html: null, empty and textless pages give an empty text, repeated rows equal ones, an empty table none.
     Null page_id and url pass through; other columns are ignored.
     """
+    ship(table.sparkSession)
     own = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"))
     return own.mapInArrow(pages, "page_id long, url string, text string, n_chars long")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import words, written
+from tessera.llm.shared import dealt, words, written
 
 
 @dataclass(frozen=True)
@@ -121,5 +121,5 @@ def plan(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: i
 def mix(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: int = 2, seed: int = 0) -> DataFrame:
     """docs, each row as often as plan() takes it; columns are docs'."""
     found = written(plan(docs, levels, per_cent, epochs, seed).where("copies > 0").groupBy(F.col("row").alias("__row")).agg(F.max("copies").alias("__copies")), "copies")
-    out = docs.join(found, F.xxhash64("doc_id", "text") == F.col("__row"))
+    out = docs.join(dealt(found), F.xxhash64("doc_id", "text") == F.col("__row"))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

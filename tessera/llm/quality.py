@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACE, let, split_words, words, written
+from tessera.llm.shared import SPACE, dealt, let, split_words, words, written
 
 #: Twenty frequent words of each language that is judged (fixed values).
 COMMON = {
@@ -178,4 +178,4 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     gone = judge(docs, rules).where("NOT kept").select(F.col("row").alias("__row")).distinct()
-    return docs.join(written(gone, "rejected"), F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)
+    return docs.join(dealt(written(gone, "rejected")), F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)

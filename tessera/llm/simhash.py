@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, n_partitions, written
+from tessera.llm.shared import components, dealt, n_partitions, written
+from tessera.session import ship
 
 SEED = 42
 SHINGLE = 3
@@ -53,6 +54,7 @@ def fingerprint(text: bytes | None, size: int = SHINGLE, block: int = 1 << 15) -
 
 def fingerprints(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     """keep columns and fingerprint (long, the 64 bits as a signed number) of docs' text. Null and wordless texts give 0."""
+    ship(docs.sparkSession)
     keep = list(keep)
     fields = [docs.schema[c] for c in keep]
 
@@ -106,6 +108,7 @@ def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that span the groups of the distinct fingerprints in prints(fingerprint)."""
     spark = prints.sparkSession
+    ship(spark)
 
     def bytes_of(triple: tuple[int, ...]):
         return F.struct(*(F.shiftrightunsigned("fingerprint", 8 * p).bitwiseAND(F.lit(255)).alias(f"b{i}") for i, p in enumerate(triple)))
@@ -133,8 +136,8 @@ def links(prints: DataFrame) -> DataFrame:
         if len(keys):
             yield done(keys, prints)
 
-    dealt = posted.repartition(n_partitions(spark), "posting").sortWithinPartitions("posting", "fingerprint")
-    return dealt.mapInArrow(run, "a long, b long")
+    lists = posted.repartition(n_partitions(spark), "posting").sortWithinPartitions("posting", "fingerprint")
+    return lists.mapInArrow(run, "a long, b long")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -162,4 +165,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of several rows with that very doc_id all stay: they are one document. Rows without doc_id stay. Columns are docs'.
     """
     found = cluster(docs.where("doc_id IS NOT NULL")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(found, "removed"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dealt(written(found, "removed")), "doc_id", "left_anti").select(*docs.columns)

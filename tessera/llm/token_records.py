@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import n_partitions, shared_dir
+from tessera.session import ship
 
 MAGIC = b"TSRA"
 HEAD = struct.Struct("<4sHH")
@@ -219,6 +220,7 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_
     attempt and then renamed, so a repeated task leaves whole files. What reaches the driver is one row per shard.
     """
     spark = docs.sparkSession
+    ship(spark)
     out_dir = out_dir or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
 
     rows = (
@@ -249,6 +251,7 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
 
     Each task reads the shards given to it. ids_crc32 is the crc32 of the ids as little-endian uint32.
     """
+    ship(spark)
     starts = np.cumsum([0, *(ids for _, _, ids in shards)]).tolist()
     plan = [(path, start) for (path, documents, _), start in zip(shards, starts) if documents]
 

@@ -99,12 +99,12 @@ def judge(pages: DataFrame, rules=RULES, model: Model = Model()) -> DataFrame:
     )
     label = F.coalesce("r.verdict", F.lit(""))
     urls = written(judged.groupBy("folded", label.alias("label")).agg(F.count("*").alias("n")), "urls")
-    each = urls.select("label", "n", F.explode(windows(F.col("folded"), model.order)).alias("gram"))
+    each = urls.select("label", "n", F.explode_outer(windows(F.col("folded"), model.order)).alias("gram")).where("gram IS NOT NULL")
     of = lambda v: F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0))
     counts = written(each.groupBy("gram").agg(of("allow").alias("accepted"), of("block").alias("rejected")), "grams")
     ratios = written(log_ratios(counts, model), "ratios")
     small = ratios.count() <= model.most_broadcast
-    steps = urls.select("folded", "label", "n", F.explode(windows(F.col("folded"), model.order)).alias("gram"))
+    steps = urls.select("folded", "label", "n", F.explode_outer(windows(F.col("folded"), model.order)).alias("gram")).where("gram IS NOT NULL")
     scored = steps.join(F.broadcast(ratios) if small else ratios, "gram").groupBy("folded", "label").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("n").alias("n"))
     scored = written(scored, "scores")
     limit = threshold(scored.where("label <> ''"))
