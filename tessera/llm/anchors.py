@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import n_partitions
+from tessera.session import ship
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -209,9 +211,15 @@ class Runs:
     content: np.ndarray  # symbols or fingerprints of the runs, end to end
 
 
-def send_runs(block: int, table: pa.Table, repeats: pa.Table, cut: Windows, n_buckets: int, content: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """The windows of a block around repeated anchors. content(symbols, first, n, size) gives their content and its length by run."""
+def send_runs(block: int, table: pa.Table, repeats: pa.Table, cut: Windows, n_buckets: int, content: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], strict: bool) -> pa.Table:
+    """The windows of a block around repeated anchors. content(symbols, first, n, size) gives their content and its length by run.
+
+    A run whose content the block has sent already stands later than that one, so it is decided here and only its place goes on, to a bucket of the block's own; so
+    a frequent passage reaches its bucket once from each block. strict: only an earlier document decides, not an earlier place or a row of the same doc_id.
+    """
     ids, texts, _ = ordered(table)
+    sent: dict[bytes, int] = {}
+    decided: list[np.ndarray] = []
     known = np.sort(np.frombuffer(b"".join(repeats.column("data").to_pylist()), dtype=U))
     out: dict[int, list[tuple[bytes, bytes]]] = {}
     if len(known):
@@ -228,14 +236,31 @@ def send_runs(block: int, table: pa.Table, repeats: pa.Table, cut: Windows, n_bu
             records["at"] = first - starts[piece] + offsets[piece]
             data, sizes = content(symbols, first, n, cut.size)
             at = np.concatenate(([0], np.cumsum(sizes)))
+            go = np.ones(len(first), dtype=bool)
+            raw, width = data.tobytes(), data.itemsize
+            for r, (doc, a, b) in enumerate(zip(records["id"].tolist(), (at[:-1] * width).tolist(), (at[1:] * width).tolist())):
+                before = sent.setdefault(raw[a:b], doc if strict else -1)
+                if strict:
+                    go[r] = before >= doc
+                elif before == -1:
+                    sent[raw[a:b]] = 0
+                else:
+                    go[r] = False
+            if not go.all():
+                decided.append(records[~go])
+                data = data[np.repeat(go, sizes)]
+                records, bucket, sizes = records[go], bucket[go], sizes[go]
+                at = np.concatenate(([0], np.cumsum(sizes)))
             new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
             for a, b in zip(new, [*new[1:], len(bucket)]):
                 out.setdefault(int(bucket[a]), []).append((records[a:b].tobytes(), data[at[a] : at[b]].tobytes()))
     buckets = list(out)
-    return pa.table({
-        "bucket": pa.array(buckets, pa.int64()), "block": pa.array([block] * len(buckets), pa.int64()),
-        "records": pa.array([b"".join(r for r, _ in out[b]) for b in buckets], pa.binary()), "content": pa.array([b"".join(c for _, c in out[b]) for b in buckets], pa.binary()),
-    })
+    records, contents = [b"".join(r for r, _ in out[b]) for b in buckets], [b"".join(c for _, c in out[b]) for b in buckets]
+    if decided:
+        buckets.append(int(by_bucket(np.array([block], dtype=U), n_buckets)[0]))
+        records.append(b"".join(d.tobytes() for d in decided))
+        contents.append(None)
+    return pa.table([pa.array(buckets, pa.int64()), pa.array([block] * len(buckets), pa.int64()), pa.array(records, pa.binary()), pa.array(contents, pa.binary())], names=["bucket", "block", "records", "content"])
 
 
 #: A span of symbols of a block's row that is to be removed.
@@ -250,12 +275,21 @@ def send_spans(block: np.ndarray, spans: np.ndarray) -> pa.Table:
     return pa.table({"block": pa.array(block[first], pa.int64()), "data": pa.array(_binary(np.split(spans, first[1:])) if len(first) else [], pa.binary())})
 
 
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
+def with_decided(table: pa.Table, decide: Callable[[pa.Table], pa.Table], size: int) -> pa.Table:
+    """decide() of a bucket's rows with content, and the spans of the runs that were decided before (those rows have none)."""
+    is_open = table.column("content").is_valid()
+    own, rest = received(table.filter(pc.invert(is_open)), False), table.filter(is_open)
+    spans = np.zeros(len(own[1]), dtype=SPAN)
+    spans["row"], spans["n"], spans["at"] = own[1]["row"], own[1]["n"] + size - 1, own[1]["at"]
+    return pa.concat_tables([decide(rest), send_spans(own[0], spans)]) if len(rest) else send_spans(own[0], spans)
+
+
+def received(table: pa.Table, contents: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
     """(block of each run, records, content) of one bucket."""
     records = table.column("records").to_pylist()
     size = Runs.RECORD.itemsize
     block = np.repeat(table.column("block").to_numpy(), [len(r) // size for r in records])
-    return block, np.frombuffer(b"".join(records), dtype=Runs.RECORD), b"".join(table.column("content").to_pylist())
+    return block, np.frombuffer(b"".join(records), dtype=Runs.RECORD), b"".join(table.column("content").to_pylist()) if contents else b""
 
 
 def dup_stretches(block: np.ndarray, records: np.ndarray, flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,9 +334,11 @@ def plan(
     decide: Callable[[pa.Table], pa.Table],
     finish: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
+    strict: bool,
     finer: int = 1,
 ) -> DataFrame:
     """The steps above as one plan. The dealt-out documents are one exchange that three steps read. finer: buckets of windows for each partition."""
+    ship(docs.sparkSession)
     n = n_partitions(docs.sparkSession)
     n_blocks, n_buckets = 2 * n, n
     blocks = docs.select(
@@ -318,7 +354,7 @@ def plan(
     )
     repeats = anchors.groupBy("bucket").applyInArrow(find_repeats, "block long, data binary")
     runs = blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(
-        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, content), "bucket long, block long, records binary, content binary"
+        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, content, strict), "bucket long, block long, records binary, content binary"
     )
-    spans = runs.groupBy("bucket").applyInArrow(decide, "block long, data binary")
+    spans = runs.groupBy("bucket").applyInArrow(lambda t: with_decided(t, decide, cut.size), "block long, data binary")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)

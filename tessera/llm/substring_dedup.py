@@ -77,5 +77,5 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = Tru
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return anchors.plan(
         docs, Windows(anchors.word_hashes, size, gram), _fingerprints,
-        lambda t: parse_block(t, size), lambda d, s: finish_block(d, s, texts), schema,
+        lambda t: parse_block(t, size), lambda d, s: finish_block(d, s, texts), schema, strict=True,
     )
