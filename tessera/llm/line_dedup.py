@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import let, written
+from tessera.llm.shared import dealt, let, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -59,13 +59,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, leas
             lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(chunk_text(x, c["start"], c["n"])).alias("hash")),
         ),
     )
-    places = written(own.select("doc_id", "row", F.inline(cut)), "chunks")
+    # the outer form keeps Spark from computing the array a second time to filter on its size
+    places = written(own.select("doc_id", "row", F.inline_outer(cut)).where("hash IS NOT NULL"), "chunks")
     owner = F.struct("doc_id", "row", "start")
     many = written(places.groupBy("hash").agg(F.count("*").alias("c"), F.min(owner).alias("first")).where("c > 1").select("hash", "first"), "hashes")
     found = written(places.join(many, "hash").select("hash", "row", "start", "n", "doc_id", (owner == F.col("first")).alias("is_first")), "found")
 
     per = found.groupBy("row").agg(F.collect_set(F.struct("hash", "doc_id", "start", "n")).alias("cs"))
-    texts = own.select("row", "text").join(per, "row").select(
+    texts = own.select("row", "text").join(dealt(per), "row").select(
         "row", F.inline(let(lines_of(F.col("text")), lambda x: F.transform("cs", lambda c: c.withField("t", chunk_text(x, c["start"], c["n"])))))
     )
     same = written(texts.groupBy("hash").agg((F.min("t") == F.max("t")).alias("same")), "same")
@@ -85,7 +86,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Data
     Other columns pass through (docs' own n_lines or n_removed give way). An empty table gives none.
     """
     gone = written(repeated(docs, window, divisor), "gone").withColumnRenamed("row", "__row")
-    out = docs.join(gone, F.xxhash64("doc_id", "text") == F.col("__row"), "left")
+    out = docs.join(dealt(gone), F.xxhash64("doc_id", "text") == F.col("__row"), "left")
 
     def kept(x: Column) -> Column:
         return F.array_join(F.filter(x, lambda line, i: ~F.exists("__at", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"]))), "\n")
