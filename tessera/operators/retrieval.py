@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.functions.vectors import score
+from tessera.functions.vectors import dot, norm, score
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -75,9 +75,14 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine"
     """
     if queries.count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    rows = vectors if where is None else vectors.where(where)
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries))
-    return pairs.select("query_id", "id", F.round(score(metric, F.col("vector"), F.col("v")), 6).alias("score"))
+    rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    value = score(metric, F.col("vector"), F.col("v"))
+    if metric == "cosine":  # lengths once a vector, not once a pair
+        rows, queries = rows.withColumn("nv", norm(F.col("v"))), queries.withColumn("nq", norm(F.col("vector")))
+        size = F.col("nv") * F.col("nq")
+        value = F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("v")) / size)
+    pairs = rows.join(F.broadcast(queries))
+    return pairs.select("query_id", "id", F.round(value, 6).alias("score"))
 
 
 #: A batch of vector queries is this large at most, as it is broadcast.
