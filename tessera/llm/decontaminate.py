@@ -3,7 +3,7 @@
 Both sides are normalised alike (A-Z lower-cased, words of ASCII letters, digits and non-ASCII characters). Each benchmark item gives its
 windows of `size` words, or, if it is shorter, one window of all its words. Their hashes are broadcast while they number `most_broadcast`
 or fewer and joined by shuffle beyond that. Documents are scanned window by window in one generated stage; a hit is verified word for word
-before it counts. Rows are known by doc_id and a hash of the text, so repeated ids keep apart.
+before it counts. Rows are known by a hash of doc_id and text, so repeated ids keep apart.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import let, split_words, written
+from tessera.llm.shared import dealt, let, split_words, written
 
 SIZE = 10
 #: Distinct windows that are broadcast at most: some 150 bytes each.
@@ -44,35 +44,61 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return own.select("item_id", F.least(F.size("w"), F.lit(size)).alias("n"), F.explode(windows).alias("window")).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(doc_id, hash, at, n, item_id): verified occurrences of benchmark windows in docs(doc_id, text).
+def candidates(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(row, hits): for rows of docs (by xxhash64 of doc_id and text) with windows whose hash the benchmark has, an array of struct(at, n, window, item_id).
 
-    hash is xxhash64 of the text; `at` counts the document's words from 0. An item without an id hits under the id ''.
+    `at` counts the document's words from 0. An item without an id goes by the id ''.
     """
     items = written(benchmark_windows(benchmark, size).fillna("", ["item_id"]), "windows")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most `size` numbers
     small = items.count() <= most_broadcast
-    longest = max(lengths, default=1)
-    zipped = let(normal_words(F.col("text")), lambda w: F.arrays_zip(*(F.slice(w, i + 1, F.greatest(F.lit(0), F.size(w) - i)).alias(f"w{i}") for i in range(longest))))
-    scanned = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(zipped).alias("at", "z"))
-    z = [F.col("z").getField(f"w{i}") for i in range(longest)]
-
-    def print_of(words: list[Column]) -> Column:
-        return F.xxhash64(*words)
-
-    if len(lengths) == 1:
-        seen = scanned.where(z[-1].isNotNull()).withColumns({"n": F.lit(longest), "print": print_of(z)})
-    else:
-        each = F.array(*(F.struct(F.lit(n).alias("n"), F.when(z[n - 1].isNotNull(), print_of(z[:n])).alias("print")) for n in lengths)) if lengths else F.array().cast("array<struct<n:int,print:bigint>>")
-        seen = scanned.select("*", F.explode(each).alias("e")).where("e.print IS NOT NULL").select("doc_id", "hash", "at", "z", "e.n", "e.print")
+
+    def prints(w: Column) -> Column:
+        """Of each place and window length a hash; those of one length follow each other."""
+        each = [
+            F.transform(
+                F.when(F.size(w) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1))).otherwise(F.array().cast("array<int>")),
+                lambda i: F.xxhash64(F.slice(w, i, n)),  # noqa: B023
+            )
+            for n in lengths
+        ]
+        return F.array(*each) if each else F.array().cast("array<array<bigint>>")
+
+    # hashes are made row by row and exploded as numbers; the outer form keeps Spark from making them a second time to filter on their size
+    made = docs.select(F.xxhash64("doc_id", "text").alias("row"), let(normal_words(F.col("text")), prints).alias("ps"))
+    lists = made.select("row", F.posexplode_outer("ps").alias("k", "p")) if len(lengths) != 1 else made.select("row", F.lit(0).alias("k"), F.col("ps")[0].alias("p"))
+    seen = lists.select("row", "k", F.posexplode_outer("p").alias("at", "print"))
     words = F.split("window", " ")
-    of_length = F.lit(None).cast("long")
+    own = F.lit(None).cast("long")
     for n in lengths:
-        of_length = F.when(F.col("known_n") == n, print_of([words[i] for i in range(n)])).otherwise(of_length)
-    known = items.select(F.col("n").alias("known_n"), "window", "item_id").withColumn("known_print", of_length)
-    own = F.concat_ws(" ", *(F.when(F.col("n") > i, z[i]) for i in range(longest)))
-    found = seen.join(F.broadcast(known) if small else known, F.col("print") == F.col("known_print"))
-    return found.where((F.col("n") == F.col("known_n")) & (own == F.col("window"))).select("doc_id", "hash", "at", "n", "item_id")
+        own = F.when(F.col("n") == n, F.xxhash64(F.slice(words, 1, n))).otherwise(own)
+    order = F.lit(None).cast("int")
+    for k, n in enumerate(lengths):
+        order = F.when(F.col("n") == n, k).otherwise(order)
+    known = items.select("n", "window", "item_id", own.alias("known"), order.alias("of"))
+    found = seen.join(F.broadcast(known) if small else known, (F.col("print") == F.col("known")) & (F.col("k") == F.col("of")))
+    return written(found.groupBy("row").agg(F.collect_set(F.struct("at", "n", "window", "item_id")).alias("hits")), "hits")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """docs with the struct __hit: n_words, at (positions of hit words), items (ids), both sorted and of verified hits alone."""
+    found = candidates(docs, benchmark, size, most_broadcast)
+    out = docs.join(dealt(found.withColumnRenamed("row", "__row").withColumnRenamed("hits", "__hits")), F.xxhash64("doc_id", "text") == F.col("__row"), "left")
+
+    def verified(w: Column) -> Column:
+        real = F.filter(F.col("__hits"), lambda h: F.array_join(F.slice(w, h["at"] + 1, h["n"]), " ") == h["window"])
+
+        def parts(r: Column) -> Column:
+            at = F.array_distinct(F.flatten(F.transform(r, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1))))
+            items = F.array_distinct(F.transform(r, lambda h: h["item_id"]))
+            return F.struct(
+                F.size(w).cast("long").alias("n_words"), F.sort_array(F.coalesce(at, F.array().cast("array<int>"))).alias("at"),
+                F.sort_array(F.coalesce(items, F.array().cast("array<string>"))).alias("items"),
+            )
+
+        return let(real, parts)
+
+    return out.select(*docs.columns, let(normal_words(F.col("text")), verified).alias("__hit"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -81,43 +107,29 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadca
     Null and wordless texts have no words and are clean; so is all of an empty table and all if the benchmark has no words. Rows are judged each
     for itself, whatever their doc_id (which may be null); other columns are ignored.
     """
-    found = hits(docs, benchmark, size, most_broadcast)
-    places = found.select("doc_id", "hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    sums = found.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    covers = places.groupBy("doc_id", "hash").agg(F.collect_set("at").alias("hit_words"))
-    per = sums.select(F.col("doc_id").alias("_i"), F.col("hash").alias("_h"), "items").join(
-        covers.select(F.col("doc_id").alias("_j"), F.col("hash").alias("_k"), "hit_words"), F.col("_i").eqNullSafe(F.col("_j")) & F.col("_h").eqNullSafe(F.col("_k"))
-    )
-    base = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
-    out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("hash") == F.col("_h")), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    places = F.sort_array(F.coalesce("hit_words", F.array().cast("array<int>")))
+    out = marked(docs.select("doc_id", "text"), benchmark, size, most_broadcast)
+    n_hit = F.size("__hit.at").cast("long")
     return out.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(places) > 0).alias("contaminated"),
-        places.alias("hit_words"), items.alias("items"),
+        "doc_id", F.col("__hit.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__hit.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__hit.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.col("__hit.at").alias("hit_words"), F.col("__hit.items").alias("items"),
     )
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs that no benchmark window hits."""
-    bad = hits(docs, benchmark, size).select(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_anti").select(*docs.columns)
+    return marked(docs, benchmark, size).where(F.size("__hit.at") == 0).select(*docs.columns)
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """docs with the hit words, and what stands between each and the next word, taken out of text; clean rows stay as they are."""
-    found = hits(docs, benchmark, size)
-    places = found.select("doc_id", "hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
-    per = places.groupBy(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_set("at").alias("_at"))
-    out = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left")
     words, between = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD)
     rest = let(
-        F.struct(words.alias("w"), between.alias("b")),
+        F.struct(words.alias("w"), between.alias("b"), F.col("__hit.at").alias("at")),
         lambda x: F.concat(
             F.get(x["b"], F.lit(0)),
-            F.array_join(F.transform(x["w"], lambda w, i: F.when(F.array_contains(F.col("_at"), i), "").otherwise(F.concat(w, F.coalesce(F.get(x["b"], i + 1), F.lit(""))))), ""),
+            F.array_join(F.transform(x["w"], lambda w, i: F.when(F.array_contains(x["at"], i), "").otherwise(F.concat(w, F.coalesce(F.get(x["b"], i + 1), F.lit(""))))), ""),
         ),
     )
-    kept = F.when(F.col("_at").isNull(), F.col("text")).otherwise(rest)
-    return out.select(*(kept.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    kept = F.when(F.size("__hit.at") == 0, F.col("text")).otherwise(rest)
+    return marked(docs, benchmark, size).select(*(kept.alias(c) if c == "text" else F.col(c) for c in docs.columns))
