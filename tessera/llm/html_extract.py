@@ -91,6 +91,12 @@ class Lines(HTMLParser):
             if self.stack[k][0] in until:
                 return
 
+    def parse_html_declaration(self, i):
+        """`<![` that is not CDATA is a bogus comment up to the next `>`; the base class raises on it, or looks for a far `]>`."""
+        if self.rawdata.startswith("<![", i) and self.rawdata[i + 3 : i + 9].upper() != "CDATA[":
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.parts.append(" ")
@@ -180,11 +186,8 @@ def extract(html: str | None, sigma: float = 1.5, spread: float = 1.0) -> str:
     if not html:
         return ""
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser's way to refuse broken declarations: what came before counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:

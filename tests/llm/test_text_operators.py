@@ -358,6 +358,22 @@ def test_html_extract(name):
     assert want is None or got == want
 
 
+DECLARATIONS = {
+    "broken": (PAGES["broken"][0], "ab\n\nc"),
+    "endif": ("<p>a</p><![ endif]--><p>b</p>", "a\n\nb"),
+    "far close": ("<p>a</p><![endif]--><p>b</p><p>c</p><![if x]><p>d</p>", "a\n\nb\n\nc\n\nd"),
+    "unknown": ("<article><p>a</p><![foo[x]]><p>b</p></article>", "a\n\nb"),
+    "plain text": ("a <![1] b", "a <![1] b"),
+    "cdata": ("<p>a</p><![CDATA[ x > y ]]><p>b</p>", "a\n\nb"),
+}
+
+
+@pytest.mark.parametrize("name", list(DECLARATIONS))
+def test_html_goes_on_after_declarations(name):
+    html, want = DECLARATIONS[name]
+    assert html_extract.extract(html) == want
+
+
 def test_html_table(spark):
     rows = [(k, f"u{k}", h, "x") for k, (h, _) in enumerate(PAGES.values())] + [(None, None, None, None)]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
