@@ -2,8 +2,8 @@
 
 The standard library's parser streams events. Block elements cut the page into lines; a line knows its text, how many tags stand in it,
 how much of it is link text, and the element that holds it. What stands in elements that are never content (scripts,
-forms, navigation, asides, page headers and footers, and elements whose class, id or role names a menu, advert, notice, comment list and
-the like) is left out at once. Of the other lines the ratio of text to tags is smoothed over neighbouring lines; lines above a threshold set by the page's own
+controls, navigation, asides, page footers, hidden elements) is left out at once. Forms, page headers and elements whose class, id or role names a menu,
+advert, notice, comment list and the like are only proposed: once the page is read they go, unless they hold the page's text (see settled()). Of the other lines the ratio of text to tags is smoothed over neighbouring lines; lines above a threshold set by the page's own
 spread are content. The content region is the innermost element that holds nearly all text of those lines, or an article or main element with most
 of it, and the page's text is every line of that region, so short lines between long ones stay.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,15 +29,28 @@ INLINE = frozenset(
 )
 #: Elements that hold no article text.
 NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas audio video form select button textarea input nav aside footer menu dialog map math".split()
+    "head script style noscript template iframe object svg canvas audio video select button textarea input nav aside footer menu dialog map math".split()
 )
-#: Words in class, id or role that name what is not article text.
+#: Elements that hold no article text unless they hold most of the page's text; a header in an article may hold its title.
+SELDOM = frozenset(("form", "header"))
+#: Words in class, id or role that propose that an element is no article text.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice
     notices alert alerts popup modal overlay newsletter subscribe subscription paywall sidebar sidenav aside menu menus nav navbar navigation navigational breadcrumb breadcrumbs header masthead
     topbar footer bottombar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended
     widget widgets toolbar login signup search searchbox pagination pager complementary contentinfo dialog alertdialog toc skip""".split()
 )
+#: Those of them whose elements may well hold sentences that are no article text; the others also name parts of articles, which are known by their sentences.
+PLAIN = frozenset(
+    """ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr popup modal overlay newsletter
+    subscribe subscription paywall sidebar sidenav aside footer bottombar comments commentlist respond reply replies disqus complementary contentinfo dialog alertdialog""".split()
+)
+#: Words that say that what follows is not there, or beside.
+BEHIND = frozenset("has no not with without hide".split())
+#: Words before "header" that make it the header of a text.
+OWN = frozenset("entry post article story content section chapter".split())
+#: A line of so many characters outside links is a sentence.
+SENTENCE = 80
 #: Elements whose own names are not looked at: they hold the article or the page.
 WHOLE = frozenset(("html", "body", "article", "main"))
 #: Elements that an open paragraph inside them doesn't reach out of.
@@ -49,39 +63,56 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Line:
-    __slots__ = ("holder", "item", "link", "tags", "text")
+    __slots__ = ("holder", "item", "link", "pieces", "tags", "text")
+
+    def __init__(self, text: str, tags: int, link: int, holder: int, item: bool, pieces: list[tuple[int, str, bool]] = ()):
+        self.text, self.tags, self.link, self.holder, self.item, self.pieces = text, tags, link, holder, item, pieces
+
 
-    def __init__(self, text: str, tags: int, link: int, holder: int, item: bool):
-        self.text, self.tags, self.link, self.holder, self.item = text, tags, link, holder, item
+@lru_cache(1 << 14)
+def _level(value: str, inside: bool) -> int:
+    """Whether a class, id or role proposes that its element is no article text: 0 not, 1 by a word that also names parts of articles, 2 by another."""
+    level = 0
+    for token in value.split():
+        last = ""
+        for word in map(str.lower, _PART.findall(token)):
+            if word in BEHIND:
+                break
+            if word in NAMES and not (word == "header" and (inside or last in OWN)):
+                level = max(level, 1 + (word in PLAIN))
+            last = word
+    return level
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        if name in ("class", "id", "role") and value:
-            if any(p.lower() in NAMES for p in _PART.findall(value)):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value)):
-            return True
-    return False
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and v and _HIDDEN.search(v)) for n, v in attrs)
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines. holders: for each element that may hold lines, (its parent's number, its tag)."""
+    """Collects a page's lines. holders: for each element that may hold lines, (its parent's number, its tag).
+
+    proposals: for each element that may be no article text, (the number of the one around it, its level, its holder); number 0 is the page.
+    at: for each holder the innermost proposal around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.holders: list[tuple[int, str]] = [(-1, "")]
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, left out, holder
-        self.parts: list[str] = []
-        self.tags = self.link = self.in_link = 0
+        self.at = [0]
+        self.proposals: list[tuple[int, int, int]] = [(-1, 0, 0)]
+        self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, left out, holder, proposal
+        self.pieces: list[tuple[int, str, bool]] = []  # proposal, text, in a link
+        self.tags = self.in_link = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        pieces = self.pieces
+        text = " ".join("".join([t for _, t, _ in pieces]).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.link, self.stack[-1][2], any(t == "li" for t, _, _ in self.stack[-3:])))
-        self.parts.clear()
-        self.tags = self.link = 0
+            link = sum([len(t) for _, t, on in pieces if on])
+            self.lines.append(Line(text, self.tags, link, self.stack[-1][2], any(x[0] == "li" for x in self.stack[-3:]), pieces))
+        self.pieces = []
+        self.tags = 0
 
     def _close(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -99,7 +130,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.parts.append(" ")
+            self.pieces.append((self.stack[-1][3], " ", False))
             self.tags += 1
             return
         block = tag not in INLINE
@@ -113,17 +144,32 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, out, holder = self.stack[-1]
+        _, out, holder, proposal = self.stack[-1]
         if not out:
-            out = tag in NEVER or (tag not in WHOLE and bool(attrs) and _named(attrs))
-            if tag == "header":  # a page's header; that of an article may hold its title
-                out = out or not any(t in ("article", "main") for t, _, _ in self.stack)
+            out = tag in NEVER or (tag not in WHOLE and bool(attrs) and _hidden(attrs))
+            level = 0 if out else self._proposed(tag, attrs)
+            if level:
+                self.proposals.append((proposal, level, holder))
+                proposal = len(self.proposals) - 1
         if block and not out and tag != "p" and tag not in HEADINGS:
             self.holders.append((holder, "main" if ("role", "main") in attrs else tag))
+            self.at.append(proposal)
             holder = len(self.holders) - 1
-        self.stack.append((tag, out, holder))
+        self.stack.append((tag, out, holder, proposal))
         self.in_link += tag == "a"
 
+    def _proposed(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag in WHOLE or tag in HEADINGS or (not attrs and tag not in SELDOM):
+            return 0
+        values = [v for n, v in attrs if v and n in ("class", "id", "role")]
+        level = max((_level(v, False) for v in values), default=0)
+        if level or tag == "header":
+            inside = any(x[0] in ("article", "main") for x in self.stack)
+            level = max((_level(v, inside) for v in values), default=0)
+            if tag == "header" and not inside:
+                level = 2
+        return 2 if tag == "form" else level
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -141,9 +187,63 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.stack[-1][1]:
-            self.parts.append(data)
-            if self.in_link:
-                self.link += len(data)
+            self.pieces.append((self.stack[-1][3], data, self.in_link > 0))
+
+
+def settled(page: Lines, most: float = 0.5, rest: float = 0.2) -> list[Line]:
+    """The lines without those of proposed elements that are no article text.
+
+    A proposed element stays if it holds the page's largest article or main element, or `most` of the page's text outside links while less than `rest`
+    of that text stands elsewhere in the largest article. One proposed by a word that also names parts of articles stays as well if it has a
+    sentence and at most half of its text is in links. If nothing would be left of a page without article or main, all lines stay.
+    """
+    proposals, holders = page.proposals, page.holders
+    if len(proposals) == 1:
+        return page.lines
+    free, whole, longest = ([0] * len(proposals) for _ in range(3))
+    top = [0] * len(holders)  # the outermost article or main element around a holder
+    for k in range(1, len(holders)):
+        top[k] = top[holders[k][0]] or (k if holders[k][1] in ("article", "main") else 0)
+    article = {k: 0 for k in top if k}
+    for x in page.lines:
+        own: dict[int, int] = {}
+        for k, text, linked in x.pieces:
+            n = len(text.strip())
+            whole[k] += n
+            if not linked:
+                free[k] += n
+                own[k] = own.get(k, 0) + n
+        for k, n in own.items():
+            longest[k] = max(longest[k], n)
+        if top[x.holder]:
+            article[top[x.holder]] += sum(own.values())
+    for k in range(len(proposals) - 1, 0, -1):  # inner ones come after those around them
+        up = proposals[k][0]
+        free[up] += free[k]
+        whole[up] += whole[k]
+        longest[up] = max(longest[up], longest[k])
+    best = max(article, key=article.get, default=0)
+    holds, k = set(), page.at[best]
+    while k > 0:
+        holds.add(k)
+        k = proposals[k][0]
+    gone = [False] * len(proposals)
+    for k in range(1, len(proposals)):
+        up, level, holder = proposals[k]
+        other = article[best] - (free[k] if top[holder] == best else 0) if best else 0
+        large = free[k] >= most * free[0] > 0 and other < rest * free[0] and (not best or article[best] > 0)
+        sentences = level == 1 and longest[k] >= SENTENCE and 2 * free[k] >= whole[k]
+        gone[k] = gone[up] or not (k in holds or large or sentences)
+    lines = []
+    for x in page.lines:
+        if any(gone[k] for k, _, _ in x.pieces):
+            pieces = [y for y in x.pieces if not gone[y[0]]]
+            text = " ".join("".join([t for _, t, _ in pieces]).split())
+            if not text:
+                continue
+            x = Line(text, x.tags, sum([len(t) for _, t, on in pieces if on]), x.holder, x.item, pieces)
+        lines.append(x)
+    return lines if lines or best else page.lines
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -189,7 +289,7 @@ def extract(html: str | None, sigma: float = 1.5, spread: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = settled(parser)
     if not lines:
         return ""
     holders = parser.holders

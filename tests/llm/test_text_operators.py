@@ -374,6 +374,33 @@ def test_html_goes_on_after_declarations(name):
     assert html_extract.extract(html) == want
 
 
+SENTENCES = ["This is the %s sentence of an article, and it is long enough to be taken for a sentence by all." % n for n in ("first", "second", "third", "fourth", "fifth", "sixth")]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in SENTENCES)
+WHOLE = "\n\n".join(SENTENCES)
+AD = "<div class=ad><p>Buy now, as this offer of ours ends soon, and it will not come again before the next year.</p></div>"
+NAMED = {
+    "discussion": (f"<main>{PARAGRAPHS}<section id=discussion><h2 id=the-discussion>So what</h2><p>{SENTENCES[0]}</p></section></main>", f"{WHOLE}\n\nSo what\n\n{SENTENCES[0]}"),
+    "heading": (f"<article><h2 id=related-work>Related work</h2>{PARAGRAPHS}</article>", f"Related work\n\n{WHOLE}"),
+    "entry header": (f"<article><header class=entry-header><h1>Title</h1></header>{PARAGRAPHS}{AD}</article>", f"Title\n\n{WHOLE}"),
+    "has": (f"<div class='content has-sidebar'>{PARAGRAPHS}</div>{AD}", WHOLE),
+    "no": (f"<div class='no-comments'>{PARAGRAPHS}</div>{AD}", WHOLE),
+    "wrapper": (f"<div class=sidebar-layout><article>{PARAGRAPHS}</article><div class=sidebar><p>{SENTENCES[0]}</p></div></div>", WHOLE),
+    "large": (f"<div class='ad-free'>{PARAGRAPHS}</div>", WHOLE),
+    "form": (f"<body><form action=/>{PARAGRAPHS}</form>{AD}</body>", WHOLE),
+    "short form": ("<body><form action=/><p>All there is.</p><input></form></body>", "All there is."),
+    "long comments": (f"<article>{PARAGRAPHS}</article><div id=comments>{PARAGRAPHS * 3}</div>", WHOLE),
+    "related links": (f"<article>{PARAGRAPHS}<div class=related><a href=a>{SENTENCES[0]}</a></div></article>", WHOLE),
+    "inline": (f"<article><p>One <span class=ad>two</span> three.</p>{PARAGRAPHS}</article>", f"One three.\n\n{WHOLE}"),
+    "empty article": (f"<article></article>{AD}", ""),
+}
+
+
+@pytest.mark.parametrize("name", list(NAMED))
+def test_html_names_only_propose(name):
+    html, want = NAMED[name]
+    assert html_extract.extract(html) == want
+
+
 def test_html_table(spark):
     rows = [(k, f"u{k}", h, "x") for k, (h, _) in enumerate(PAGES.values())] + [(None, None, None, None)]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
