@@ -4,8 +4,8 @@ The standard library's parser streams events. Block elements cut the page into l
 how much of it is link text, and the element that holds it. What stands in elements that are never content (scripts,
 controls, navigation, asides, page footers, hidden elements) is left out at once. Forms, page headers and elements whose class, id or role names a menu,
 advert, notice, comment list and the like are only proposed: once the page is read they go, unless they hold the page's text (see settled()). Of the other lines the ratio of text to tags is smoothed over neighbouring lines; lines above a threshold set by the page's own
-spread are content. The content region is the innermost element that holds nearly all text of those lines, or an article or main element with most
-of it, and the page's text is every line of that region, so short lines between long ones stay.
+spread are content. The content region is the innermost element that holds all of those lines (but for lines of links), or an article or main element with most
+of their text, and the page's text is every line of that region, so short lines between long ones stay.
 """
 
 from __future__ import annotations
@@ -261,14 +261,19 @@ def content_lines(lines: list[Line], sigma: float, spread: float) -> np.ndarray:
     return smooth >= min(spread * float(smooth.std()), float(smooth.mean())) if len(lines) > 1 else np.ones(1, dtype=bool)
 
 
-def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray, most: float = 0.5, nearly: float = 0.8) -> int:
-    """The element that holds the article."""
-    weight = [0] * len(holders)
+def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray, most: float = 0.5) -> int:
+    """The element that holds the article: an article or main element with `most` of the chosen text, or else the innermost that holds every chosen line.
+
+    Lines that are mostly links are chosen for their neighbours only and don't count for the latter.
+    """
+    weight, firm = [0] * len(holders), [0] * len(holders)
     for x, on in zip(lines, chosen.tolist()):
         if on:
             weight[x.holder] += len(x.text)
+            firm[x.holder] += 2 * x.link < len(x.text)
     for k in range(len(holders) - 1, 0, -1):  # children come after their parents
         weight[holders[k][0]] += weight[k]
+        firm[holders[k][0]] += firm[k]
     whole = [(weight[k], -k) for k in range(len(holders)) if holders[k][1] in ("article", "main") and weight[k] >= most * weight[0] > 0]
     if whole:
         return -max(whole)[1]
@@ -276,8 +281,8 @@ def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray
     for k in range(1, len(holders)):
         children.setdefault(holders[k][0], []).append(k)
     at = 0
-    while own := [k for k in children.get(at, ()) if weight[k] >= nearly * weight[at] > 0]:
-        at = max(own, key=lambda k: weight[k])
+    while own := [k for k in children.get(at, ()) if firm[k] == firm[at] > 0]:
+        at = own[0]
     return at
 
 

@@ -401,6 +401,20 @@ def test_html_names_only_propose(name):
     assert html_extract.extract(html) == want
 
 
+LEAD = "A lead paragraph that is long enough to be chosen by itself, ahead of the text."
+BESIDE = {
+    "lead": (f"<body><div class=post><h1>A title of the page</h1><p>{LEAD}</p><div class=text>{PARAGRAPHS}</div></div></body>", f"A title of the page\n\n{LEAD}\n\n{WHOLE}"),
+    "levels": (f"<div><p>{LEAD}</p><div><p>{LEAD}</p><blockquote>{PARAGRAPHS}</blockquote><p>{LEAD}</p></div></div>", "\n\n".join([LEAD, LEAD, WHOLE, LEAD])),
+    "menu": (f"<div><div><a href=a>One</a> <a href=b>Two</a></div><div>{PARAGRAPHS}</div></div>", WHOLE),
+}
+
+
+@pytest.mark.parametrize("name", list(BESIDE))
+def test_html_keeps_chosen_lines_beside_the_largest_element(name):
+    html, want = BESIDE[name]
+    assert html_extract.extract(html) == want
+
+
 def test_html_table(spark):
     rows = [(k, f"u{k}", h, "x") for k, (h, _) in enumerate(PAGES.values())] + [(None, None, None, None)]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
