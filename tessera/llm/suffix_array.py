@@ -1,9 +1,10 @@
-"""Induced suffix sorting with disk-backed queues.
+"""Induced suffix sorting in memory.
 
 Suffixes are left-to-right minima (LMS) or are induced: once the suffixes that start with a symbol are in order, the suffixes one position before
 them follow in that order within their own symbol. The queue that carries them is a priority queue whose priorities are
 symbols: pops come with a symbol's suffixes in order of arrival, and each pop pushes to symbols not yet passed. Pushes and pops are whole
-arrays. Queues beyond `room` suffixes go to a scratch file, so a shard may be far larger than memory; the text may be a memory map.
+arrays. What waits in a queue beyond `room` suffixes goes to a scratch file, but that bounds the queue alone: the text, its types, the names of LMS
+substrings and the sorted suffixes are held in memory, so this is no external sort.
 
 Only order up to `depth` symbols matters to the callers here. The recursion sorts the names of the LMS substrings; as they form a large alphabet, it is
 done by doubling, which ends as soon as names are distinct or reach depth. Common prefixes of neighbours are then measured 8 bytes at a time, up to depth.

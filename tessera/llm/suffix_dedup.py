@@ -2,7 +2,7 @@
 
 The corpus is cut at content-defined anchors (see anchors.py), and the stretches of text around anchors that occur more
 than once are dealt into shards by the anchor's hash, so that equal strings meet in one shard. In a shard equal stretches become one, the
-distinct ones are suffix-sorted by induction with disk-backed queues, and neighbours whose common prefix is
+distinct ones are suffix-sorted by induction in memory, and neighbours whose common prefix is
 `size` bytes or more form a class of equal strings; all but the earliest occurrence of a class are duplicates.
 """
 
