@@ -268,7 +268,7 @@ def hybrid_retrieve(spark, d):
     docs = table(spark, d, "documents")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-    q = q.join(docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query")), "query_id")
+    q = q.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return retriever.Retriever(docs, vectors).retrieve(q, 10)
 
 
