@@ -741,8 +741,7 @@ def keywords(spark, d):
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')) AS INT) AS iso, CASE WHEN length(regexp_extract(text, '^[ \t\r\n]*([^\r\n]+)', 1)) <= 100 THEN trim(regexp_extract(text, '^[ \t\r\n]*([^\r\n]+)', 1)) END AS title FROM documents WHERE NOT regexp_matches(text, '(?m)^# +(.+)$')")
 def title_and_dates(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^# +(.+)$"))
-    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({domains.DATES[0]})"), F.lit(1))).alias("iso"), domains.title(F.col("text")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({domains.DATES[0]})"), F.lit(1))).alias("iso"), domains.title(F.col("text")).alias("title"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS INT) AS emails, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS INT) AS names FROM documents")

@@ -12,3 +12,10 @@ def test_hybrid_retrieve_asks_with_whole_texts(spark, tmp_path):
     rows = catalog.hybrid_retrieve(spark, str(tmp_path)).collect()
     score = {r.id: r.score for r in rows if r.query_id == 50}
     assert score[1] > 0  # it shares only words behind the first 200 characters
+
+
+def test_title_and_dates_of_every_row(spark, tmp_path):
+    texts = [(1, "Lead on 2024-01-02.\n# The heading\nmore"), (2, None), (3, " First line\n2024-03-04 and 2024-05-06"), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.iso, r.title) for r in catalog.title_and_dates(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "The heading"), 2: (None, None), 3: (2, "First line"), 4: (0, None)}
