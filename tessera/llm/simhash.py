@@ -140,6 +140,15 @@ def links(prints: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
+def _named(classes: DataFrame) -> DataFrame:
+    """classes(fingerprint, first), written, and the label of each one's group."""
+    labels = components(links(classes.select("fingerprint")))
+    named = classes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+        "label", F.coalesce("label", "fingerprint")
+    )
+    return written(named, "named")
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (long) and component_id of every row of docs(doc_id, text).
 
@@ -149,20 +158,20 @@ def cluster(docs: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(docs), "fingerprints")
     classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
-    labels = components(links(classes.select("fingerprint")))
-    named = classes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "label", F.coalesce("label", "fingerprint")
-    )
-    named = written(named, "named")
+    named = _named(classes)
     least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     of_class = written(named.join(least, "label").select("fingerprint", "component_id"), "components")
     return prints.join(of_class, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each group does: the one whose doc_id is the group's component_id.
+    """One row of each group of docs: that of the smallest doc_id (rows without one come last), and of several such rows the one with the least hash of all columns.
 
-    Of several rows with that very doc_id all stay: they are one document. Rows without doc_id stay. Columns are docs'.
+    Rows are told apart by that hash, so rows that share a doc_id are judged one by one, and of exact repeats one stays. Columns are docs'.
     """
-    found = cluster(docs.where("doc_id IS NOT NULL")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dealt(written(found, "removed")), "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64(*docs.columns)
+    prints = written(fingerprints(docs.select("doc_id", row.alias("row"), "text"), ["doc_id", "row"]), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "classes")
+    kept = written(_named(classes).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
+    return docs.withColumn("__row", row).join(dealt(kept), "__row").dropDuplicates(["__row"]).select(*docs.columns)

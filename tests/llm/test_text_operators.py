@@ -157,6 +157,15 @@ def test_simhash_components(spark, docs, rows, empty):
     assert simhash.cluster(empty).count() == simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    rng = random.Random(11)
+    one, two, three, four = (" ".join(str(rng.random()) for _ in range(40)) for _ in range(4))
+    rows = [(1, one, "a"), (2, one, "a"), (2, two, "a"), (3, three, "a"), (3, three, "a"), (3, three, "b"), (None, one, "a"), (None, four, "a"), (None, four, "a"), (4, None, "a"), (None, "", "a")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert Counter(got) == Counter([(1, one), (2, two), (3, three), (None, four), (4, None)])
+
+
 def test_simhash_links_span_all_links():
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 62))
