@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by fingerprints of windows of words.
 
 The corpus is cut at content-defined anchors (see anchors.py) and its pieces are dealt into reference blocks by the hash
 of their anchor, so that all occurrences of a window of words meet in one block; a document is parsed against every block that can hold
-any of its windows. A block is indexed by the fingerprints of its windows with the first occurrence of each in document order. A document's windows are
-then parsed greedily: a factor goes on while the next window is in the index with a source in an earlier document; where a factor ends,
-the windows across its boundary are looked up one by one, since each has its own entry, so none is lost between factors. A factor of `size`
-words or more is a duplicate span.
+any of its windows. A block's windows are sorted by fingerprint, and each is a duplicate if the least doc_id with its fingerprint is less
+than its own; runs of duplicate windows are spans. This is not relative Lempel-Ziv parsing, to which the same windows would be duplicates: a factor of it would follow one
+source position, while a word goes if any window over it stands anywhere earlier, so every window has to be looked up anyway.
 
 Windows count as equal if their 64-bit fingerprints and the bucket, which is taken from other bits, are equal.
 """
@@ -32,7 +31,7 @@ def _fingerprints(symbols: np.ndarray, first: np.ndarray, n: np.ndarray, size: i
 
 
 def parse_block(table: pa.Table, size: int) -> pa.Table:
-    """Parse all runs of one reference block against it; the spans that earlier documents hold, by the document's block."""
+    """Look up the windows of all runs of one reference block in it; the spans that earlier documents hold, by the document's block."""
     block, records, content = anchors.received(table)
     prints = np.frombuffer(content, dtype=np.uint64)
     n = records["n"].astype(np.int64)
