@@ -3,9 +3,10 @@
 A text is cut behind each line where a rolling hash over the hashes of the last `window` lines is a multiple of `divisor`, so
 an insertion shifts boundaries only nearby. Chunks of two lines or more that stand elsewhere too are removed but for their first occurrence. Chunks are
 matched by a 64-bit hash first; then the texts of all chunks of a hash are compared byte by byte (their least and greatest
-are equal, or else they are grouped by the text itself), so a collision never removes anything.
+are equal, or else they are grouped by the text itself), so a collision removes nothing.
 
-Only positions and hashes of chunks are dealt out at first; texts follow for those that repeat, each once per map task.
+Only positions and hashes of chunks are dealt out at first. The documents move once, to meet the list of their repeated chunks, and are written; the
+texts of repeated chunks follow from there, each once per map task, to be compared. Unless a hash differs, the result is then a scan of what was written.
 """
 
 from __future__ import annotations
@@ -45,37 +46,38 @@ def chunks(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Colum
     return let(let(value, ends), between)
 
 
+def row_hash() -> Column:
+    """Tells rows apart, together with doc_id."""
+    return F.xxhash64("doc_id", "text")
+
+
+def chunk_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def chunk_text(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least: int = 2) -> DataFrame:
-    """(row, at): for each row of docs (by xxhash64 of doc_id and text) the chunks (start, n) to remove."""
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    """(doc_id, row, cs): for each row of docs (row: hash of doc_id and text) its chunks whose hash stands elsewhere too, as structs (hash, start, n, is_first).
+
+    is_first: of all places of the hash this one has the least doc_id, row and start. No text moves.
+    """
+    own = docs.select("doc_id", row_hash().alias("row"), "text")
     cut = let(
         lines_of(F.col("text")),
         lambda x: F.transform(
             F.filter(chunks(x, window, divisor), lambda c: c["n"] >= least),
-            lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(chunk_text(x, c["start"], c["n"])).alias("hash")),
+            lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), chunk_hash(chunk_text(x, c["start"], c["n"])).alias("hash")),
         ),
     )
     # the outer form keeps Spark from computing the array a second time to filter on its size
     places = written(own.select("doc_id", "row", F.inline_outer(cut)).where("hash IS NOT NULL"), "chunks")
     owner = F.struct("doc_id", "row", "start")
     many = written(places.groupBy("hash").agg(F.count("*").alias("c"), F.min(owner).alias("first")).where("c > 1").select("hash", "first"), "hashes")
-    found = written(places.join(many, "hash").select("hash", "row", "start", "n", "doc_id", (owner == F.col("first")).alias("is_first")), "found")
-
-    per = found.groupBy("row").agg(F.collect_set(F.struct("hash", "doc_id", "start", "n")).alias("cs"))
-    texts = own.select("row", "text").join(dealt(per), "row").select(
-        "row", F.inline(let(lines_of(F.col("text")), lambda x: F.transform("cs", lambda c: c.withField("t", chunk_text(x, c["start"], c["n"])))))
-    )
-    same = written(texts.groupBy("hash").agg((F.min("t") == F.max("t")).alias("same")), "same")
-    gone = found.where(~F.col("is_first")).join(same.where("same"), "hash").select("row", "start", "n")
-    # hashes that differing texts share: none, as a rule
-    mixed = texts.join(same.where(~F.col("same")).select("hash"), "hash")
-    firsts = mixed.groupBy(F.col("hash").alias("h"), F.col("t").alias("u")).agg(F.min(owner).alias("first"))
-    rest = mixed.join(firsts, (F.col("hash") == F.col("h")) & (F.col("t") == F.col("u"))).where(owner != F.col("first")).select("row", "start", "n")
-    return gone.unionByName(rest).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("__at"))
+    found = places.join(many, "hash").withColumn("is_first", owner == F.col("first"))
+    return written(found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("hash", "start", "n", "is_first")).alias("cs")), "repeated")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -85,13 +87,34 @@ def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Data
     one empty line, as an empty text has. Rows equal in doc_id and text are one document: what goes from one goes from the other.
     Other columns pass through (docs' own n_lines or n_removed give way). An empty table gives none.
     """
-    gone = written(repeated(docs, window, divisor), "gone").withColumnRenamed("row", "__row")
-    out = docs.join(dealt(gone), F.xxhash64("doc_id", "text") == F.col("__row"), "left")
+    gone = repeated(docs, window, divisor).toDF("__doc_id", "__row", "__cs")
+    same_row = (row_hash() == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    held = written(docs.join(dealt(gone), same_row, "left").drop("__doc_id"), "held")
+    lines = lines_of(F.col("text"))
+    texts = held.where("__cs IS NOT NULL").select(
+        "doc_id", F.col("__row").alias("row"), F.inline(let(lines, lambda x: F.transform("__cs", lambda c: c.withField("t", chunk_text(x, c["start"], c["n"])))))
+    )
+    differ = written(texts.groupBy("hash").agg((F.min("t") == F.max("t")).alias("same")).where("NOT same").select("hash"), "differ")
+    at = F.transform(F.filter("__cs", lambda c: ~c["is_first"]), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))
+    if differ.isEmpty():
+        out = held.withColumn("__at", at)
+    else:  # hashes that differing texts share: these chunks are told apart by the texts themselves
+        mixed = texts.join(differ, "hash").select("doc_id", "row", "start", "n", F.col("hash").alias("h"), F.col("t").alias("u"))
+        owner = F.struct("doc_id", "row", "start")
+        firsts = mixed.groupBy("h", "u").agg(F.min(owner).alias("first"))
+        place = F.struct("start", "n")
+        rest = mixed.join(firsts, ["h", "u"]).groupBy("doc_id", "row").agg(
+            F.collect_set(place).alias("__mixed"), F.collect_set(F.when(owner != F.col("first"), place)).alias("__later")
+        )
+        rest = written(rest.withColumnsRenamed({"doc_id": "__doc_id", "row": "__other"}), "mixed")
+        own = held.join(dealt(rest), (F.col("__row") == F.col("__other")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
+        none = F.array().cast("array<struct<start:int,n:int>>")
+        out = own.withColumn("__at", F.array_union(F.array_except(at, F.coalesce("__mixed", none)), F.coalesce("__later", none)))
 
     def kept(x: Column) -> Column:
         return F.array_join(F.filter(x, lambda line, i: ~F.exists("__at", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"]))), "\n")
 
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(let(lines_of(F.col("text")), kept))
+    text = F.when(F.coalesce(F.size("__at"), F.lit(0)) <= 0, F.col("text")).otherwise(let(lines, kept))
     removed = F.coalesce(F.aggregate("__at", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0).cast("long"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in own), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"))
