@@ -79,15 +79,20 @@ def usable(leaves: DataFrame, levels: Sequence[Level], depth: int, epochs: int)
     return leaves.where(good).groupBy(*(x.name for x in levels[: depth + 1])).agg((F.sum("tokens") * epochs).cast("long").alias("capacity"))
 
 
+def row_hash(levels: Sequence[Level]) -> Column:
+    """Rows of one hash have the same doc_id, text and leaf."""
+    return F.xxhash64("doc_id", "text", *(F.coalesce(x.value, F.lit("")) for x in levels))
+
+
 def plan(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: int = 2, seed: int = 0) -> DataFrame:
-    """doc_id, the level names, n_tokens, copies, and row (xxhash64 of doc_id and text) of each row of docs(doc_id, text, ...).
+    """doc_id, the level names, n_tokens, copies, and row (row_hash) of each row of docs(doc_id, text, ...).
 
     copies is how often the document is taken, 0 for left out. Tokens are words. Null level values count as ''. A document without
-    tokens is taken never. Rows equal in doc_id and text get the same copies if they are not parted by the end of a budget. The order within an epoch is
+    tokens is taken never. Rows equal in doc_id, text and leaf get the same copies if they are not parted by the end of a budget; else some get one more. The order within an epoch is
     by hash, then row. An empty table gives none.
     """
     names = [x.name for x in levels]
-    own = docs.select("doc_id", *(F.coalesce(x.value, F.lit("")).alias(x.name) for x in levels), F.size(words(F.col("text"))).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("row"))
+    own = docs.select("doc_id", *(F.coalesce(x.value, F.lit("")).alias(x.name) for x in levels), F.size(words(F.col("text"))).cast("long").alias("n_tokens"), row_hash(levels).alias("row"))
     own = written(own, "tokens")
     leaves = written(own.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     allotted = budgets(leaves, levels, per_cent, epochs).where("budget > 0")
@@ -119,7 +124,15 @@ def plan(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: i
 
 
 def mix(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: int = 2, seed: int = 0) -> DataFrame:
-    """docs, each row as often as plan() takes it; columns are docs'."""
-    found = written(plan(docs, levels, per_cent, epochs, seed).where("copies > 0").groupBy(F.col("row").alias("__row")).agg(F.max("copies").alias("__copies")), "copies")
-    out = docs.join(dealt(found), F.xxhash64("doc_id", "text") == F.col("__row"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs, each row as often as plan() takes it; columns are docs'.
+
+    Rows that plan() cannot tell apart (equal in doc_id, text and leaf) share the copies of all of them; where these don't divide, those with the least hash of all
+    columns get one more. Null doc_ids, texts and level values are as in plan(); null and wordless texts go. An empty table gives none.
+    """
+    taken = plan(docs, levels, per_cent, epochs, seed).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
+    found = written(taken.where("__sum > 0"), "copies")
+    out = docs.withColumn("__own", row_hash(levels)).join(dealt(found), F.col("__own") == F.col("__row"))
+    place = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+    copies = F.floor(F.col("__sum") / F.col("__n")) + (F.col("__place") <= F.col("__sum") % F.col("__n")).cast("long")
+    out = out.withColumn("__place", place).withColumn("__copies", copies).where("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
