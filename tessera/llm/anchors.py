@@ -7,8 +7,9 @@ window the `gram` symbols whose hash is least are its anchor (the leftmost on ti
 2. only windows around those anchors are sent on, again dealt by the anchor's hash, where equal windows meet;
 3. what is decided there returns to the block as spans of its documents.
 
-Every window is covered, whatever the corpus: the first step only drops windows that cannot occur twice. Blocks are
-hashes of doc_id; all exchanges carry packed arrays. A frequent anchor is sent twice at most by each block in step 1.
+Every window is covered, whatever the corpus: the first step only drops windows that cannot occur twice. Hashes only lead windows together; whether
+they are equal is decided by their content. Blocks are hashes of doc_id and grow in number with the corpus; all exchanges carry packed arrays. A frequent anchor is
+sent twice at most by each block in step 1. Windows around a hot anchor, one that many blocks hold, are dealt in step 2 by a second anchor of the window as well.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from tessera.session import ship
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20
+#: Low bits of a gram's hash that give way to its place: a chunk has fewer symbols than 2 ** PLACE.
+PLACE = 22
+#: Bytes of text that a block holds, about, and the number of blocks that makes an anchor hot.
+BLOCK, HOT = 32 << 20, 32
 #: Stands for a missing doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
 
@@ -88,17 +93,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a UTF-8 text."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, and where the words begin and end. Different words may share a hash."""
     starts, ends, data = word_bounds(text)
     if not len(starts):
-        return np.zeros(0, dtype=U)
+        return np.zeros(0, dtype=U), starts, ends
     out = []
     for at in range(0, len(starts), CHUNK >> 2):  # a long text in parts
         s, e = starts[at : at + (CHUNK >> 2)], ends[at : at + (CHUNK >> 2)]
         part = data[s[0] : e[-1]].astype(U) + U(1)
         out.append(spans_hash(part, s - s[0], e - s[0]))
-    return np.concatenate(out)
+    return np.concatenate(out), starts, ends
 
 
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,52 +114,84 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), data
 
 
+def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    return ~sliding_min(~x, width)
+
+
+@dataclass
+class Chunk:
+    """Pieces of texts end to end: their symbols, where each symbol's bytes begin and end in raw, and each piece's start, document and offset there."""
+
+    symbols: np.ndarray
+    raw: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    starts: np.ndarray
+    docs: np.ndarray
+    offsets: np.ndarray
+
+
 @dataclass
 class Windows:
-    """How a corpus is cut: symbols of a text, window size, gram size."""
+    """How a corpus is cut: symbols of a text with the places of their bytes, window size, gram size, symbols of a chunk, what parts the contents of two runs."""
 
-    symbols: Callable[[bytes], np.ndarray]
+    symbols: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
     size: int
     gram: int
+    chunk: int = CHUNK
+    between: bytes = b""
 
-    def chunks(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(symbols, piece starts, document of each piece, its offset there): texts end to end, long ones cut with windows kept whole."""
-        held, starts, docs, offsets, n = [], [], [], [], 0
+    def chunks(self, texts: list[bytes]) -> Iterator[Chunk]:
+        """All texts; long ones are cut with windows kept whole."""
+        held, n, width = [], 0, 0
         for d, text in enumerate(texts):
-            own = self.symbols(text)
-            for at in range(0, max(0, len(own) - self.size + 1), CHUNK):
-                part = own[at : at + CHUNK + self.size - 1]
-                held.append(part)
-                starts.append(n)
-                docs.append(d)
-                offsets.append(at)
-                n += len(part)
-                if n >= CHUNK:
-                    yield self._chunk(held, starts, docs, offsets)
-                    held, starts, docs, offsets, n = [], [], [], [], 0
+            own, begin, end = self.symbols(text)
+            for at in range(0, max(0, len(own) - self.size + 1), self.chunk):
+                to = min(len(own), at + self.chunk + self.size - 1)
+                raw = text[begin[at] : end[to - 1]]
+                shift = width - int(begin[at])
+                held.append((own[at:to], raw, begin[at:to] + shift, end[at:to] + shift, n, d, at))
+                n, width = n + to - at, width + len(raw)
+                if n >= self.chunk:
+                    yield self._chunk(held)
+                    held, n, width = [], 0, 0
         if held:
-            yield self._chunk(held, starts, docs, offsets)
+            yield self._chunk(held)
 
     @staticmethod
-    def _chunk(held, starts, docs, offsets):
-        return np.concatenate(held), np.array(starts), np.array(docs), np.array(offsets)
-
-    def runs(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, number of windows, hash of the anchor) of each run of windows that share an anchor."""
-        n = len(symbols)
-        grams = grams_hash(symbols.astype(U) + U(1), self.gram)
-        bits = U((1 << n.bit_length()) - 1)
-        least = sliding_min((grams & ~bits) | np.arange(len(grams), dtype=U), self.size - self.gram + 1)
-        at = (least & bits).astype(np.int64)
+    def _chunk(held: list) -> Chunk:
+        symbols, raw, begin, end, starts, docs, offsets = zip(*held)
+        return Chunk(np.concatenate(symbols), b"".join(raw), np.concatenate(begin), np.concatenate(end), np.array(starts), np.array(docs), np.array(offsets))
+
+    def runs(self, chunk: Chunk, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, number of windows, hash of the anchor, hash to deal by) of each run of windows that share an anchor, or around hot ones both anchors."""
+        n = len(chunk.symbols)
+        grams = grams_hash(chunk.symbols.astype(U) + U(1), self.gram)
+        place = U((1 << PLACE) - 1)
+        keys = (grams & ~place) | np.arange(len(grams), dtype=U)
+        at = (sliding_min(keys, self.size - self.gram + 1) & place).astype(np.int64)
         valid = np.zeros(n + 1, dtype=np.int8)  # windows that lie in one piece
-        ends = np.append(starts[1:], n) - self.size + 1
-        valid[starts] += 1
+        ends = np.append(chunk.starts[1:], n) - self.size + 1
+        valid[chunk.starts] += 1
         valid[ends] -= 1
-        inside = np.cumsum(valid[: len(at)]) > 0
-        where = np.flatnonzero(inside)
+        where = np.flatnonzero(np.cumsum(valid[: len(at)]) > 0)
         own = at[where]
-        new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        return where[new], np.diff(np.append(new, len(own))), grams[own[new]]
+        change = own[1:] != own[:-1]
+        seeds = grams[own]
+        is_hot = member(seeds, hot) if hot is not None and len(hot) else np.zeros(0, dtype=bool)
+        if is_hot.any():
+            other = (sliding_max(keys, self.size - self.gram + 1) & place).astype(np.int64)[where]
+            change |= is_hot[1:] & (other[1:] != other[:-1])
+        new = np.flatnonzero(np.concatenate(([True], change)))
+        deal = seeds[new]
+        if is_hot.any():
+            deal = np.where(is_hot[new], deal ^ mix(grams[other[new]] + U(1)), deal)
+        return where[new], np.diff(np.append(new, len(own))), seeds[new], deal
+
+
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which x are in known, sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _binary(parts: list[np.ndarray]) -> list[bytes]:
@@ -175,7 +212,7 @@ def ordered(block: pa.Table) -> tuple[list[int], list[bytes], list[int | None]]:
 
 def send_anchors(block: int, texts: list[bytes], cut: Windows, n_buckets: int) -> pa.Table:
     """The anchors of a block, each once, or twice if it is there more than once."""
-    seeds = np.sort(np.concatenate([np.zeros(0, dtype=U), *(cut.runs(symbols, starts)[2] for symbols, starts, _, _ in cut.chunks(texts))]))
+    seeds = np.sort(np.concatenate([np.zeros(0, dtype=U), *(cut.runs(chunk)[2] for chunk in cut.chunks(texts))]))
     third = np.zeros(len(seeds), dtype=bool)
     third[2:] = (seeds[2:] == seeds[1:-1]) & (seeds[2:] == seeds[:-2])
     seeds = seeds[~third]
@@ -187,75 +224,74 @@ def send_anchors(block: int, texts: list[bytes], cut: Windows, n_buckets: int) -
 
 
 def find_repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block, those of its anchors that are there twice or in another block as well."""
+    """Of one bucket: for each block, those of its anchors that are there twice or in another block as well, and which of them are hot."""
     blocks, data = table.column("block").to_numpy(), table.column("data").to_pylist()
     seeds = np.frombuffer(b"".join(data), dtype=U)
     owner = np.repeat(blocks, [len(d) // 8 for d in data])
     order = np.argsort(seeds, kind="stable")
     seeds, owner = seeds[order], owner[order]
-    same = seeds[1:] == seeds[:-1]
-    again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    seeds, owner = seeds[again], owner[again]
+    new = np.flatnonzero(np.concatenate(([True], seeds[1:] != seeds[:-1]))) if len(seeds) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(new, len(seeds)))
+    times = np.repeat(times, times)
+    seeds, owner, times = seeds[times > 1], owner[times > 1], times[times > 1]
     order = np.argsort(owner, kind="stable")
-    seeds, owner = seeds[order], owner[order]
+    seeds, owner, times = seeds[order], owner[order], times[order]
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, dtype=np.int64)
-    return pa.table({"block": pa.array(owner[first], pa.int64()), "data": pa.array(_binary([np.unique(s) for s in np.split(seeds, first[1:])]) if len(first) else [], pa.binary())})
+    parts = [(np.unique(s), np.unique(s[t > HOT])) for s, t in zip(np.split(seeds, first[1:]), np.split(times, first[1:]))] if len(first) else []
+    return pa.table({"block": pa.array(owner[first], pa.int64()), "data": pa.array(_binary([x for x, _ in parts]), pa.binary()), "hot": pa.array(_binary([x for _, x in parts]), pa.binary())})
 
 
-@dataclass
-class Runs:
-    """Runs of windows on their way to a bucket: identity and order of the document, first window, number of windows, content."""
+#: A run of windows on its way to a bucket: identity and order of the document, number of windows, first window. Its content, the bytes of its symbols, goes along.
+RECORD = np.dtype([("id", "<i8"), ("row", "<u4"), ("n", "<u4"), ("at", "<i8")])
 
-    RECORD = np.dtype([("id", "<i8"), ("row", "<u4"), ("n", "<u4"), ("at", "<i8")])
-    records: np.ndarray
-    content: np.ndarray  # symbols or fingerprints of the runs, end to end
 
+def _all(column: pa.ChunkedArray) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(column.to_pylist()), dtype=U))
 
-def send_runs(block: int, table: pa.Table, repeats: pa.Table, cut: Windows, n_buckets: int, content: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], strict: bool) -> pa.Table:
-    """The windows of a block around repeated anchors. content(symbols, first, n, size) gives their content and its length by run.
 
-    A run whose content the block has sent already stands later than that one, so it is decided here and only its place goes on, to a bucket of the block's own; so
+def send_runs(block: int, table: pa.Table, repeats: pa.Table, cut: Windows, n_buckets: int, strict: bool) -> pa.Table:
+    """The windows of a block around repeated anchors, with their bytes, by bucket.
+
+    A run whose bytes the block has sent already stands later than that one, so it is decided here and only its place goes on, to a bucket of the block's own; so
     a frequent passage reaches its bucket once from each block. strict: only an earlier document decides, not an earlier place or a row of the same doc_id.
     """
     ids, texts, _ = ordered(table)
     sent: dict[bytes, int] = {}
     decided: list[np.ndarray] = []
-    known = np.sort(np.frombuffer(b"".join(repeats.column("data").to_pylist()), dtype=U))
+    known, hot = _all(repeats.column("data")), _all(repeats.column("hot"))
     out: dict[int, list[tuple[bytes, bytes]]] = {}
     if len(known):
         ids = np.array(ids, dtype=np.int64)
-        for symbols, starts, docs, offsets in cut.chunks(texts):
-            first, n, seeds = cut.runs(symbols, starts)
-            hit = known[np.minimum(np.searchsorted(known, seeds), len(known) - 1)] == seeds
-            first, n, bucket = first[hit], n[hit], by_bucket(seeds[hit], n_buckets)
+        for chunk in cut.chunks(texts):
+            first, n, seeds, deal = cut.runs(chunk, hot)
+            hit = member(seeds, known)
+            first, n, bucket = first[hit], n[hit], by_bucket(deal[hit], n_buckets)
             order = np.argsort(bucket, kind="stable")
             first, n, bucket = first[order], n[order], bucket[order]
-            piece = np.searchsorted(starts, first, side="right") - 1
-            records = np.zeros(len(first), dtype=Runs.RECORD)
-            records["id"], records["row"], records["n"] = ids[docs[piece]], docs[piece], n
-            records["at"] = first - starts[piece] + offsets[piece]
-            data, sizes = content(symbols, first, n, cut.size)
-            at = np.concatenate(([0], np.cumsum(sizes)))
+            piece = np.searchsorted(chunk.starts, first, side="right") - 1
+            records = np.zeros(len(first), dtype=RECORD)
+            records["id"], records["row"], records["n"] = ids[chunk.docs[piece]], chunk.docs[piece], n
+            records["at"] = first - chunk.starts[piece] + chunk.offsets[piece]
+            raw = chunk.raw
+            contents = [raw[a:b] for a, b in zip(chunk.begin[first].tolist(), chunk.end[first + n + cut.size - 2].tolist())]
             go = np.ones(len(first), dtype=bool)
-            raw, width = data.tobytes(), data.itemsize
-            for r, (doc, a, b) in enumerate(zip(records["id"].tolist(), (at[:-1] * width).tolist(), (at[1:] * width).tolist())):
-                before = sent.setdefault(raw[a:b], doc if strict else -1)
+            for r, (doc, content) in enumerate(zip(records["id"].tolist(), contents)):
+                before = sent.setdefault(content, doc if strict else -1)
                 if strict:
                     go[r] = before >= doc
                 elif before == -1:
-                    sent[raw[a:b]] = 0
+                    sent[content] = 0
                 else:
                     go[r] = False
             if not go.all():
                 decided.append(records[~go])
-                data = data[np.repeat(go, sizes)]
-                records, bucket, sizes = records[go], bucket[go], sizes[go]
-                at = np.concatenate(([0], np.cumsum(sizes)))
-            new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+                contents = [contents[r] for r in np.flatnonzero(go).tolist()]
+                records, bucket = records[go], bucket[go]
+            new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
             for a, b in zip(new, [*new[1:], len(bucket)]):
-                out.setdefault(int(bucket[a]), []).append((records[a:b].tobytes(), data[at[a] : at[b]].tobytes()))
+                out.setdefault(int(bucket[a]), []).append((records[a:b].tobytes(), cut.between.join(contents[a:b])))
     buckets = list(out)
-    records, contents = [b"".join(r for r, _ in out[b]) for b in buckets], [b"".join(c for _, c in out[b]) for b in buckets]
+    records, contents = [b"".join(r for r, _ in out[b]) for b in buckets], [cut.between.join([c for _, c in out[b]]) for b in buckets]
     if decided:
         buckets.append(int(by_bucket(np.array([block], dtype=U), n_buckets)[0]))
         records.append(b"".join(d.tobytes() for d in decided))
@@ -278,18 +314,18 @@ def send_spans(block: np.ndarray, spans: np.ndarray) -> pa.Table:
 def with_decided(table: pa.Table, decide: Callable[[pa.Table], pa.Table], size: int) -> pa.Table:
     """decide() of a bucket's rows with content, and the spans of the runs that were decided before (those rows have none)."""
     is_open = table.column("content").is_valid()
-    own, rest = received(table.filter(pc.invert(is_open)), False), table.filter(is_open)
-    spans = np.zeros(len(own[1]), dtype=SPAN)
-    spans["row"], spans["n"], spans["at"] = own[1]["row"], own[1]["n"] + size - 1, own[1]["at"]
-    return pa.concat_tables([decide(rest), send_spans(own[0], spans)]) if len(rest) else send_spans(own[0], spans)
+    block, records = received(table.filter(pc.invert(is_open)))
+    rest = table.filter(is_open)
+    spans = np.zeros(len(records), dtype=SPAN)
+    spans["row"], spans["n"], spans["at"] = records["row"], records["n"] + size - 1, records["at"]
+    return pa.concat_tables([decide(rest), send_spans(block, spans)]) if len(rest) else send_spans(block, spans)
 
 
-def received(table: pa.Table, contents: bool = True) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(block of each run, records, content) of one bucket."""
+def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(block of each run, records) of one bucket."""
     records = table.column("records").to_pylist()
-    size = Runs.RECORD.itemsize
-    block = np.repeat(table.column("block").to_numpy(), [len(r) // size for r in records])
-    return block, np.frombuffer(b"".join(records), dtype=Runs.RECORD), b"".join(table.column("content").to_pylist()) if contents else b""
+    block = np.repeat(table.column("block").to_numpy(), [len(r) // RECORD.itemsize for r in records])
+    return block, np.frombuffer(b"".join(records), dtype=RECORD)
 
 
 def dup_stretches(block: np.ndarray, records: np.ndarray, flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,16 +366,20 @@ def apply_spans(block: pa.Table, replies: pa.Table) -> Iterator[tuple[int | None
 def plan(
     docs: DataFrame,
     cut: Windows,
-    content: Callable,
     decide: Callable[[pa.Table], pa.Table],
     finish: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     strict: bool,
     finer: int = 1,
+    block_bytes: int = BLOCK,
 ) -> DataFrame:
-    """The steps above as one plan. The dealt-out documents are one exchange that three steps read. finer: buckets of windows for each partition."""
+    """The steps above as one plan. The dealt-out documents are one exchange that three steps read. finer: buckets of windows for each partition.
+
+    The texts are measured first: there are two blocks for each shuffle partition, or more if a block would exceed block_bytes on average.
+    """
     ship(docs.sparkSession)
-    n = n_partitions(docs.sparkSession)
+    measured = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(n_partitions(docs.sparkSession), -(-measured // (2 * block_bytes)))
     n_blocks, n_buckets = 2 * n, n
     blocks = docs.select(
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(n_blocks)).alias("block"),
@@ -352,9 +392,9 @@ def plan(
     anchors = blocks.groupBy("block").applyInArrow(
         lambda key, t: send_anchors(number(key), ordered(t)[1], cut, n_buckets), "bucket long, block long, data binary"
     )
-    repeats = anchors.groupBy("bucket").applyInArrow(find_repeats, "block long, data binary")
+    repeats = anchors.groupBy("bucket").applyInArrow(find_repeats, "block long, data binary, hot binary")
     runs = blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(
-        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, content, strict), "bucket long, block long, records binary, content binary"
+        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, strict), "bucket long, block long, records binary, content binary"
     )
     spans = runs.groupBy("bucket").applyInArrow(lambda t: with_decided(t, decide, cut.size), "block long, data binary")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)

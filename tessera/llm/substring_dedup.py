@@ -1,17 +1,20 @@
-"""Substring dedup by fingerprints of windows of words.
+"""Substring dedup by relative Lempel-Ziv parsing over words.
 
 The corpus is cut at content-defined anchors (see anchors.py) and its pieces are dealt into reference blocks by the hash
-of their anchor, so that all occurrences of a window of words meet in one block; a document is parsed against every block that can hold
-any of its windows. A block's windows are sorted by fingerprint, and each is a duplicate if the least doc_id with its fingerprint is less
-than its own; runs of duplicate windows are spans. This is not relative Lempel-Ziv parsing, to which the same windows would be duplicates: a factor of it would follow one
-source position, while a word goes if any window over it stands anywhere earlier, so every window has to be looked up anyway.
-
-Windows count as equal if their 64-bit fingerprints and the bucket, which is taken from other bits, are equal.
+of their anchor, so that all occurrences of a window of words meet in one block, and a document meets every block that can hold any of its windows. A block indexes
+its windows: of each, the place with the least doc_id. Every piece is then factored against the block, greedily from the left: the index gives an earlier document's
+place with the window at hand, the factor goes on along that source word by word as long as words agree, and where it ends the
+window that starts inside it and crosses its end is looked up next. Where no earlier document has the window, one word is passed over. Factors are
+windows long or longer and become duplicate spans. As the window across each end is looked up anew, the spans are the same whatever source a factor follows.
+
+Words are numbered within the block by their bytes. The index finds windows by a hash of those numbers; the words are then compared, and windows that share
+a hash but not the words are indexed by the words themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +27,76 @@ SIZE = 13
 GRAM = 7
 
 
-def _fingerprints(symbols: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    prints = anchors.grams_hash(symbols + np.uint64(1), size)
-    each = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return prints[each], n
+def numbered(contents: pa.ChunkedArray) -> np.ndarray:
+    """A number for each word of the contents: equal words, and only those, have equal numbers."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    out = [np.zeros(0, dtype=np.int64)]
+    for content in contents:
+        words = content.as_py().split()
+        out.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+    return np.concatenate(out)
+
+
+def index_windows(words: np.ndarray, at: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """For each window (its words start at `at`) the number of the window with the same words and the least doc."""
+
+    def least(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        order = np.lexsort((doc, kind))
+        ranked = kind[order]
+        head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        out = np.empty(len(kind), dtype=np.int64)
+        out[order] = order[head][np.cumsum(head) - 1]
+        return out
+
+    hashes = anchors.grams_hash(words.astype(np.uint64) + np.uint64(1), size)[at]
+    source = least(hashes, doc)
+    same = np.ones(len(at), dtype=bool)
+    for k in range(size):
+        same &= words[at + k] == words[at[source] + k]
+    if not same.all():
+        mixed = np.flatnonzero(np.isin(hashes, hashes[~same]))
+        _, kind = np.unique(words[at[mixed][:, None] + np.arange(size)], axis=0, return_inverse=True)
+        source[mixed] = mixed[least(kind.ravel(), doc[mixed])]
+    return source
+
+
+def parse(words: np.ndarray, n: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """Factor all pieces at once: which windows lie in factors. A piece has n windows, so n + size - 1 words; doc is that of each window."""
+    total = int(n.sum())
+    if not total:
+        return np.zeros(0, dtype=bool)
+    ends = np.cumsum(n)
+    at = np.repeat((size - 1) * np.arange(len(n)), n) + np.arange(total)
+    end = np.repeat(ends, n)  # where a window's piece ends
+    source = index_windows(words, at, doc, size)
+    edge = np.zeros(total + 1, dtype=np.int32)
+    now = ends - n
+    while len(now):
+        step = np.ones(len(now), dtype=np.int64)
+        hit = np.flatnonzero(doc[source[now]] < doc[now])
+        p, q = now[hit], source[now[hit]]
+        length = np.ones(len(hit), dtype=np.int64)
+        live = np.arange(len(hit))
+        while len(live):
+            a, b = p[live] + length[live], q[live] + length[live]
+            inside = (a < end[p[live]]) & (b < end[q[live]])
+            live, a, b = live[inside], a[inside], b[inside]
+            live = live[words[at[a] + size - 1] == words[at[b] + size - 1]]
+            length[live] += 1
+        np.add.at(edge, p, 1)
+        np.add.at(edge, p + length, -1)
+        step[hit] = length
+        now = (now + step)[now + step < end[now]]
+    return np.cumsum(edge[:total]) > 0
 
 
 def parse_block(table: pa.Table, size: int) -> pa.Table:
-    """Look up the windows of all runs of one reference block in it; the spans that earlier documents hold, by the document's block."""
-    block, records, content = anchors.received(table)
-    prints = np.frombuffer(content, dtype=np.uint64)
+    """Factor the pieces of one reference block against it; the spans that earlier documents hold, by the document's block."""
+    block, records = anchors.received(table)
     n = records["n"].astype(np.int64)
-    doc = np.repeat(records["id"], n)
-    # the index: for each fingerprint the least document that holds it
-    order = np.lexsort((doc, prints))
-    ranked = prints[order]
-    head = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=bool)
-    source = np.empty(len(prints), dtype=np.int64)
-    source[order] = doc[order][head][np.cumsum(head) - 1]
-    return anchors.send_spans(*anchors.dup_stretches(block, records, source < doc, size))
+    flags = parse(numbered(table.column("content")), n, np.repeat(records["id"], n), size)
+    return anchors.send_spans(*anchors.dup_stretches(block, records, flags, size))
 
 
 def finish_block(docs: pa.Table, spans: pa.Table, texts: bool) -> pa.Table:
@@ -75,6 +129,6 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = Tru
     """
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return anchors.plan(
-        docs, Windows(anchors.word_hashes, size, gram), _fingerprints,
+        docs, Windows(anchors.word_hashes, size, gram, chunk=1 << 17, between=b" "),
         lambda t: parse_block(t, size), lambda d, s: finish_block(d, s, texts), schema, strict=True,
     )

@@ -22,18 +22,15 @@ SIZE = 100
 GRAM = 40
 
 
-def byte_symbols(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, dtype=np.uint8)
-
-
-def _stretches(symbols: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = n + size - 1
-    return symbols[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+def byte_symbols(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places = np.arange(len(text) + 1)
+    return np.frombuffer(text, dtype=np.uint8), places[:-1], places[1:]
 
 
 def decide_shard(table: pa.Table, size: int) -> pa.Table:
     """The spans of one shard that stand earlier, by the document's block."""
-    block, records, content = anchors.received(table)
+    block, records = anchors.received(table)
+    content = b"".join(table.column("content").to_pylist())
     if not len(records):
         return anchors.send_spans(block, np.zeros(0, dtype=anchors.SPAN))
     n = records["n"].astype(np.int64)
@@ -57,11 +54,11 @@ def decide_shard(table: pa.Table, size: int) -> pa.Table:
     window_at = np.repeat(begin - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())
     place = np.full(len(data), -1, dtype=np.int64)
     place[window_at] = np.arange(len(window_at))
-    # documents in order, and a window's place in the corpus as one number
+    # documents in order, and a window's place in the corpus as one number; a text has fewer than 2 ** 31 bytes
     new = np.concatenate(([True], (records["id"][order][1:] != records["id"][order][:-1]) | (records["row"][order][1:] != records["row"][order][:-1])))
     rank = np.empty(len(n), dtype=np.int64)
     rank[order] = np.cumsum(new)
-    key = np.repeat((rank[firsts] << 40) + records["at"][firsts] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())
+    key = np.repeat((rank[firsts] << 31) + records["at"][firsts] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())
 
     ranked = suffix_array(text, 257, size)
     ranked = ranked[place[ranked] >= 0]
@@ -105,6 +102,6 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = Tru
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return anchors.plan(
-        docs, Windows(byte_symbols, size, gram), _stretches,
+        docs, Windows(byte_symbols, size, gram),
         lambda t: decide_shard(t, size), lambda d, s: finish_block(d, s, texts), schema, strict=False, finer=4,
     )

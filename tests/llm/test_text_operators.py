@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html_extract, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, url_filter
 from tessera.llm.queries import mixture, tokenizer_path
@@ -83,6 +84,81 @@ def test_substring_dedup_without_ids(spark):
     assert sorted((r.doc_id is None, r.n_words, r.n_removed) for r in got) == [(False, 20, 0), (False, 20, 0), (True, 0, 0), (True, 20, 20)]
 
 
+def thue_morse(n, one, two):
+    return "".join(two if bin(k).count("1") % 2 else one for k in range(n))
+
+
+def test_substring_dedup_compares_words(spark):
+    """Words that a polynomial hash modulo 2 ** 64 cannot tell apart."""
+    head = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{head} {thue_morse(1024, 'a', 'b')}"), (2, f"{head} {thue_morse(1024, 'b', 'a')}"), (3, f"{head} {thue_morse(1024, 'b', 'a')}")]
+    got = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k].n_removed for k in (1, 2, 3)] == [0, 0, 13]
+
+
+def local(rows, cut, decide, finish, strict, n_blocks, n_buckets):
+    """The steps of anchors.plan() one after another in this process."""
+    import pyarrow as pa
+
+    from tessera.llm import anchors
+
+    blocks = {}
+    for i, t in rows:
+        blocks.setdefault(hash((i, "block")) % n_blocks, []).append((i, t))
+    blocks = {b: pa.table({"doc_id": pa.array([i for i, _ in v], pa.int64()), "text": pa.array([t for _, t in v], pa.string())}) for b, v in blocks.items()}
+
+    def by(tables, key):
+        whole = pa.concat_tables(tables)
+        return {k: whole.filter(pa.compute.equal(whole[key], k)) for k in set(whole[key].to_pylist())}
+
+    found = by([anchors.find_repeats(t) for t in by([anchors.send_anchors(b, anchors.ordered(t)[1], cut, n_buckets) for b, t in blocks.items()], "bucket").values()], "block")
+    none = pa.table({"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())})
+    runs = by([anchors.send_runs(b, t, found.get(b, none), cut, n_buckets, strict) for b, t in blocks.items()], "bucket")
+    spans = by([anchors.with_decided(t, decide, cut.size) for t in runs.values()], "block")
+    none = pa.table({"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+    out = [finish(t, spans.get(b, none)) for b, t in blocks.items()]
+    return sorted(x for t in out for x in zip(t["doc_id"].to_pylist(), t["n_removed"].to_pylist())), sorted(len(t) for t in runs.values())
+
+
+def test_hot_anchors_are_dealt_by_a_second_one(rows, monkeypatch):
+    from functools import partial
+
+    from tessera.llm import anchors
+    from tessera.llm.anchors import Windows
+
+    rng = random.Random(8)
+    common = " ".join(rng.choice("abcdefgh") * 3 for _ in range(9))
+    texts = [" ".join([str(rng.random()), *rng.choices("pqrs", k=3), common, *rng.choices("pqrs", k=4), str(rng.random())]) for _ in range(300)]
+    pairs = [(i, t) for i, t, *_ in rows] + [(1000 + k, t) for k, t in enumerate(texts)]
+    for cut, decide, finish, strict in (
+        (Windows(anchors.word_hashes, 13, 7, 1 << 17, b" "), partial(substring_dedup.parse_block, size=13), partial(substring_dedup.finish_block, texts=False), True),
+        (Windows(suffix_dedup.byte_symbols, 50, 20), partial(suffix_dedup.decide_shard, size=50), partial(suffix_dedup.finish_block, texts=False), False),
+    ):
+        plain, few = local(pairs, cut, decide, finish, strict, 40, 64)
+        monkeypatch.setattr(anchors, "HOT", 3)
+        split, more = local(pairs, cut, decide, finish, strict, 40, 64)
+        monkeypatch.setattr(anchors, "HOT", 32)
+        assert plain == split and sum(n for _, n in plain) > 0 and few != more
+
+
+def test_parse_with_colliding_hashes(monkeypatch):
+    from tessera.llm import anchors
+
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 8, 200)
+    words = rng.integers(0, 3, int((n + 3).sum()))
+    doc = np.repeat(rng.integers(0, 30, 200), n)
+    want = substring_dedup.parse(words, n, doc, 4)
+    at = np.repeat(3 * np.arange(200), n) + np.arange(n.sum())
+    first = {}
+    for a, d in zip(at, doc):
+        first[tuple(words[a : a + 4])] = min(d, first.get(tuple(words[a : a + 4]), 99))
+    assert want.tolist() == [first[tuple(words[a : a + 4])] < d for a, d in zip(at, doc)]
+    plain = anchors.grams_hash
+    monkeypatch.setattr(anchors, "grams_hash", lambda x, size: plain(x, size) % np.uint64(7))
+    assert substring_dedup.parse(words, n, doc, 4).tolist() == want.tolist()
+
+
 def test_suffix_dedup(docs, rows, empty):
     seen = set()
     got = by_id(suffix_dedup.dedup(docs))
@@ -285,6 +361,25 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_tells_texts_of_one_hash_apart(docs, monkeypatch):
+    want = Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(docs).collect())
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda t: F.pmod(F.xxhash64(t), F.lit(5)))
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(docs).collect()) == want
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda t: F.when(F.length(t) % 2 == 0, F.xxhash64(t)).otherwise(F.lit(5)))
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(docs).collect()) == want
+
+
+def test_line_dedup_repeated_rows_and_null_ids(spark):
+    lines = [f"line {k} of a text" for k in range(40)]
+    a, b = "\n".join(lines), "\n".join(["new"] + lines[:30])
+    rows = [(3, a, 1), (3, a, 2), (2, b, 3), (None, a, 4), (None, a, 5), (None, None, 6), (4, "", 7), (2, a, 8)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, row long"))
+    assert got.columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
+    cut = [(x, y) for x, y in line_chunks(lines) if y - x >= 2]
+    whole = sum(y - x for x, y in cut)
+    assert {r.row: r.n_removed for r in got.collect() if r.row != 3} == {1: whole, 2: whole, 4: 0, 5: 0, 6: 0, 7: 0, 8: whole}
+
+
 def test_line_chunks_resist_shifts():
     rng = random.Random(2)
     lines = [str(rng.random()) for _ in range(200)]
@@ -340,6 +435,18 @@ def test_mixing_prefixes(spark, docs, rows, empty):
     assert mixing.plan(empty, mixture()).count() == mixing.mix(empty, mixture()).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    level = [mixing.Level("source", F.col("source"), {}, 1)]
+    rows = [(1, "a b c d", "s", 1), (1, "a b c d", "s", 2), (1, "a b c d", "s", 2), (1, "a b c d", "t", 3), (None, "a b", "t", 4), (None, "a b", "t", 4), (None, None, "t", 5), (7, " ", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    for per_cent, epochs in ((30, 1), (50, 1), (90, 2), (150, 3)):
+        want = mixing.plan(docs, level, per_cent, epochs, 5).collect()
+        got = mixing.mix(docs, level, per_cent, epochs, 5)
+        assert got.columns == docs.columns and len(want) == len(rows)
+        assert Counter((r.doc_id, r.source) for r in got.collect()) == Counter(x for r in want for x in [(r.doc_id, r.source)] * r.copies)
+    assert mixing.mix(docs, level, 5, 1, 5).count() == 0
+
+
 PAGES = {
     "plain": ("<html><body><article><h1>T &amp; U</h1><p>One\n two<br>three.<p>Be.</article></body>", "T & U\n\nOne two three.\n\nBe."),
     "furniture": (
