@@ -31,8 +31,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20
 #: Low bits of a gram's hash that give way to its place: a chunk has fewer symbols than 2 ** PLACE.
 PLACE = 22
-#: Bytes of text that a block holds, about, and the number of blocks that makes an anchor hot.
-BLOCK, HOT = 32 << 20, 32
+#: Bytes of text for a block and for a bucket, about, and the number of blocks that makes an anchor hot.
+BLOCK, BUCKET, HOT = 8 << 20, 4 << 20, 32
 #: Stands for a missing doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
 
@@ -370,17 +370,18 @@ def plan(
     finish: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     strict: bool,
-    finer: int = 1,
     block_bytes: int = BLOCK,
+    bucket_bytes: int = BUCKET,
 ) -> DataFrame:
-    """The steps above as one plan. The dealt-out documents are one exchange that three steps read. finer: buckets of windows for each partition.
+    """The steps above as one plan. The dealt-out documents are one exchange that three steps read.
 
-    The texts are measured first: there are two blocks for each shuffle partition, or more if a block would exceed block_bytes on average.
+    The texts are measured first: there is a block and a bucket for each shuffle partition, or more, so that none is beyond block_bytes or bucket_bytes of text on average.
     """
     ship(docs.sparkSession)
     measured = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(n_partitions(docs.sparkSession), -(-measured // (2 * block_bytes)))
-    n_blocks, n_buckets = 2 * n, n
+    least = n_partitions(docs.sparkSession)
+    n_blocks, n_buckets = max(least, -(-measured // block_bytes)), max(least, -(-measured // bucket_bytes))
+    n = max(least, -(-n_blocks // 2))
     blocks = docs.select(
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(n_blocks)).alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
@@ -394,7 +395,7 @@ def plan(
     )
     repeats = anchors.groupBy("bucket").applyInArrow(find_repeats, "block long, data binary, hot binary")
     runs = blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(
-        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets * finer, strict), "bucket long, block long, records binary, content binary"
+        lambda key, t, r: send_runs(number(key), t, r, cut, n_buckets, strict), "bucket long, block long, records binary, content binary"
     )
     spans = runs.groupBy("bucket").applyInArrow(lambda t: with_decided(t, decide, cut.size), "block long, data binary")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)

@@ -103,5 +103,5 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = Tru
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return anchors.plan(
         docs, Windows(byte_symbols, size, gram),
-        lambda t: decide_shard(t, size), lambda d, s: finish_block(d, s, texts), schema, strict=False, finer=4,
+        lambda t: decide_shard(t, size), lambda d, s: finish_block(d, s, texts), schema, strict=False,
     )
