@@ -261,10 +261,11 @@ def content_lines(lines: list[Line], sigma: float, spread: float) -> np.ndarray:
     return smooth >= min(spread * float(smooth.std()), float(smooth.mean())) if len(lines) > 1 else np.ones(1, dtype=bool)
 
 
-def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray, most: float = 0.5) -> int:
-    """The element that holds the article: an article or main element with `most` of the chosen text, or else the innermost that holds every chosen line.
+def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray, most: float = 0.5) -> list[int]:
+    """The elements that hold the article: article or main elements with `most` of the chosen text, or else the innermost element that holds every chosen line.
 
-    Lines that are mostly links are chosen for their neighbours only and don't count for the latter.
+    Of several article or main elements beside each other the largest counts, and each with half its chosen text or more. Lines that are mostly links are chosen for their
+    neighbours only and don't count for the innermost element.
     """
     weight, firm = [0] * len(holders), [0] * len(holders)
     for x, on in zip(lines, chosen.tolist()):
@@ -274,16 +275,31 @@ def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray
     for k in range(len(holders) - 1, 0, -1):  # children come after their parents
         weight[holders[k][0]] += weight[k]
         firm[holders[k][0]] += firm[k]
-    whole = [(weight[k], -k) for k in range(len(holders)) if holders[k][1] in ("article", "main") and weight[k] >= most * weight[0] > 0]
+    whole = [k for k in range(len(holders)) if holders[k][1] in ("article", "main") and weight[k] > 0]
     if whole:
-        return -max(whole)[1]
+        large = [k for k in whole if weight[k] >= most * weight[0]]
+        best = max(large or whole, key=lambda k: (weight[k], -k))
+        around = {best}
+        k = best
+        while (k := holders[k][0]) >= 0:
+            around.add(k)
+        found = [best]
+        for k in whole:  # parents come first
+            above, inside = k, False
+            while above >= 0 and not inside:
+                inside = above in found
+                above = holders[above][0]
+            if not inside and k not in around and 2 * weight[k] >= weight[best]:
+                found.append(k)
+        if sum(weight[k] for k in found) >= most * weight[0]:
+            return found
     children: dict[int, list[int]] = {}
     for k in range(1, len(holders)):
         children.setdefault(holders[k][0], []).append(k)
     at = 0
     while own := [k for k in children.get(at, ()) if firm[k] == firm[at] > 0]:
         at = own[0]
-    return at
+    return [at]
 
 
 def extract(html: str | None, sigma: float = 1.5, spread: float = 1.0) -> str:
@@ -299,26 +315,18 @@ def extract(html: str | None, sigma: float = 1.5, spread: float = 1.0) -> str:
         return ""
     holders = parser.holders
     top = region(lines, holders, content_lines(lines, sigma, spread))
-    inside = [False] * len(holders)
-    for k, (parent, _) in enumerate(holders):
-        inside[k] = k == top or (parent >= 0 and inside[parent])
-    kept = [x for x in lines if inside[x.holder]]
-    return "\n\n".join(x.text for x in without_menus(kept))
-
-
-def without_menus(lines: list[Line], least: int = 3) -> list[Line]:
-    """Without runs of `least` or more list items that are nothing but links."""
-    menu = [x.item and x.link >= 0.9 * len(x.text) for x in lines]
-    out, k = [], 0
-    while k < len(lines):
-        end = k
-        while end < len(lines) and menu[end]:
-            end += 1
-        if end - k < least:
-            end = max(end, k + 1)
-            out += lines[k:end]
-        k = end
-    return out
+    inside, lists, article = [False] * len(holders), [0] * len(holders), [False] * len(holders)
+    for k, (parent, tag) in enumerate(holders):
+        inside[k] = k in top or (parent >= 0 and inside[parent])
+        lists[k] = k if tag in ("ul", "ol") else lists[parent] if parent >= 0 else 0
+        article[k] = tag in ("article", "main") or (parent >= 0 and article[parent])
+    return "\n\n".join(x.text for x in without_menus([x for x in lines if inside[x.holder]], lists, article))
+
+
+def without_menus(lines: list[Line], lists: list[int], article: list[bool]) -> list[Line]:
+    """Without lists that are nothing but links, unless they stand in an article or main element. lists: the list around each holder, 0 for none."""
+    other = {lists[x.holder] for x in lines if x.link < 0.9 * len(x.text)}
+    return [x for x in lines if not lists[x.holder] or lists[x.holder] in other or article[x.holder]]
 
 
 def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
