@@ -46,12 +46,25 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+#: What stands beside white space, and white space, when a tokenizer is asked whether it joins characters across it.
+PROBES = ("a", "word", "Z9", "12", "'s", "é", "東京", "!?", ",", "-x-", "\u0301", "<|endoftext|>", "<s>")
+GAPS = (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n ", "\r\n")
+
+
+def parts_at_space(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words in order, as far as probes with all ASCII white space show."""
+    ids = {p: tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES}
+    texts = [(g + a + g + b + g, ids[a] + ids[b]) for g in GAPS for a in PROBES for b in PROBES] + [(g, []) for g in GAPS]
+    found = tokenizer.encode_batch_fast([t for t, _ in texts], add_special_tokens=False)
+    return all(e.ids == want for e, (_, want) in zip(found, texts))
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that never joins characters across ASCII white space, remembering words.
+    """Encodes texts, remembering words where the tokenizer never joins characters across ASCII white space.
 
     For such a tokenizer the ids of a text are those of its words in order, so a word is encoded once per worker. If its tokens also
     mark the ends of pieces (an end-of-word suffix), letters and the marks behind them are remembered apart, and
-    new pieces are encoded many at a time.
+    new pieces are encoded many at a time. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -59,6 +72,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), remembered
+        self.by_word = parts_at_space(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {b"": b""}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -101,11 +115,15 @@ class WordEncoder:
             self.known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of one text, packed. A very long text is taken in pieces that end at white space."""
+        """The ids of one text, packed. A very long text is taken in pieces that end at white space if the tokenizer goes by words."""
+        if not self.by_word:
+            return self._encode([text])[0]
         return b"".join(self._words(piece.split()) for piece in pieces(text))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """encode() of each; what is new in all of them is learned together."""
+        if not self.by_word:
+            return self._encode(texts)
         split = [t.split() if len(t) < 1 << 22 else None for t in texts]
         self._learn([w for words in split if words for w in words if w not in self.known])
         return [self.encode(t) if words is None else self._words(words) for t, words in zip(texts, split)]
@@ -163,13 +181,26 @@ class Shard:
         return len(self.index)
 
     def __getitem__(self, i: int) -> np.ndarray:
-        self.file.seek(int(self.index["offset"][i]))
-        size, crc = LENGTH.unpack(head := self.file.read(LENGTH.size))
-        data = self.file.read(size)
-        (own,) = CRC.unpack(self.file.read(CRC.size))
-        if crc != masked_crc(head[:8]) or own != masked_crc(data):
+        at, n = int(self.index["offset"][i]), int(self.index["n"][i])
+        self.file.seek(at)
+        return self._record(self.file.read(LENGTH.size + n * self.width + CRC.size), i)
+
+    def records(self, at_once: int = 1 << 23) -> Iterator[np.ndarray]:
+        """All records in order, read in stretches of at_once bytes."""
+        ends = np.append(self.index["offset"][1:].astype(np.int64), self.file.size()) if len(self.index) else []
+        held, start = b"", HEAD.size
+        self.file.seek(start)
+        for i, (at, end) in enumerate(zip(self.index["offset"].astype(np.int64).tolist(), map(int, ends))):
+            if end > start + len(held):
+                held, start = held[at - start :] + self.file.read(max(at_once, end - start - len(held))), at
+            yield self._record(held[at - start : end - start], i)
+
+    def _record(self, data: bytes, i: int) -> np.ndarray:
+        size, crc = LENGTH.unpack_from(data) if len(data) >= LENGTH.size else (-1, 0)
+        ids = data[LENGTH.size : -CRC.size]
+        if size != len(ids) or crc != masked_crc(data[:8]) or CRC.unpack(data[-CRC.size :])[0] != masked_crc(ids):
             raise ValueError(f"{self.path}.rec: record {i} is damaged")
-        return np.frombuffer(data, dtype=f"<u{self.width}")
+        return np.frombuffer(ids, dtype=f"<u{self.width}")
 
     def shuffled(self, seed: int) -> Iterator[tuple[int, np.ndarray]]:
         """(number, ids) of all records in an order that seed decides."""
@@ -225,7 +256,7 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_
 
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(n_partitions(spark), "doc_id")
+        .repartitionByRange(n_partitions(spark), "doc_id", F.substring("text", 1, 64))  # many rows of one doc_id are dealt by how their texts begin
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(lambda batches: write_shard(batches, out_dir, tokenizer_path, end_id), "shard long, documents long, ids long")
         .collect()
@@ -241,7 +272,7 @@ def read_shards(batches: Iterator[pa.RecordBatch], plan: list[tuple[str, int]])
             shard = Shard(path)
             n = shard.index["n"].astype(np.int64)
             first = start + np.cumsum(n) - n
-            crcs = [zlib.crc32(shard[i].astype("<u4")) for i in range(len(shard))]
+            crcs = [zlib.crc32(ids.astype("<u4")) for ids in shard.records()]
             ids = pa.array(shard.index["doc_id"].astype(np.int64), mask=shard.index["has_id"] == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(first), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
