@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of training words against a hash set of the benchmark's windows.
 
 Both sides are normalised alike (A-Z lower-cased, words of ASCII letters, digits and non-ASCII characters). Each benchmark item gives its
-windows of `size` words, or, if it is shorter, one window of all its words. Their hashes are broadcast while they number `most_broadcast`
-or fewer and joined by shuffle beyond that. Documents are scanned window by window in one generated stage; a hit is verified word for word
+windows of `size` words, or, if it is shorter, one window of all its words. They are broadcast with their hashes while their texts take up `most_broadcast` bytes
+or less and joined by shuffle beyond that. Documents are scanned window by window in one generated stage; a hit is verified word for word
 before it counts. Rows are known by a hash of doc_id and text, so repeated ids keep apart.
 """
 
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import dealt, let, split_words, written
+from tessera.llm.shared import dealt, let, packed, split_words, written
 
 SIZE = 10
-#: Distinct windows that are broadcast at most: some 150 bytes each.
-MOST_BROADCAST = 200_000
+#: Bytes of distinct windows (UTF-8, and 64 for the hash and numbers of each) that are broadcast at most.
+MOST_BROADCAST = 32 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,7 +51,7 @@ def candidates(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_bro
     """
     items = written(benchmark_windows(benchmark, size).fillna("", ["item_id"]), "windows")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most `size` numbers
-    small = items.count() <= most_broadcast
+    small = (items.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 64)).first()[0] or 0) <= most_broadcast
 
     def prints(w: Column) -> Column:
         """Of each place and window length a hash; those of one length follow each other."""
@@ -81,12 +81,12 @@ def candidates(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_bro
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """docs with the struct __hit: n_words, at (positions of hit words), items (ids), both sorted and of verified hits alone."""
+    """Each row of docs as struct doc, with the struct hit: n_words, at (positions of hit words), items (ids), both sorted and of verified hits alone."""
     found = candidates(docs, benchmark, size, most_broadcast)
-    out = docs.join(dealt(found.withColumnRenamed("row", "__row").withColumnRenamed("hits", "__hits")), F.xxhash64("doc_id", "text") == F.col("__row"), "left")
+    out = packed(docs).join(dealt(found), F.xxhash64("doc.doc_id", "doc.text") == F.col("row"), "left")
 
     def verified(w: Column) -> Column:
-        real = F.filter(F.col("__hits"), lambda h: F.array_join(F.slice(w, h["at"] + 1, h["n"]), " ") == h["window"])
+        real = F.filter(F.col("hits"), lambda h: F.array_join(F.slice(w, h["at"] + 1, h["n"]), " ") == h["window"])
 
         def parts(r: Column) -> Column:
             at = F.array_distinct(F.flatten(F.transform(r, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1))))
@@ -98,7 +98,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadca
 
         return let(real, parts)
 
-    return out.select(*docs.columns, let(normal_words(F.col("text")), verified).alias("__hit"))
+    return out.select("doc", let(normal_words(F.col("doc.text")), verified).alias("hit"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -108,28 +108,28 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_broadca
     for itself, whatever their doc_id (which may be null); other columns are ignored.
     """
     out = marked(docs.select("doc_id", "text"), benchmark, size, most_broadcast)
-    n_hit = F.size("__hit.at").cast("long")
+    n_hit = F.size("hit.at").cast("long")
     return out.select(
-        "doc_id", F.col("__hit.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__hit.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__hit.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        F.col("__hit.at").alias("hit_words"), F.col("__hit.items").alias("items"),
+        "doc.doc_id", F.col("hit.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.col("hit.at").alias("hit_words"), F.col("hit.items").alias("items"),
     )
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of docs that no benchmark window hits."""
-    return marked(docs, benchmark, size).where(F.size("__hit.at") == 0).select(*docs.columns)
+    """The rows of docs that no benchmark window hits, with all their columns; null and wordless texts stay, repeated rows are judged each for itself."""
+    return marked(docs, benchmark, size).where(F.size("hit.at") == 0).select("doc.*")
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs with the hit words, and what stands between each and the next word, taken out of text; clean rows stay as they are."""
-    words, between = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD)
+    """docs with the hit words, and what stands between each and the next word, taken out of text; clean rows, null texts among them, stay as they are."""
+    words, between = F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.split("doc.text", WORD)
     rest = let(
-        F.struct(words.alias("w"), between.alias("b"), F.col("__hit.at").alias("at")),
+        F.struct(words.alias("w"), between.alias("b"), F.col("hit.at").alias("at")),
         lambda x: F.concat(
             F.get(x["b"], F.lit(0)),
             F.array_join(F.transform(x["w"], lambda w, i: F.when(F.array_contains(x["at"], i), "").otherwise(F.concat(w, F.coalesce(F.get(x["b"], i + 1), F.lit(""))))), ""),
         ),
     )
-    kept = F.when(F.size("__hit.at") == 0, F.col("text")).otherwise(rest)
-    return marked(docs, benchmark, size).select(*(kept.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    kept = F.when(F.size("hit.at") == 0, F.col("doc.text")).otherwise(rest)
+    return marked(docs, benchmark, size).select(*((kept if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns))

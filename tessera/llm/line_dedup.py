@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import dealt, let, written
+from tessera.llm.shared import dealt, let, packed, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -87,34 +87,34 @@ def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Data
     one empty line, as an empty text has. Rows equal in doc_id and text are one document: what goes from one goes from the other.
     Other columns pass through (docs' own n_lines or n_removed give way). An empty table gives none.
     """
-    gone = repeated(docs, window, divisor).toDF("__doc_id", "__row", "__cs")
-    same_row = (row_hash() == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    held = written(docs.join(dealt(gone), same_row, "left").drop("__doc_id"), "held")
-    lines = lines_of(F.col("text"))
-    texts = held.where("__cs IS NOT NULL").select(
-        "doc_id", F.col("__row").alias("row"), F.inline(let(lines, lambda x: F.transform("__cs", lambda c: c.withField("t", chunk_text(x, c["start"], c["n"])))))
+    gone = repeated(docs, window, divisor)
+    own = packed(docs).withColumn("own", F.xxhash64("doc.doc_id", "doc.text"))
+    same_row = (F.col("own") == F.col("row")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))
+    held = written(own.join(dealt(gone), same_row, "left").select("doc", "own", "cs"), "held")
+    lines = lines_of(F.col("doc.text"))
+    texts = held.where("cs IS NOT NULL").select(
+        "doc.doc_id", F.col("own").alias("row"), F.inline(let(lines, lambda x: F.transform("cs", lambda c: c.withField("t", chunk_text(x, c["start"], c["n"])))))
     )
     differ = written(texts.groupBy("hash").agg((F.min("t") == F.max("t")).alias("same")).where("NOT same").select("hash"), "differ")
-    at = F.transform(F.filter("__cs", lambda c: ~c["is_first"]), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))
+    at = F.transform(F.filter("cs", lambda c: ~c["is_first"]), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))
     if differ.isEmpty():
-        out = held.withColumn("__at", at)
+        out = held.withColumn("at", at)
     else:  # hashes that differing texts share: these chunks are told apart by the texts themselves
         mixed = texts.join(differ, "hash").select("doc_id", "row", "start", "n", F.col("hash").alias("h"), F.col("t").alias("u"))
         owner = F.struct("doc_id", "row", "start")
         firsts = mixed.groupBy("h", "u").agg(F.min(owner).alias("first"))
         place = F.struct("start", "n")
         rest = mixed.join(firsts, ["h", "u"]).groupBy("doc_id", "row").agg(
-            F.collect_set(place).alias("__mixed"), F.collect_set(F.when(owner != F.col("first"), place)).alias("__later")
+            F.collect_set(place).alias("mixed"), F.collect_set(F.when(owner != F.col("first"), place)).alias("later")
         )
-        rest = written(rest.withColumnsRenamed({"doc_id": "__doc_id", "row": "__other"}), "mixed")
-        own = held.join(dealt(rest), (F.col("__row") == F.col("__other")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
+        found = held.join(dealt(written(rest, "mixed")), same_row, "left")
         none = F.array().cast("array<struct<start:int,n:int>>")
-        out = own.withColumn("__at", F.array_union(F.array_except(at, F.coalesce("__mixed", none)), F.coalesce("__later", none)))
+        out = found.withColumn("at", F.array_union(F.array_except(at, F.coalesce("mixed", none)), F.coalesce("later", none)))
 
     def kept(x: Column) -> Column:
-        return F.array_join(F.filter(x, lambda line, i: ~F.exists("__at", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"]))), "\n")
+        return F.array_join(F.filter(x, lambda line, i: ~F.exists("at", lambda c: (i >= c["start"]) & (i < c["start"] + c["n"]))), "\n")
 
-    text = F.when(F.coalesce(F.size("__at"), F.lit(0)) <= 0, F.col("text")).otherwise(let(lines, kept))
-    removed = F.coalesce(F.aggregate("__at", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0).cast("long"))
+    text = F.when(F.coalesce(F.size("at"), F.lit(0)) <= 0, F.col("doc.text")).otherwise(let(lines, kept))
+    removed = F.coalesce(F.aggregate("at", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0).cast("long"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return out.select(*((text if c == "text" else F.col("doc").getField(c)).alias(c) for c in names), F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"))

@@ -129,10 +129,11 @@ def mix(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: in
     Rows that plan() cannot tell apart (equal in doc_id, text and leaf) share the copies of all of them; where these don't divide, those with the least hash of all
     columns get one more. Null doc_ids, texts and level values are as in plan(); null and wordless texts go. An empty table gives none.
     """
-    taken = plan(docs, levels, per_cent, epochs, seed).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
-    found = written(taken.where("__sum > 0"), "copies")
-    out = docs.withColumn("__own", row_hash(levels)).join(dealt(found), F.col("__own") == F.col("__row"))
-    place = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    copies = F.floor(F.col("__sum") / F.col("__n")) + (F.col("__place") <= F.col("__sum") % F.col("__n")).cast("long")
-    out = out.withColumn("__place", place).withColumn("__copies", copies).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    taken = plan(docs, levels, per_cent, epochs, seed).groupBy("row").agg(F.sum("copies").alias("sum"), F.count("*").alias("n"))
+    found = written(taken.where("sum > 0"), "copies")
+    own = docs.select(F.struct("*").alias("doc"), row_hash(levels).alias("own"), F.xxhash64(*docs.columns).alias("order"))
+    out = own.join(dealt(found), F.col("own") == F.col("row"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("order"))
+    copies = F.floor(F.col("sum") / F.col("n")) + (F.col("place") <= F.col("sum") % F.col("n")).cast("long")
+    out = out.withColumn("place", place).withColumn("copies", copies).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACE, dealt, let, split_words, words, written
+from tessera.llm.shared import SPACE, dealt, let, packed, split_words, words, written
 
 #: Twenty frequent words of each language that is judged (fixed values).
 COMMON = {
@@ -121,15 +121,15 @@ def features(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     cut = docs.select(
         "doc_id", "lang", F.xxhash64("doc_id", "text").alias("row"), words(text).alias("w"),
         split_words(F.lower(text), f"[{SPACE}{MARKS}]+").alias("bare"), class_counts(text).alias("classes"), dup_lines(text).alias("n_dup_lines"),
-    )
-    # each step reads the arrays of the one before more than once, so they are computed once
+    ).withColumn("own", F.transform("w", lambda x: F.xxhash64(x)))
+    # each step reads the arrays of the one before more than once, so they are computed once; a word is hashed once, a window from its words' hashes
     windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - rules.window + 1))
     listed = F.array().cast("array<string>")
     for name, own in rules.common.items():
         listed = F.when(F.col("lang") == name, F.filter("bare", lambda x: x.isin(own.split()))).otherwise(listed)  # noqa: B023
     hashed = cut.select(
         "doc_id", "lang", "row", "w", "classes", "n_dup_lines", F.size("bare").cast("long").alias("n_bare"),
-        F.transform(windows, lambda i: F.xxhash64(F.slice("w", i, rules.window))).alias("h"),
+        F.transform(windows, lambda i: F.xxhash64(*(F.get("own", i - 1 + k) for k in range(rules.window)))).alias("h"),
         F.concat(F.lit("|"), F.array_join(listed, "||"), F.lit("|")).alias("hits"),
     )
     common = F.lit(None).cast("array<long>")
@@ -177,5 +177,5 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    gone = judge(docs, rules).where("NOT kept").select(F.col("row").alias("__row")).distinct()
-    return docs.join(dealt(written(gone, "rejected")), F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)
+    gone = judge(docs, rules).where("NOT kept").select("row").distinct()
+    return packed(docs).join(dealt(written(gone, "rejected")), F.xxhash64("doc.doc_id", "doc.text") == F.col("row"), "left_anti").select("doc.*")

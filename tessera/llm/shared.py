@@ -14,14 +14,27 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
+    """This application's folder under spark.checkpoint.dir, as a whole URI: a path without a scheme is one of the default file system.
+
+    Without that setting a local session, as in tests, takes a temporary folder; any other is refused, since its executors would share nothing.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
-    return path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    if whole.startswith("file:/") and not whole.startswith("file://"):
+        whole = "file://" + whole[len("file:") :]
+    return f"{whole.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that this application has written to the shared folder. Results that read from there are to be written elsewhere before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, doc, so that no other column can clash with its names."""
+    return docs.select(F.struct("*").alias("doc"))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A side of a join with documents: both sides are dealt out by the key and this one is hashed, at every size, so plans and costs grow alike."""
     return df.hint("shuffle_hash")

@@ -6,9 +6,10 @@ then verified bit by bit. A list for one byte would hold 1/256 of all fingerprin
 bytes of the same half: 5 shared bytes put at least 3 into one half, hence every such pair meets in one of the
 8 triples, and a list is 65,536 times shorter.
 
-A dense list (thousands of near copies of one text) is not expanded into its pairs. Its fingerprints are
+A list is not expanded into its pairs. Its fingerprints are
 visited in waves: the fingerprints that one of them reaches are linked to it and leave the rest, so links that join what is joined already are
-never made, while every fingerprint is still held against all that are not joined to it.
+never made, while every fingerprint is still held against all that are not joined to it. A dense list, of more than DENSE fingerprints, is first parted into lists of five
+positional bytes: pairs of it that share 5 bytes share, beside the three of the list, two of the other five positions.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, dealt, n_partitions, written
+from tessera.llm.shared import components, dealt, n_partitions, packed, written
 from tessera.session import ship
 
 SEED = 42
@@ -28,6 +29,8 @@ SHINGLE = 3
 BITS = 3
 #: Bytes that fingerprints with at most BITS differing bits must share.
 LEAST = 8 - BITS
+#: Fingerprints of a posting list beyond which it is parted by two more bytes.
+DENSE = 4096
 #: Triples of byte positions within each half.
 TRIPLES = [tuple(half + i for i in range(4) if i != left) for half in (0, 4) for left in range(4)]
 
@@ -92,7 +95,7 @@ def linked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(keys: np.ndarray, prints: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole posting lists that lie one after another. Lists of two, by far the most, are compared all at once."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -101,10 +104,24 @@ def _pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
     near = ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= LEAST
     near &= np.bitwise_count(a ^ b) <= BITS
     out = [(a[near], b[near])]
-    out += [linked(prints[s : s + n]) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        own = prints[s : s + n]
+        out += [linked(own)] if n <= dense else [linked(x) for x in parted(own, TRIPLES[int(keys[s]) >> 24])]
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def parted(prints: np.ndarray, triple: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Lists of two or more fingerprints that share two byte positions beside the triple."""
+    others = [p for p in range(8) if p not in triple]
+    data = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for i, p in enumerate(others):
+        for q in others[i + 1 :]:
+            key = data[:, p].astype(np.int32) << 8 | data[:, q]
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order])) + 1
+            yield from (x for x in np.split(prints[order], cuts) if len(x) > 1)
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that span the groups of the distinct fingerprints in prints(fingerprint)."""
     spark = prints.sparkSession
@@ -173,5 +190,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs.select("doc_id", row.alias("row"), "text"), ["doc_id", "row"]), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = written(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "classes")
-    kept = written(_named(classes).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
-    return docs.withColumn("__row", row).join(dealt(kept), "__row").dropDuplicates(["__row"]).select(*docs.columns)
+    kept = written(_named(classes).groupBy("label").agg(F.min("first").alias("first")).select("first.row"), "kept")
+    own = packed(docs).withColumn("own", F.xxhash64(*(F.col("doc").getField(c) for c in docs.columns)))
+    return own.join(dealt(kept), F.col("own") == F.col("row")).dropDuplicates(["own"]).select("doc.*")
