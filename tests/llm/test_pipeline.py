@@ -80,3 +80,40 @@ def test_pipeline(spark, tmp_path):
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == sorted(expected(rows, item))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated rows, rows without ids, sources, texts or languages, noise in a judged language, columns with clashing names; then no rows at all."""
+    from tessera.llm import quality
+
+    rng = random.Random(3)
+    common, rest = quality.COMMON["en"].split(), ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.35 else rng.choice(rest) for _ in range(150)) + "."
+    schema = "doc_id long, text string, lang string, source string, row long, hash string, `__row` int, `at` string, label string"
+    tail = (1, "h", 2, "z", "l")
+    rows = [(i, prose(), "en", f"src{i % 3}", *tail) for i in range(80)]
+    rows += [rows[5], rows[5], (80, rows[6][1], None, None, *tail), (None, rows[7][1], "en", None, *tail), (None, prose(), "en", None, *tail), (None, None, None, None, *tail), (81, "", "xx", "", *tail)]
+    noise = [(100 + k, " ".join(w + "###" for w in prose().split()), "en", "src1", *tail) for k in range(3)] + [(110, prose().upper(), "en", "src1", *tail)]
+    docs = spark.createDataFrame(rows + noise, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, rows[9][1][:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+        kept[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+        docs = spark.createDataFrame([tuple(r) for r in docs.collect()], schema)
+    good = [r[:2] for r in rows if r[1]]
+    assert kept["quality"] == sorted(good, key=repr)
+    assert kept["near_duplicates"] == sorted({r[1]: r[:2] for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0), reverse=True) if r[1]}.values(), key=repr)
+    assert kept["decontaminate"] == [r for r in kept["near_duplicates"] if r[0] != 9]
+    assert set(kept["mix"]) <= set(kept["decontaminate"])
+    words = lambda rs: sum(len(t.split()) for _, t in rs)
+    assert 0.5 * words(kept["decontaminate"]) < words(kept["mix"]) <= 0.8 * words(kept["decontaminate"])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((i for i, _ in kept["mix"]), key=repr)
+    for at in ("none", "all"):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.createDataFrame([] if at == "all" else [(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{at}").count() == 0

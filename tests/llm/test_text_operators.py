@@ -175,6 +175,41 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    a, b = text(300), text(150)
+    rows = [(3, a, 1), (3, a, 1), (3, b + a[100:260], 2), (1, b, 3), (None, a + b, 4), (None, a + b, 4), (None, None, 5), (2, "", 6), (9, text(99), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block long")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(docs).collect())
+    seen, want = set(), Counter()
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(data[k : k + 100])
+        want[i, len(data), sum(gone)] += 1
+    assert got == want
+
+
+def test_rows_are_judged_for_themselves(spark):
+    """Quality, decontamination and fingerprints of repeated rows and rows without ids, with columns of clashing names."""
+    text = "a word and another word of a text that is long enough to be read by all"
+    rows = [(1, text, "en", "r"), (1, text, "en", "s"), (1, "short", None, "r"), (None, text, "xx", "r"), (None, None, None, None), (None, None, None, None), (2, " \n", "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string")
+    judged = Counter((r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.judge(docs).collect())
+    assert judged == Counter([(1, 17, False, True)] * 2 + [(1, 1, True, False), (None, 17, False, True)] + [(None, 0, True, False)] * 2 + [(2, 0, True, False)])
+    assert Counter(quality.keep(docs).collect()) == Counter(docs.where("length(text) > 10").collect())
+    items = spark.createDataFrame([(1, text), (1, text), (None, "SHORT"), (3, None)], "item_id long, text string")
+    found = Counter((r.doc_id, r.n_hit, r.n_items) for r in decontaminate.report(docs, items).collect())
+    assert found == Counter([(1, 17, 1)] * 2 + [(1, 1, 1), (None, 17, 1)] + [(None, 0, 0)] * 2 + [(2, 0, 0)])
+    assert Counter(decontaminate.keep(docs, items).collect()) == Counter(docs.where("text IS NULL OR doc_id = 2").collect())
+    groups = Counter((r.doc_id, r.component_id) for r in simhash.cluster(docs).collect())
+    assert groups == Counter([(1, 1), (1, 1), (1, 1), (None, 1), (None, 2), (None, 2), (2, 2)])
+
+
 def test_token_records_round_trip(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
@@ -266,6 +301,73 @@ def test_simhash_links_span_all_links():
     assert len(a) < len(values) <= len(every)
 
 
+def test_simhash_parts_dense_lists():
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 1 << 62, 12).astype(np.uint64)
+    low = np.uint64(0xFFFFFF)  # all share the bytes of the first triple, positions 0 to 2
+    values = np.unique([(int(c) & ~int(low) | 0xABCDEF) ^ sum(1 << int(b) for b in rng.integers(24, 64, k)) for c in centres for k in rng.integers(0, 4, 60)]).astype(np.uint64)
+    key = np.full(len(values), simhash.TRIPLES.index((0, 1, 2)) << 24)
+
+    def parts(pairs):
+        label = {int(v): int(v) for v in values}
+
+        def top(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for x, y in pairs:
+            x, y = top(int(x)), top(int(y))
+            label[max(x, y)] = min(x, y)
+        return {v: top(v) for v in label}
+
+    every = [(x, y) for x in values for y in values if x < y and int(x ^ y).bit_count() <= 3]
+    assert parts(zip(*simhash._pairs(key, values, 10))) == parts(zip(*simhash._pairs(key, values))) == parts(every) and every
+
+
+def test_token_records_of_other_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["two words", " a\n\n b ", "", "x" * 50, "don't  stop\tnow"]
+    assert not token_records.encoder(path).by_word and token_records.encoder(tokenizer_path()).by_word
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(token_records.read(spark, token_records.write(docs, path)))
+    for i, t in enumerate(texts):
+        assert got[i].ids_crc32 == zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+
+
+def test_token_records_of_one_doc_id(spark):
+    rng = random.Random(12)
+    rows = [(5 if k % 3 else None, " ".join(rng.choices("abcdef", k=rng.randint(0, 9)))) for k in range(300)]
+    shards = token_records.write(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), end_id=1)
+    assert sum(n > 0 for _, n, _ in shards) > 2  # one doc_id is dealt to several
+    code, at, want = token_records.encoder(tokenizer_path()), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[1])):
+        ids = np.frombuffer(code.encode(t.encode()), f"<u{code.width}").tolist() + [1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = sorted(map(tuple, token_records.read(spark, shards).collect()), key=lambda r: r[1])
+    assert got == want
+
+
+def test_suffix_array_spills(monkeypatch):
+    from tessera.llm import suffix_array
+
+    spilled = []
+    plain = suffix_array.BucketQueue._spill
+    monkeypatch.setattr(suffix_array.BucketQueue, "_spill", lambda q: (spilled.append(1), plain(q)))
+    rng = random.Random(7)
+    for n in (1, 2, 30, 500):
+        text = np.array([rng.randint(1, 4) for _ in range(n)] + [0], dtype=np.uint16)
+        want = sorted(range(n + 1), key=lambda k: text[k:].tolist())
+        assert suffix_array.suffix_array(text, 5, n + 1, room=7).tolist() == want
+    assert spilled
+
+
 def test_decontaminate(spark, docs, rows, empty):
     def normal(t):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -278,7 +380,7 @@ def test_decontaminate(spark, docs, rows, empty):
         w = normal(t)
         items += [(("" if k is None else str(k)), tuple(w[a : a + 10])) for a in range(max(1, len(w) - 9))] if w else []
     table = spark.createDataFrame(bench, "item_id long, text string")
-    for most in (200_000, 0):  # broadcast and shuffled
+    for most in (decontaminate.MOST_BROADCAST, 0):  # broadcast and shuffled
         got = by_id(decontaminate.report(docs, table, most_broadcast=most))
         for i, t, *_ in rows:
             w, hit, names = normal(t), set(), set()
@@ -525,6 +627,20 @@ BESIDE = {
 }
 
 
+LINKS = "<ul>" + "".join(f"<li><a href={k}>Link {k}</a></li>" for k in range(4)) + "</ul>"
+LINKED = "\n\n".join(f"Link {k}" for k in range(4))
+BESIDE |= {
+    "two articles": (f"<div><article><h2>One</h2>{PARAGRAPHS}</article><article><h2>Two</h2>{PARAGRAPHS}</article></div>{AD}", f"One\n\n{WHOLE}\n\nTwo\n\n{WHOLE}"),
+    "three articles": (f"<body>{'<article>' + PARAGRAPHS + '</article>' * 1}<article>{PARAGRAPHS}</article><article>{PARAGRAPHS}</article></body>", "\n\n".join([WHOLE] * 3)),
+    "teaser": (f"<body><article>{PARAGRAPHS * 3}</article><article><p>{SENTENCES[0]}</p></article></body>", "\n\n".join([WHOLE] * 3)),
+    "links in the article": (f"<article>{PARAGRAPHS}{LINKS}</article>", f"{WHOLE}\n\n{LINKED}"),
+    "links beside": (f"<div><div>{PARAGRAPHS}</div>{LINKS}</div>", WHOLE),
+    "list with text": (f"<div>{PARAGRAPHS}<ul><li><a href=a>One</a></li><li>A plain item of the list</li></ul></div>", f"{WHOLE}\n\nOne\n\nA plain item of the list"),
+    "related work": (f"<article>{PARAGRAPHS}<section class=related-work><p>{SENTENCES[2]}</p></section></article>", f"{WHOLE}\n\n{SENTENCES[2]}"),
+    "post header": (f"<article><div class=post-header><h1>Title</h1></div>{PARAGRAPHS}</article>", f"Title\n\n{WHOLE}"),
+}
+
+
 @pytest.mark.parametrize("name", list(BESIDE))
 def test_html_keeps_chosen_lines_beside_the_largest_element(name):
     html, want = BESIDE[name]
