@@ -125,3 +125,68 @@ class Pred:
 
 def where(name: str, op: str, v: Any = None, **args: Any) -> Pred:
     return Pred(op, name, ({} if v is None else {"v": v}) | args)
+
+
+#: Names of comparisons in filters of the form {field, operator, value} (fixed values).
+COMPARISONS = {"eq": "equals", "==": "equals", "=": "equals", "neq": "not_equals", "!=": "not_equals", "gt": "gt", ">": "gt", "gte": "gte", ">=": "gte", "lt": "lt", "<": "lt", "lte": "lte", "<=": "lte", "in": "in", "not in": "not_in"}
+#: How a store's expressions write them (fixed values).
+EXPRESSIONS = {"equals": "==", "not_equals": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "in": "in", "not_in": "not in"}
+#: How a store's operator trees name them (fixed values).
+TREES = {"eq": "Equal", "==": "Equal", "=": "Equal", "neq": "NotEqual", "!=": "NotEqual", "gt": "GreaterThan", ">": "GreaterThan", "gte": "GreaterThanEqual", ">=": "GreaterThanEqual", "lt": "LessThan", "<": "LessThan", "lte": "LessThanEqual", "<=": "LessThanEqual", "like": "Like", "contains": "ContainsAll", "in": "ContainsAny"}
+
+
+def _operands(d: dict, name: str) -> list | None:
+    return d.get(name.upper(), d.get(name)) if name.upper() in d or name in d else None
+
+
+def from_filter(d: dict) -> Pred:
+    """A filter {field, operator, value}, or AND / OR over a list of them, as a Pred; an unknown operator compares for equality, an empty filter matches all.
+
+    contains asks for all values of an array, like for a pattern's text.
+    """
+    if {"field", "operator", "value"} <= d.keys():
+        op, value = str(d["operator"]).lower(), d["value"]
+        if op in ("contains", "like"):
+            return where(d["field"], "contains", value.strip("%*")) if op == "like" else where(d["field"], "contains_all", value if isinstance(value, list) else [value])
+        return where(d["field"], COMPARISONS.get(op, "equals"), value)
+    for name in ("and", "or"):
+        if (parts := _operands(d, name)) is not None:
+            return Pred(name, parts=tuple(map(from_filter, parts)))
+    return Pred()
+
+
+def expression_of(d: dict) -> str:
+    """The same filter as a boolean expression: `a == "x"`, `b in [1, 2]`, joined by && and ||; empty for an empty or unreadable one."""
+    if {"field", "operator", "value"} <= d.keys():
+        text = lambda v: '"' + v.replace('"', '\\"') + '"' if isinstance(v, str) else str(v)
+        op, value = EXPRESSIONS[COMPARISONS.get(str(d["operator"]).lower(), "equals")], d["value"]
+        if isinstance(value, list):
+            return f"{d['field']} {op} [{', '.join(map(text, value))}]" if op in ("in", "not in") else ""
+        return f"{d['field']} {op} {text(value)}"
+    for name, joined in (("and", " && "), ("or", " || ")):
+        if parts := _operands(d, name):
+            return joined.join(f"({x})" for x in map(expression_of, parts) if x)
+    return ""
+
+
+def tree_of(d: dict) -> dict:
+    """The same filter as an operator tree {path, operator, value...} with And / Or operands. Booleans are told from numbers."""
+    if {"field", "operator", "value"} <= d.keys():
+        value = d["value"]
+        kinds = ((bool, "valueBoolean"), (str, "valueString"), (int, "valueInt"), (float, "valueNumber"))
+        kind = next((n for t, n in kinds if isinstance(value, t)), "valueStringArray" if isinstance(value, list) and all(isinstance(v, str) for v in value) else None)
+        if kind:
+            return {"path": [d["field"]], "operator": TREES.get(str(d["operator"]).lower(), d["operator"]), kind: value}
+    for name, op in (("and", "And"), ("or", "Or")):
+        if (parts := _operands(d, name)) is not None:
+            return {"operator": op, "operands": [tree_of(x) for x in parts]}
+    return d
+
+
+def json_equals(metadata: Column, wanted: dict[str, Any]) -> Column:
+    """Whether a JSON text holds each key with the value given, compared as JSON, so 1 is not "1"."""
+    out = F.lit(True)
+    for k, v in wanted.items():
+        held = F.variant_get(F.try_parse_json(metadata), f"$['{k}']", "variant")
+        out = out & F.coalesce(F.to_json(held) == F.lit(json.dumps(v, separators=(",", ":"), ensure_ascii=False)), F.lit(False))
+    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +68,27 @@ def compatible(old: Sequence[Field], new: Sequence[Field]) -> list[str]:
     return out + [f"{f.name}: {have[f.name].type} is not {f.type}" for f in new if f.name in have and "any" not in (f.type, have[f.name].type) and have[f.name].type != f.type]
 
 
+def to_json(fields: Sequence[Field]) -> str:
+    """A schema as text; from_json() gives it back."""
+    return json.dumps([asdict(f) for f in fields], sort_keys=True)
+
+
+def from_json(text: str) -> list[Field]:
+    def field(d: dict) -> Field:
+        return Field(**d | {"values": tuple(d["values"]), "fields": tuple(map(field, d["fields"]))})
+
+    return [field(d) for d in json.loads(text)]
+
+
+def export(spark: SparkSession, schemas: dict[str, Sequence[Field]], path: str) -> None:
+    """Write a registry (name: fields) as JSON lines, in place of what is there."""
+    spark.createDataFrame([(k, to_json(v)) for k, v in schemas.items()], "name string, fields string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def imported(spark: SparkSession, path: str) -> dict[str, list[Field]]:
+    return {r.name: from_json(r.fields) for r in spark.read.schema("name string, fields string").json(path).collect()}
+
+
 def profile(rows: DataFrame, metadata: Column, top: int = 5, share: float = 0.3) -> DataFrame:
     """(key, value, n, present): for each key of a map the most frequent values that share of its rows has, top at most."""
     from pyspark.sql import Window

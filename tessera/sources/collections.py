@@ -14,41 +14,73 @@ from pyspark.sql import functions as F
 from tessera.operators.retrieval import top_k, vector_scores
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string, updated_at timestamp"
+_POINTER = "version string, dimension int, metric string, buckets int, moved timestamp"
 
 
 @dataclass
 class Collection:
+    """buckets: files of a version are dealt by the hash of the id, and a write makes new files of those buckets alone in which an id is touched."""
+
     spark: SparkSession
     path: str
     dimension: int
     metric: str = "cosine"
+    buckets: int = 16
 
     def _pointer(self) -> str:
         return f"{self.path}/current"
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+
     def create(self) -> Collection:
-        return self._save(self.spark.createDataFrame([], SCHEMA))
+        return self._point([])
+
+    def _point(self, parts: list[tuple[int, str]]) -> Collection:
+        """Make parts (bucket, folder) the current version."""
+        version = f"{self.path}/m-{uuid.uuid4().hex}"
+        self.spark.createDataFrame(parts, "bucket int, folder string").coalesce(1).write.json(version)
+        now = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(self.dimension).alias("dimension"), F.lit(self.metric).alias("metric"), F.lit(self.buckets).alias("buckets"), F.current_timestamp().alias("moved"))
+        now.coalesce(1).write.mode("overwrite").json(self._pointer())
+        return self
 
-    def _save(self, rows: DataFrame) -> Collection:
+    def _parts(self) -> dict[int, str]:
+        """Folder of each bucket that has rows: as many rows as there are buckets at most."""
+        version = self.spark.read.schema(_POINTER).json(self._pointer()).first().version
+        return {r.bucket: r.folder for r in self.spark.read.schema("bucket int, folder string").json(version).collect()}
+
+    def _save(self, rows: DataFrame, touched: set[int]) -> Collection:
+        """rows are all of the touched buckets."""
         version = f"{self.path}/v-{uuid.uuid4().hex}"
-        rows.write.parquet(version)
-        self.spark.createDataFrame([(version, self.dimension, self.metric)], "version string, dimension int, metric string").coalesce(1).write.mode("overwrite").json(self._pointer())
-        return self
+        if touched:
+            rows.withColumn("bucket", self._bucket()).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(version)
+        written = {r.bucket for r in self.spark.read.parquet(version).select("bucket").distinct().collect()} if touched and self._has_files(version) else set()
+        kept = {b: f for b, f in self._parts().items() if b not in touched}
+        return self._point(sorted((kept | {b: f"{version}/bucket={b}" for b in written}).items()))
 
-    def rows(self) -> DataFrame:
-        version = self.spark.read.schema("version string, dimension int, metric string").json(self._pointer()).first().version
-        return self.spark.read.schema(SCHEMA).parquet(version)
+    def _has_files(self, folder: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return any(s.getPath().getName().startswith("bucket=") for s in files.listStatus(path))
+
+    def rows(self, buckets: set[int] | None = None) -> DataFrame:
+        folders = [f for b, f in sorted(self._parts().items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, new: DataFrame) -> Collection:
         """Add rows; an id that is there is replaced; of several rows with one id the latest wins. Wrong dimensions are refused."""
         if new.where(F.size("embedding") != self.dimension).limit(1).count():
             raise ValueError(f"vectors must have {self.dimension} places")
         last = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc_nulls_last("document"))
-        new = new.select(*self.rows().columns).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        return self._save(self.rows().join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new))
+        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        new = new.select(*names).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        touched = {r[0] for r in new.select(self._bucket()).distinct().collect()}
+        return self._save(self.rows(touched).join(new.select("id"), "id", "left_anti").select(*names).unionByName(new), touched)
 
     def delete(self, condition: Column) -> Collection:
-        return self._save(self.rows().where(~F.coalesce(condition, F.lit(False))))
+        hit = F.coalesce(condition, F.lit(False))
+        touched = {r[0] for r in self.rows().where(hit).select(self._bucket()).distinct().collect()}
+        return self._save(self.rows(touched).where(~hit), touched)
 
     def get(self, ids: list[str]) -> DataFrame:
         return self.rows().where(F.col("id").isin(ids))
@@ -56,11 +88,55 @@ class Collection:
     def count(self, where: Column | None = None) -> int:
         return (self.rows() if where is None else self.rows().where(where)).count()
 
+    def info(self) -> dict:
+        """dimension, metric, buckets, count and the time of the last write."""
+        r = self.spark.read.schema(_POINTER).json(self._pointer()).first()
+        return {"dimension": r.dimension, "metric": r.metric, "buckets": r.buckets, "updated_at": r.moved, "count": self.count()}
+
     def search(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """(query_id, id, score, rank); the condition holds before the k best are taken."""
         return top_k(vector_scores(queries, self.rows(), self.metric, where, "id", "embedding"), k)
 
 
+@dataclass
+class Store:
+    """Collections by name, in namespaces: a folder for each."""
+
+    spark: SparkSession
+    path: str
+
+    def _folder(self, name: str, namespace: str) -> str:
+        if "/" in name + namespace or not name or not namespace:
+            raise ValueError("names are one part of a path")
+        return f"{self.path}/{namespace}/{name}"
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def create(self, name: str, dimension: int, metric: str = "cosine", namespace: str = "default", buckets: int = 16) -> Collection:
+        if self.exists(name, namespace):
+            raise ValueError(f"{name} is there already")
+        return Collection(self.spark, self._folder(name, namespace), dimension, metric, buckets).create()
+
+    def open(self, name: str, namespace: str = "default") -> Collection:
+        r = self.spark.read.schema(_POINTER).json(f"{self._folder(name, namespace)}/current").first()
+        return Collection(self.spark, self._folder(name, namespace), r.dimension, r.metric, r.buckets)
+
+    def exists(self, name: str, namespace: str = "default") -> bool:
+        at, files = self._files(f"{self._folder(name, namespace)}/current")
+        return files.exists(at)
+
+    def list(self, namespace: str = "default") -> list[str]:
+        at, files = self._files(f"{self.path}/{namespace}")
+        return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+    def drop(self, name: str, namespace: str = "default") -> bool:
+        """Whether there was such a collection; its files go."""
+        at, files = self._files(self._folder(name, namespace))
+        return files.delete(at, True)
+
+
 def migrate(source: DataFrame, target: DataFrame, skip_existing: bool = True, vector: Column | None = None, metadata: Column | None = None, new_id: Column | None = None, where: Column | None = None) -> DataFrame:
     """Rows of source as they go into target: filtered, transformed, without ids that target has."""
     rows = source if where is None else source.where(where)
