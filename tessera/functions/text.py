@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -85,11 +87,55 @@ def dedup_lines(text: Column, separator: str = "\n") -> Column:
     return F.array_join(F.array_distinct(F.split(text, separator)), separator)
 
 
+#: How texts are cut for dedup_parts(), and joined again.
+PARTS = {
+    "line": (r"\r\n|[\n\r]", "\n"),
+    "paragraph": (r"\n[ \t\n\r\f\x0B]*\n", "\n\n"),
+    "sentence": (r"(?<=[.!?])[ \t\n\r\f\x0B]+", " "),
+}
+
+
+def dedup_parts(text: Column, scope: str = "line", case_sensitive: bool = False, keep_first: bool = True) -> Column:
+    """Each different line, paragraph or sentence once, where it stands first (or last), in order; empty for null."""
+    pattern, between = PARTS[scope]
+    body = F.coalesce(text, F.lit(""))
+    if scope == "line":  # an end at the very end starts no further line
+        body = F.regexp_replace(body, r"(\r\n|\n|\r)$", "")
+    parts = F.split(body, pattern)
+    own = parts if keep_first else F.reverse(parts)
+
+    def distinct(p: Column) -> Column:
+        if case_sensitive:
+            return F.array_distinct(p)
+        keys = F.transform(p, lambda x: F.lower(x))
+        # the first place of each key, found on the sorted keys
+        pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        firsts = let(pairs, lambda q: F.array_sort(F.transform(F.filter(q, lambda x, i: (i == 0) | (F.get(q, i - 1)["k"] != x["k"])), lambda x: x["i"])))
+        return let(F.struct(p.alias("p"), firsts.alias("f")), lambda x: F.transform(x["f"], lambda i: F.get(x["p"], i)))
+
+    out = let(own, distinct)
+    return F.array_join(out if keep_first else F.reverse(out), between)
+
+
 def fold_unicode(text: Column) -> Column:
     """Control, format and unassigned characters out, but for line ends and tabs."""
     return F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", "")
 
 
+def normalize_unicode(text: Column, form: str = "NFKC", remove_control: bool = True, ascii_by: str | None = None) -> Column:
+    """Unicode normal form, then control characters out, then each run of non-ASCII characters as ascii_by, if given. There is no such function in the JVM's
+    SQL, so it goes by Arrow batches; texts of ASCII alone are passed through by the caller's choice of rows. Empty for null."""
+
+    def normal(x):
+        return x.fillna("").str.normalize(form)
+
+    out = F.pandas_udf(normal, "string", F.PandasUDFType.SCALAR)(text)
+    out = fold_unicode(out) if remove_control else out
+    if ascii_by is not None:
+        out = F.regexp_replace(F.regexp_replace(out, r"[^\x00-\x7F]", ascii_by), f"({re.escape(ascii_by)})+", ascii_by)
+    return out
+
+
 def clean_standard(text: Column) -> Column:
     return normalize_whitespace(strip_html(fold_unicode(text)))
 
@@ -122,16 +168,29 @@ def syllables(words: Column) -> Column:
 
 
 def readability(text: Column) -> Column:
-    """struct(flesch, grade, ari): reading ease and two school grades, kept in range; null below 50 characters."""
-    w, s = tokens(text), sentences(text)
-    n_w, n_s = F.greatest(F.size(w), F.lit(1)), F.greatest(F.size(s), F.lit(1))
-    letters = F.length(F.regexp_replace(text, GAP, ""))
-    asl, asw = n_w / n_s, syllables(w) / n_w
-    flesch = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * asl - 84.6 * asw))
-    grade = F.greatest(F.lit(0.0), F.least(F.lit(18.0), 0.39 * asl + 11.8 * asw - 15.59))
-    ari = F.greatest(F.lit(0.0), F.least(F.lit(18.0), 4.71 * (letters / n_w) + 0.5 * asl - 21.43))
-    out = F.struct(F.round(flesch, 4).alias("flesch"), F.round(grade, 4).alias("grade"), F.round(ari, 4).alias("ari"))
-    return F.when(F.length(text) >= 50, out)
+    """struct(flesch, grade, ari): reading ease and two school grades, kept in range; null below 50 characters and for null.
+
+    Words, sentences and syllables are counted by one pattern each over the whole text, without arrays. A word's syllables are its runs of vowels, one at least, so all
+    syllables are the runs of vowels in the text and the words without a vowel.
+    """
+    gap = r" \t\n\r\f\x0B"
+    low = F.lower(text)
+
+    def of(x: Column) -> Column:
+        n_w, n_s = F.greatest(x["w"], F.lit(1)), F.greatest(x["s"], F.lit(1))
+        asl, asw = n_w / n_s, x["y"] / n_w
+        flesch = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * asl - 84.6 * asw))
+        grade = F.greatest(F.lit(0.0), F.least(F.lit(18.0), 0.39 * asl + 11.8 * asw - 15.59))
+        ari = F.greatest(F.lit(0.0), F.least(F.lit(18.0), 4.71 * (x["l"] / n_w) + 0.5 * asl - 21.43))
+        return F.struct(F.round(flesch, 4).alias("flesch"), F.round(grade, 4).alias("grade"), F.round(ari, 4).alias("ari"))
+
+    counted = F.struct(
+        F.regexp_count(text, F.lit(f"[^{gap}]+")).alias("w"), F.regexp_count(text, F.lit(f"[^.!?]*[^.!?{gap}][^.!?]*+")).alias("s"),
+        (F.regexp_count(low, F.lit("[aeiouy]+")) + F.regexp_count(low, F.lit(f"(?<![^{gap}])[^aeiouy{gap}]++(?![^{gap}])"))).alias("y"),
+        (F.length(text) - F.length(F.translate(text, " \t\n\r\f\x0b", ""))).alias("g"), F.length(text).alias("n"),
+    )
+    whole = let(counted, lambda x: of({"w": x["w"], "s": x["s"], "y": x["y"], "l": x["n"] - x["g"]}))
+    return F.when(F.length(text) >= 50, whole)
 
 
 def information_density(text: Column) -> Column:
@@ -142,6 +201,35 @@ def information_density(text: Column) -> Column:
     return (F.least(F.lit(1.0), asl / 25.0) + F.least(F.lit(1.0), 2.0 * ttr)) / 2.0
 
 
+def tfidf_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' term vectors, terms weighed as if the two were the whole corpus: a term of one text alone counts 1 + ln(3 / 2), one of both 1. Terms are lower-cased
+    words of two characters or more. 0 if either has none. One pass over the sorted terms of both."""
+    terms = lambda t: F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+    def side(t: Column, s: int) -> Column:
+        return F.transform(terms(t), lambda x: F.struct(x.alias("t"), F.lit(s).alias("s")))
+
+    rows = F.array_sort(F.concat(side(a, 0), side(b, 1)))
+    alone = (1 + math.log(1.5)) ** 2
+
+    def closed(z: Column) -> dict[str, Column]:
+        """The sums with the term at hand."""
+        x, y = z["x"], z["y"]
+        weight = F.when((x > 0) & (y > 0), F.lit(1.0)).otherwise(F.lit(alone))
+        return {"d": z["d"] + x * y, "p": z["p"] + x * x * weight, "q": z["q"] + y * y * weight}
+
+    def step(z: Column, row: Column) -> Column:
+        same, own = z["t"] == row["t"], closed(z)
+        add = {"x": (row["s"] == 0).cast("double"), "y": (row["s"] == 1).cast("double")}
+        return F.struct(
+            row["t"].alias("t"), *(F.when(same, z[k] + v).otherwise(v).alias(k) for k, v in add.items()), *(F.when(same, z[k]).otherwise(v).alias(k) for k, v in own.items())
+        )
+
+    start = F.struct(F.lit("").alias("t"), *(F.lit(0.0).alias(k) for k in ("x", "y", "d", "p", "q")))
+    end = lambda z: F.struct(*(v.alias(k) for k, v in closed(z).items()))
+    return let(F.aggregate(rows, start, step, end), lambda z: F.when((z["p"] == 0) | (z["q"] == 0), 0.0).otherwise(z["d"] / F.sqrt(z["p"] * z["q"])))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all different words of two texts; 0 if neither has any."""
     x, y = F.array_distinct(tokens(F.lower(a))), F.array_distinct(tokens(F.lower(b)))
@@ -179,16 +267,72 @@ def question_type(text: Column) -> Column:
     return out
 
 
-#: Words that show doubt, and how much each counts (fixed values).
-DOUBT = {"maybe": 1.0, "perhaps": 1.0, "possibly": 0.8, "might": 0.6, "could": 0.4, "unclear": 1.0, "not sure": 1.0, "believe": 0.5, "likely": 0.4, "seems": 0.5}
+#: Kinds of queries by patterns, in the order they are looked for (fixed values).
+QUERY_KINDS = {
+    "factual": r"\b(what|who|when|where|why|how)\b.*\?",
+    "instructional": r"\b(how to|steps|guide|tutorial|explain)\b",
+    "comparative": r"\b(compare|versus|vs|difference|better|best)\b",
+    "opinion": r"\b(opinion|think|feel|believe|recommend)\b",
+    "clarification": r"\b(clarify|explain|elaborate|mean)\b",
+}
+#: Words that negate and words that compare (fixed values).
+NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "cannot", "can't", "won't", "wouldn't", "shouldn't", "doesn't", "don't")
+COMPARISONS = ("versus", "vs", "compared", "better", "worse", "difference", "between", "similar", "against")
+
+
+def query_kind(text: Column) -> Column:
+    """The first of QUERY_KINDS whose pattern is found in a line of the lower-cased text, or 'other'."""
+    out = F.lit("other")
+    for kind, pattern in reversed(QUERY_KINDS.items()):
+        out = F.when(F.lower(text).rlike(pattern), kind).otherwise(out)
+    return out
 
 
-def uncertainty(text: Column, markers: dict[str, float] = DOUBT) -> Column:
-    """Weights of the markers that occur, over 4, 1 at most."""
-    total = F.lit(0.0)
-    for marker, weight in markers.items():
-        total = total + F.when(F.contains(F.lower(text), F.lit(marker)), weight).otherwise(0.0)
-    return F.least(F.lit(1.0), total / 4.0)
+def query_flags(text: Column) -> Column:
+    """struct(has_negation, has_comparison): whether a word of the text is one of NEGATIONS or COMPARISONS."""
+    has = lambda names: F.arrays_overlap(tokens(F.lower(text)), F.array(*(F.lit(n) for n in names)))
+    return F.struct(has(NEGATIONS).alias("has_negation"), has(COMPARISONS).alias("has_comparison"))
+
+
+#: Phrases that show doubt, by kind, and what each phrase of a kind counts (fixed values).
+DOUBT = {
+    "uncertainty": (0.8, [
+        "uncertain", "unclear", "unknown", "not clear", "not certain", "not sure", "not known", "ambiguous", "vague", "unsure", "doubt", "doubtful", "questionable", "debatable",
+        "disputed", "controversial", "undetermined", "unverified",
+    ]),
+    "hedging": (0.7, [
+        "seems to be", "appears to be", "might be", "could be", "may be", "possibly", "potentially", "perhaps", "probably", "likely", "unlikely", "supposedly", "allegedly",
+        "reportedly", "apparently", "it is possible that", "it is likely that", "it seems that", "it appears that", "to some extent", "to a certain degree", "kind of", "sort of",
+        "somewhat", "rather", "quite", "fairly",
+    ]),
+    "speculation": (0.6, [
+        "I think", "I believe", "I assume", "I suspect", "I suppose", "I guess", "I would say", "it is thought that", "it is believed that", "it is speculated that",
+        "it is assumed that", "theory suggests", "researchers speculate", "scientists believe", "experts think", "there is speculation that", "there is a theory that", "speculate",
+        "theorize", "hypothesize", "conjecture",
+    ]),
+    "probability": (0.5, [
+        "sometimes", "occasionally", "often", "frequently", "rarely", "seldom", "usually", "typically", "generally", "normally", "in most cases", "in some cases", "in many cases",
+        "in rare cases", "in general", "as a rule", "for the most part", "about", "around", "approximately", "roughly", "nearly", "almost", "largely", "mostly", "mainly", "primarily",
+        "predominantly", "partially",
+    ]),
+}
+
+
+def uncertainty(text: Column, ignore: Sequence[str] = (), threshold: float = 0.5) -> Column:
+    """struct(doubt, severity): the weights of all phrases of DOUBT in the text over 4, 1 at most; none below the threshold, low, from .6 medium, from .8 high."""
+
+    def of(low: Column) -> Column:
+        total = F.lit(0.0)
+        for weight, phrases in DOUBT.values():
+            for phrase in phrases:
+                if phrase.lower() not in ignore:
+                    total = total + F.when(F.contains(low, F.lit(phrase.lower())), weight).otherwise(0.0)
+        return let(
+            F.round(F.least(F.lit(1.0), total / 4.0), 6),
+            lambda s: F.struct(s.alias("doubt"), F.when(s < threshold, "none").when(s >= 0.8, "high").when(s >= 0.6, "medium").otherwise("low").alias("severity")),
+        )
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def json_in(text: Column) -> Column:

@@ -50,3 +50,15 @@ def index_memory(n: Column, d: int, m: int = 16, nlist: int = 100, pq_m: int = 8
         F.floor((n * d * 4 + n * m * 8) * 1.1).alias("hnsw"), F.floor((nlist * d * 4 + n * d * 4 + nlist * 100) * 1.05).alias("ivf"),
         (n * ((pq_m * bits + 7) // 8) + pq_m * 2**bits * (d // pq_m) * 4 + n * 8).alias("pq"),
     )
+
+
+def standardized(a: Column, mean: list[float], std: list[float]) -> Column:
+    """Each place less its mean, over its deviation (a deviation below 1e-12 counts as 1)."""
+    m, d = F.array(*map(F.lit, mean)), F.array(*(F.lit(x if x >= 1e-12 else 1.0) for x in std))
+    return F.zip_with(F.zip_with(a, m, lambda x, y: x.cast("double") - y), d, lambda x, y: x / y)
+
+
+def projected(a: Column, matrix: list[list[float]], bias: list[float] | None = None) -> Column:
+    """A linear map: the product with each row of the matrix, plus bias."""
+    rows = [dot(a, F.array(*map(F.lit, row))) for row in matrix]
+    return F.array(*(r + F.lit(b) for r, b in zip(rows, bias or [0.0] * len(rows))))

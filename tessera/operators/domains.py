@@ -50,20 +50,84 @@ def keywords(docs: DataFrame, id_col: str, text: str, n: int, least: int = 4, st
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= n)
 
 
+#: What makes a legal text a statute, a case or a contract: patterns, each worth one, and words of which any is worth one; three make the kind (fixed values).
+STATUTE_MARKS = (r"(?i)chapter\s+\d+", r"(?i)section\s+\d+", r"(?i)§\s*\d+", r"(?i)title\s+\d+", r"(?i)article\s+\d+", r"(?i)(\(a\)|\(1\)|\(i\))")
+STATUTE_WORDS = ("shall", "pursuant to", "notwithstanding", "hereinafter", "provision", "subsection")
+CASE_MARKS = (r"(?i)v\.\s", r"(?i)plaintiff", r"(?i)defendant", r"(?i)court of appeals", r"(?i)supreme court", r"(?i)district court", r"(?i)opinion of", r"(?i)held:")
+CASE_WORDS = ("facts", "procedural history", "issue", "holding", "reasoning")
+CITATION_MARKS = (r"\d+ U\.S\. \d+", r"\d+ S\.Ct\. \d+", r"\d+ F\.\d[d] \d+", r"\d+ F\. Supp\. \d+", r"\d+ [A-Za-z]\.[A-Za-z]\. \d+", r"(?i)[A-Za-z]+ v\. [A-Za-z]+,\s+\d+.*\d+")
+CONTRACT_MARKS = (r"(?i)agreement", r"(?i)between.*and", r"(?i)parties", r"(?i)whereas", r"(?i)term of", r"(?i)section \d+(\.\d+)*", r"(?i)article \d+(\.\d+)*", r"(?i)in witness whereof", r"(?i)signatures")
+CONTRACT_WORDS = ("terms and conditions", "payment", "termination", "breach", "warranty", "liability", "intellectual property")
+#: What makes a medical text a research paper, if three are found in the lower-cased text (fixed values).
+PAPER_MARKS = (
+    r"\babstract\b", r"\bintroduction\b", r"\bmethods\b", r"\bresults\b", r"\bdiscussion\b", r"\bconclusion\b", r"\breferences\b", r"\bcite\b", r"\bet al\b",
+    r"\bp\s*[<>=]\s*0\.\d+\b",
+)
+
+
+def _found(text: Column, patterns: Sequence[str]) -> Column:
+    return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
+
+
+def _any(text: Column, words: Sequence[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)).cast("int")
+
+
 def kind_of_legal(text: Column) -> Column:
-    """statute (three marks or more), case, contract, else other."""
-    marks = [r"§", r"(?i)\bsection [0-9]", r"(?i)\bsubsection\b", r"(?i)\bact\b", r"(?i)\bshall\b", r"(?i)\bchapter [0-9]"]
-    score = sum((text.rlike(m).cast("int") for m in marks), F.lit(0))
-    return F.when(score >= 3, "statute").when(text.rlike(r" v\. ") | text.rlike(r"(?i)\bplaintiff\b"), "case").when(text.rlike(r"(?i)\b(agreement|hereinafter|party of)\b"), "contract").otherwise("other")
+    """statute, case_law, contract, or else legal_document; the first that has three marks. A citation counts two for a case."""
+    cited = 2 * F.greatest(*(text.rlike(p).cast("int") for p in CITATION_MARKS))
+    kinds = {
+        "statute": _found(text, STATUTE_MARKS) + _any(text, STATUTE_WORDS), "case_law": _found(text, CASE_MARKS) + _any(text, CASE_WORDS) + cited,
+        "contract": _found(text, CONTRACT_MARKS) + _any(text, CONTRACT_WORDS),
+    }
+    out = F.lit("legal_document")
+    for kind, score in reversed(kinds.items()):
+        out = F.when(score >= 3, kind).otherwise(out)
+    return out
 
 
 def kind_of_medical(text: Column) -> Column:
     """paper (three marks or more), note, else other."""
-    marks = ["abstract", "introduction", "methods", "results", "discussion", "conclusion", "references", "background", "doi", "p <"]
-    score = sum((F.contains(F.lower(text), F.lit(m)).cast("int") for m in marks), F.lit(0))
+    score = _found(F.lower(text), PAPER_MARKS)
     return F.when(score >= 3, "paper").when(text.rlike(r"(?i)(chief complaint|assessment|history of present|medications:)"), "note").otherwise("other")
 
 
+def statute_parts(text: str, header: str, least: int, most: int) -> list[str]:
+    """What stands from one header to the next, parts below least characters dropped, parts beyond most regrouped by paragraphs packed up to most."""
+    import re
+
+    from tessera.operators.chunking import pack
+
+    cuts = [m.start() for m in re.finditer(header, text)]
+    whole = [text[a:b].strip() for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    return [y for x in whole if len(x) >= max(1, least) for y in (pack(re.split(r"\n\s*\n", x), most, "\n\n") if len(x) > most else [x])]
+
+
+def medical_paragraphs(text: str, most: int) -> list[str]:
+    """Paragraphs between blank lines; one beyond most characters is packed from its lines, whose ends don't count, up to most."""
+    import re
+
+    out = []
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        if len(p) <= most:
+            out += [p] if p else []
+            continue
+        now, size = [], 0
+        for line in p.split("\n"):
+            if now and size + len(line) > most:
+                out.append("\n".join(now))
+                now, size = [], 0
+            now.append(line)
+            size += len(line)
+        out.append("\n".join(now))
+    return out
+
+
+def search_in_section(results_of, chunks: DataFrame, section: str, k: int) -> DataFrame:
+    """The k best of results_of(chunks of that section): a filter before the search."""
+    return results_of(chunks.where(F.col("section") == section)).where(F.col("rank") <= k)
+
+
 def split_at_headers(text: Column, header: str, least: int = 1) -> Column:
     """Array of what stands from one header to the next; parts shorter than least are dropped."""
     marked = F.split(F.regexp_replace(text, header, "\u0001$0"), "\u0001")
@@ -73,9 +137,61 @@ def split_at_headers(text: Column, header: str, least: int = 1) -> Column:
 STATUTE, PAPER = r"(?m)^(?:§ ?|Section )[0-9]+", r"(?im)^(?:[0-9.]+ )?(?:abstract|introduction|background|methods?|results|discussion|conclusions?|references)\b"
 
 
+#: LaTeX commands that stand for one character (fixed values).
+SIGNS = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "phi": "φ", "omega": "ω", "Delta": "Δ",
+    "Sigma": "Σ", "Omega": "Ω", "infty": "∞", "sum": "∑", "int": "∫", "partial": "∂", "nabla": "∇", "pm": "±", "times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠",
+    "approx": "≈", "rightarrow": "→", "in": "∈", "sqrt": "√",
+}
+
+
 def formulas(text: Column) -> Column:
-    """LaTeX between dollar signs or brackets."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"\$\$([^$]+)\$\$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?<!\$)\$([^$\n]+)\$(?!\$)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\\\[(.+?)\\\]"), F.lit(1))))
+    """LaTeX between dollar signs, double ones, brackets, or in equation environments; each once, blocks first."""
+    blocks = (r"(?s)\$\$(.+?)\$\$", r"(?s)\\\[(.+?)\\\]", r"(?s)\\begin\{equation\}(.+?)\\end\{equation\}")
+    inline = F.regexp_extract_all(F.regexp_replace(text, r"(?s)\$\$.+?\$\$", " "), F.lit(r"\$([^$\n]+)\$"), F.lit(1))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in blocks), inline))
+
+
+def formula_text(formula: Column) -> Column:
+    """A formula in plain characters as far as that goes: known commands as their sign, fractions with a slash, braces out."""
+    out = F.regexp_replace(formula, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)")
+    for name, sign in SIGNS.items():
+        out = F.regexp_replace(out, rf"\\{name}(?![A-Za-z])", sign)
+    return F.trim(F.regexp_replace(out, r"[{}]", ""))
+
+
+#: Legal citations by kind (fixed values).
+CITATIONS = {
+    "us_reports": r"\d+\s+U\.S\.\s+\d+", "supreme_court": r"\d+\s+S\.\s*Ct\.\s+\d+", "federal_reporter": r"\d+\s+F\.\s*\dd\s+\d+", "federal_supplement": r"\d+\s+F\.\s*Supp\.\s+(?:\dd\s+)?\d+",
+    "us_code": r"\d+\s+U\.?S\.?C\.?\s+(?:§+\s*)?\d+", "federal_regulations": r"\d+\s+C\.?F\.?R\.?\s+(?:§+\s*)?\d+\.\d+", "federal_register": r"\d+\s+Fed\.\s*Reg\.\s+[0-9,]+",
+}
+
+
+def legal_citations(text: Column) -> Column:
+    """Array of struct(kind, citation): the different citations of a text, white space in them closed up."""
+    return F.concat(*(_named_citations(text, kind, p) for kind, p in CITATIONS.items()))
+
+
+def _named_citations(text: Column, kind: str, pattern: str) -> Column:
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " ")))
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("citation")))
+
+
+#: Categories of medical files: words in the file's name, words in its folder's path; the first that fits (fixed values).
+MEDICAL_FILES = {
+    "research_papers": (("paper", "research", "study", "journal", "article"), ("papers", "research", "publications", "articles")),
+    "clinical_notes": (("note", "patient", "clinical", "ehr", "emr", "chart"), ("notes", "patients", "clinical", "ehr", "emr")),
+    "medical_textbooks": (("textbook", "handbook", "manual", "guide"), ("textbooks", "handbooks", "manuals")),
+    "guidelines": (("guideline", "protocol", "standard", "recommendation"), ("guidelines", "protocols", "standards")),
+}
+
+
+def category_of_file(path: Column, categories: dict = MEDICAL_FILES) -> Column:
+    name, folder = F.lower(F.regexp_extract(path, "([^/]*)$", 1)), F.lower(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    out = F.lit("other")
+    for kind, (names, folders) in reversed(categories.items()):
+        out = F.when(name.rlike("|".join(names)) | folder.rlike("|".join(folders)), kind).otherwise(out)
+    return out
 
 
 def citation_first(queries: DataFrame, docs: DataFrame, plain: DataFrame, k: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine, l2, normalized
+from tessera.functions.vectors import cosine, dot, l2, normalized
+from tessera.operators.retrieval import in_blocks, top_k
+from tessera.operators.statistics import MIDDLE, at_ranks, beside, median
+from tessera.session import ship
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -17,34 +20,90 @@ def pair_stats(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row: n, mean and population deviation of the cosine over all pairs.
 
     With unit vectors u, the sum over pairs is (|sum u|^2 - sum |u|^2) / 2 and that of squares (|U'U|^2 - sum |u|^4) / 2, so one pass that adds up a
-    vector and a d x d matrix is enough, whatever the number of pairs.
+    vector and a d x d matrix is enough, whatever the number of pairs. Each task adds up its own and passes on one row.
     """
-    unit = vectors.select(F.posexplode(normalized(F.col(vector))).alias("i", "x"), normalized(F.col(vector)).alias("u"))
-    gram = unit.select("i", "x", F.posexplode("u").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    sums = unit.groupBy("i").agg(F.sum("x").alias("s"))
-    n = vectors.agg(F.count("*").alias("n"))
-    squares = gram.agg(F.sum(F.col("g") * F.col("g")).alias("q"), F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("d"))
-    total = sums.agg(F.sum(F.col("s") * F.col("s")).alias("t"))
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        n, total, gram = 0, None, None
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if not len(column):
+                continue
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+            n, total, gram = n + len(x), x.sum(axis=0) + (0 if total is None else total), x.T @ x + (0 if gram is None else gram)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "s": [total.tolist()], "g": [gram.ravel().tolist()]})
+
+    ship(vectors.sparkSession)
+    parts = vectors.select(vector).mapInArrow(run, "n long, s array<double>, g array<double>")
+    added = lambda c: parts.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    d = F.sqrt(F.count("*").cast("double"))
+    n = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    total = added("s").agg(F.sum(F.col("x") * F.col("x")).alias("t"))
+    gram = added("g")
+    size = gram.agg(d.cast("long").alias("d"))
+    square = gram.crossJoin(F.broadcast(size)).agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.sum(F.when(F.col("i") % (F.col("d") + 1) == 0, F.col("x"))).alias("d"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    mean = (F.col("t") - F.col("d")) / 2 / pairs
-    square = (F.col("q") - F.col("d")) / 2 / pairs
-    one = n.crossJoin(squares).crossJoin(total)  # a row each
-    return one.select("n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 6).alias("std"))
+    mean, squares = (F.col("t") - F.col("d")) / 2 / pairs, (F.col("q") - F.col("d")) / 2 / pairs
+    one = n.crossJoin(square).crossJoin(total)  # a row each
+    return one.select("n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)), 6).alias("std"))
 
 
-def similar(vectors: DataFrame, queries: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, similarity) of a stated set of queries(id_col, vector) against all rows, at the threshold or above, but for themselves."""
+def similar(vectors: DataFrame, queries: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", top: int | None = None) -> DataFrame:
+    """(a, b, similarity) of a stated set of queries(id_col, vector) against all rows, at the threshold or above, but for themselves; with top, the best of each query."""
     q = queries.select(F.col(id_col).alias("a"), normalized(F.col(vector)).alias("u"))
-    v = vectors.select(F.col(id_col).alias("b"), F.col(vector).alias("v"))
-    out = v.join(F.broadcast(q), F.col("a") != F.col("b")).select("a", "b", F.round(cosine(F.col("u"), F.col("v")), 6).alias("similarity"))
-    return out.where(F.col("similarity") >= threshold)
+    v = vectors.select(F.col(id_col).alias("b"), normalized(F.col(vector)).alias("v"))
+    found = in_blocks(q, "a", lambda x: v.join(x, F.col("a") != F.col("b")).select("a", "b", F.round(dot(F.col("u"), F.col("v")), 6).alias("similarity")).where(F.col("similarity") >= threshold))
+    if top is None:
+        return found
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return found.withColumn("_r", best).where(F.col("_r") <= top).drop("_r")
+
+
+def similarity_profile(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row over the pairs of a stated set of queries with all other rows: pairs, mean, median, min, max, std (population) of the cosine, pairs at the threshold or above."""
+    pairs = similar(vectors, queries, -2.0, id_col, vector).select("similarity")
+    base = pairs.agg(
+        F.count("*").alias("pairs"), F.avg("similarity").alias("mean"), F.min("similarity").alias("min"), F.max("similarity").alias("max"), F.stddev_pop("similarity").alias("std"),
+        F.count_if(F.col("similarity") >= threshold).alias("close"),
+    )
+    out = beside(base, at_ranks(pairs, "similarity", [], MIDDLE), [])
+    return out.select("pairs", "close", "min", "max", *(F.round(c, 5).alias(n) for c, n in ((F.col("mean"), "mean"), (median(), "median"), (F.col("std"), "std"))))
+
+
+def cluster_stats(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """(by, size, mean_distance, max_distance, internal_similarity): distances to the mean of the cluster, and the mean over the matrix of its cosines whose
+    diagonal counts as 0 (1 for a single vector). The latter comes from the sum of unit vectors, not from pairs."""
+    unit = normalized(F.col(vector))
+    own = vectors.select(by, F.col(vector).alias("v"), unit.alias("u"))
+    sums = own.select(by, F.posexplode(F.arrays_zip("v", "u")).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x.v").cast("double")).alias("c"), F.sum("x.u").alias("s"), F.count("*").alias("n"))
+    centre = sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("centre"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.first("n").alias("n"))  # a vector a cluster
+    each = own.join(centre, by)
+    out = each.groupBy(by).agg(F.first("n").alias("size"), F.round(F.avg(l2(F.col("v"), F.col("centre"))), 5).alias("mean_distance"), F.round(F.max(l2(F.col("v"), F.col("centre"))), 5).alias("max_distance"), F.first("ss").alias("ss"))
+    inner = F.when(F.col("size") == 1, 1.0).otherwise((F.col("ss") - F.col("size")) / (F.col("size") * F.col("size")))
+    return out.select(by, "size", "mean_distance", "max_distance", F.round(inner, 5).alias("internal_similarity"))
+
+
+def calinski_harabasz(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """One row, score: spread between the clusters over the spread within them, each by its degrees of freedom. Null for a single cluster."""
+    each = vectors.select(by, F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    per = each.groupBy(by, "i").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("*")).alias("w"))
+    whole = per.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    sums = per.join(whole, "i").agg(
+        F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("b"), F.sum("w").alias("w"), F.count_distinct(by).alias("k"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n")
+    )
+    value = F.when((F.col("k") > 1) & (F.col("w") > 0), F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1)))
+    return sums.select(F.round(value, 4).alias("score"))
 
 
 def knn_distance(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id_col, distance): mean distance of each query to its k nearest other rows."""
     q = queries.select(F.col(id_col).alias("a"), F.col(vector).alias("u"))
-    pairs = vectors.select(F.col(id_col).alias("b"), F.col(vector).alias("v")).join(F.broadcast(q), F.col("a") != F.col("b"))
-    d = pairs.select("a", "b", F.round(l2(F.col("u"), F.col("v")), 6).alias("d"))
+    v = vectors.select(F.col(id_col).alias("b"), F.col(vector).alias("v"))
+    d = in_blocks(q, "a", lambda x: v.join(x, F.col("a") != F.col("b")).select("a", "b", F.round(l2(F.col("u"), F.col("v")), 6).alias("d")))
     near = d.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
     return near.groupBy(F.col("a").alias(id_col)).agg(F.round(F.avg("d"), 5).alias("distance"))
 
@@ -90,6 +149,19 @@ def pca(vectors: DataFrame, k: int, vector: str = "embedding") -> tuple[DataFram
     return model.transform(rows).withColumn("reduced", vector_to_array("reduced_")).drop("features", "reduced_"), list(model.explainedVariance)
 
 
+def svd(vectors: DataFrame, k: int, vector: str = "embedding") -> tuple[DataFrame, list[float]]:
+    """vectors with `reduced` (projections on the first k right singular vectors, without centring), and the singular values. The d x d Gram matrix is what the driver sees."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    ship(vectors.sparkSession)
+    matrix = RowMatrix(vectors.select(vector).rdd.map(lambda r: Vectors.dense([float(x) for x in r[0]])))
+    found = matrix.computeSVD(k)
+    axes = found.V.toArray().T.tolist()
+    value = F.array(*(dot(F.col(vector), F.array(*(F.lit(float(x)) for x in axis))) for axis in axes))
+    return vectors.withColumn("reduced", value), [float(x) for x in found.s]
+
+
 def ivf(vectors: DataFrame, nlist: int, seed: int = 42, vector: str = "embedding") -> tuple[DataFrame, list]:
     """An inverted file: vectors with `cell` (to be written partitioned by it), and the centres."""
     from pyspark.ml.clustering import KMeans
@@ -101,8 +173,6 @@ def ivf(vectors: DataFrame, nlist: int, seed: int = 42, vector: str = "embedding
 
 def ivf_search(index: DataFrame, centres: list, queries: DataFrame, k: int, nprobe: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) by cosine within the nprobe cells nearest to each query: an equi-join on the cell, which prunes partitions."""
-    from tessera.operators.retrieval import top_k
-
     spark = index.sparkSession
     cells = spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>")
     near = queries.crossJoin(F.broadcast(cells)).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(l2(F.col("vector"), F.col("centre")), "cell")))

@@ -18,7 +18,15 @@ def min_max(results: DataFrame) -> DataFrame:
     return results.withColumn("score", F.when(high == low, F.col("score")).otherwise((F.col("score") - low) / (high - low)))
 
 
+def scaled(results: DataFrame) -> DataFrame:
+    """A reranker's scores of each query brought to 0..1; equal scores all become 1."""
+    w = Window.partitionBy("query_id")
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    return results.withColumn("score", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
+
+
 def softmax(results: DataFrame) -> DataFrame:
+    """exp(score) over the sum of it in the query, so the scores add up to 1."""
     w = Window.partitionBy("query_id")
     e = F.exp(F.col("score") - F.max("score").over(w))
     return results.withColumn("_e", e).withColumn("score", F.col("_e") / F.sum("_e").over(w)).drop("_e")
@@ -106,6 +114,29 @@ def cascade(results: DataFrame, stages: Sequence[tuple[Column, int]], min_result
     return rows.withColumn("n", F.row_number().over(order)).where((F.col("late") == 0) | (F.col("n") <= min_results)).select("query_id", "id", "score", F.col("n").alias("rank"))
 
 
+def cascade_until(results: DataFrame, stages: Sequence[tuple[Column, int]], threshold: float, enough: int) -> DataFrame:
+    """cascade() in which a query is done with the first stage that gives it `enough` scores at the threshold or above; its later stages are not applied."""
+    now, done = results, None
+    for k, (value, keep) in enumerate(stages):
+        now = ranked(now.withColumn("score", value), keep)
+        good = F.count_if(F.col("score") >= threshold).over(Window.partitionBy("query_id"))
+        if k < len(stages) - 1:
+            marked = now.withColumn("_good", good)
+            out, now = marked.where(F.col("_good") >= enough).drop("_good"), marked.where(F.col("_good") < enough).drop("_good")
+            done = out if done is None else done.unionByName(out)
+    return now if done is None else done.unionByName(now)
+
+
+def explained(a: DataFrame, b: DataFrame, k: int, wa: float = 0.5, wb: float = 0.5) -> DataFrame:
+    """The k best of the weighted sum with what they are made of: (query_id, id, score, rank, raw and normalised score, rank and part of either list; null where a list lacks the id)."""
+    def side(x: DataFrame, n: str, w: float) -> DataFrame:
+        brought = min_max(x.withColumn(f"{n}_raw", F.col("score")))
+        return brought.select("query_id", "id", F.round(f"{n}_raw", 6).alias(f"{n}_raw"), F.round("score", 6).alias(f"{n}_score"), F.col("rank").alias(f"{n}_rank"), F.round(w * F.col("score"), 6).alias(f"{n}_part"))
+
+    best = combine(min_max(a), min_max(b), k, "linear", wa, wb)
+    return best.join(side(a, "a", wa), ["query_id", "id"], "left").join(side(b, "b", wb), ["query_id", "id"], "left")
+
+
 def rerank(results: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """New scores(query_id, id, score) in place of the old; ids without one are dropped."""
     return ranked(results.select("query_id", "id").join(scores.select("query_id", "id", "score"), ["query_id", "id"]), k)

@@ -5,6 +5,8 @@ Every result is (query_id, id, score, rank). Ranks follow the rounded score down
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +70,59 @@ def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score): every vector that `where` lets pass, before top-k, against a stated set of queries(query_id, vector).
+#: A block of queries is this large at most, as it is broadcast.
+MOST_QUERIES = 10_000
 
-    The set is counted first and must not exceed MOST_QUERIES; larger ones are asked in several calls.
-    """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
+
+def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES) -> DataFrame:
+    """run(broadcast queries) over a stated set of queries: at once while they number most or fewer, else in blocks by the hash of id_col, each about half as large."""
+    n = queries.count()
+    if n <= most:
+        return run(F.broadcast(queries))
+    blocks = -(-2 * n // most)
+    out = None
+    for k in range(blocks):
+        part = run(F.broadcast(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
+    """(query_id, id, score): every vector that `where` lets pass, before top-k, against a stated set of queries(query_id, vector), in blocks of `most` at most."""
     rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     value = score(metric, F.col("vector"), F.col("v"))
+    asked = queries.select("query_id", "vector")
     if metric == "cosine":  # lengths once a vector, not once a pair
-        rows, queries = rows.withColumn("nv", norm(F.col("v"))), queries.withColumn("nq", norm(F.col("vector")))
+        rows, asked = rows.withColumn("nv", norm(F.col("v"))), asked.withColumn("nq", norm(F.col("vector")))
         size = F.col("nv") * F.col("nq")
         value = F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("v")) / size)
-    pairs = rows.join(F.broadcast(queries))
-    return pairs.select("query_id", "id", F.round(value, 6).alias("score"))
+    return in_blocks(asked, "query_id", lambda q: rows.join(q).select("query_id", "id", F.round(value, 6).alias("score")), most)
 
 
-#: A batch of vector queries is this large at most, as it is broadcast.
-MOST_QUERIES = 10_000
+def rescored(results: DataFrame, queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], template: str = "{query}", k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Contextual scores of results: cosine of the embedded query, put into the template, and the embedded content of each result; contents that are null or empty drop out.
+
+    embed: a column function text -> vector, such as a pandas UDF around a model.
+    """
+    from tessera.functions.vectors import cosine
+
+    before, _, after = template.partition("{query}")
+    asked = queries.select("query_id", embed(F.concat(F.lit(before), F.col("query"), F.lit(after))).alias("vector"))
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).where("content <> ''")
+    pairs = results.select("query_id", "id").join(held, "id").join(asked, "query_id")
+    scored = pairs.select("query_id", "id", F.round(cosine(F.col("vector"), embed(F.col("content"))), 6).alias("score"))
+    return top_k(scored, k)
+
+
+def top_per_category(results: DataFrame, categories: DataFrame, shares: dict[str, float], k: int) -> DataFrame:
+    """The k best of each query after each category gave its share of k at most (rounded up); categories(id, category), those not named give none."""
+    limit = F.lit(0)
+    for name, share in shares.items():
+        limit = F.when(F.col("category") == name, -int(-share * k // 1)).otherwise(limit)
+    own = results.select("query_id", "id", "score").join(categories, "id")
+    place = F.row_number().over(Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "id"))
+    once = own.withColumn("_place", place).where(F.col("_place") <= limit).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_k(once, k)
 
 
 def hyde(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:

@@ -8,21 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOPWORDS, ngrams
+from tessera.operators.statistics import MIDDLE, at_ranks, beside, index_rank, median
 
 
-def index_percentile(values: Column, q: float) -> Column:
-    """The value at place int(n * q) of the sorted values, from 0: no interpolation. values: a sorted array."""
-    return F.get(values, F.floor(F.size(values) * F.lit(q)).cast("int"))
+def latency_stats(rows: DataFrame, value: str, by: Sequence[str | Column] = (), digits: int = 4) -> DataFrame:
+    """count, min, max, mean, median, p90, p95, p99, stddev (sample; 0 for one value) of each group. Percentiles are the value at place int(n * q), from 0.
+
+    Null values count for nothing; without by, an empty table gives one row of nulls. Groups may be of any size: see at_ranks().
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
+    keys = own.columns[:-1]
+    base = own.groupBy(*keys).agg(
+        F.count("_value").alias("count"), F.min("_value").alias("min"), F.max("_value").alias("max"), F.avg("_value").alias("mean"), F.coalesce(F.stddev_samp("_value"), F.lit(0.0)).alias("stddev")
+    )
+    found = beside(base, at_ranks(own, "_value", keys, {"p90": index_rank(0.9), "p95": index_rank(0.95), "p99": index_rank(0.99), **MIDDLE}), keys)
+    columns = [F.col("count"), *((median() if c == "median" else F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "p90", "p95", "p99", "stddev"))]
+    return found.select(*keys, columns[0], *(F.round(c, digits).alias(n) for c, n in zip(columns[1:], ("min", "max", "mean", "median", "p90", "p95", "p99", "stddev"))))
 
 
-def latency_stats(rows: DataFrame, value: str, by: Sequence[str | Column] = (), digits: int = 4) -> DataFrame:
-    """count, min, max, mean, median, p90, p95, p99, stddev (sample; 0 for one value) of each group."""
-    v = F.sort_array(F.collect_list(value))
-    out = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"),
-        *(index_percentile(v, q).alias(f"p{int(q * 100)}") for q in (0.9, 0.95, 0.99)), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"),
-    )
-    return out.select(*(F.round(c, digits).alias(c) if c in ("min", "max", "mean", "median", "p90", "p95", "p99", "stddev") else F.col(c) for c in out.columns))
+def generation_stats(rows: DataFrame, model: str, seconds: str, tokens: str, first_token: str | None = None) -> DataFrame:
+    """(model, count, mean, p90, tokens_per_second[, first_mean, first_p90]): latency of calls by model, tokens over all seconds, time to the first token."""
+    own = rows.select(model, F.col(seconds).alias("_s"), F.col(tokens).alias("_t"), (F.col(first_token) if first_token else F.lit(None).cast("double")).alias("_f"))
+    base = own.groupBy(model).agg(F.count("_s").alias("count"), F.avg("_s").alias("mean"), F.sum("_t").alias("t"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_s"))).alias("s"), F.avg("_f").alias("first_mean"))
+    found = beside(base, at_ranks(own, "_s", [model], {"p90": index_rank(0.9)}), [model])
+    rate = F.when(F.col("s") > 0, F.col("t") / F.col("s"))
+    columns = [model, "count", F.round("mean", 4).alias("mean"), F.round("p90", 4).alias("p90"), F.round(rate, 4).alias("tokens_per_second")]
+    if not first_token:
+        return found.select(*columns)
+    found = beside(found, at_ranks(own, "_f", [model], {"first_p90": index_rank(0.9)}), [model])
+    return found.select(*columns, F.round("first_mean", 4).alias("first_mean"), F.round("first_p90", 4).alias("first_p90"))
 
 
 def bucket(value: Column, limits: Sequence[tuple[float, str]], rest: str) -> Column:
@@ -39,16 +53,22 @@ SIZES = [(10, "<10"), (100, "10-99"), (1000, "100-999"), (10000, "1000-9999")]
 def component_breakdown(rows: DataFrame, component: str, value: str, operation: str) -> DataFrame:
     """Per component: count, mean, p90, share of operations and of all time, in per cent."""
     whole = rows.agg(F.count_distinct(operation).alias("ops"), F.sum(value).alias("time"))
-    per = rows.groupBy(component).agg(
-        F.count("*").alias("count"), F.avg(value).alias("mean"), index_percentile(F.sort_array(F.collect_list(value)), 0.9).alias("p90"),
-        F.count_distinct(operation).alias("o"), F.sum(value).alias("t"),
-    )
+    per = rows.groupBy(component).agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.count_distinct(operation).alias("o"), F.sum(value).alias("t"))
+    per = beside(per, at_ranks(rows, value, [component], {"p90": index_rank(0.9)}), [component])
     return per.crossJoin(F.broadcast(whole)).select(  # whole is one row
         component, "count", F.round("mean", 4).alias("mean"), F.round("p90", 4).alias("p90"),
         F.round(100 * F.col("o") / F.col("ops"), 2).alias("operations"), F.round(100 * F.col("t") / F.col("time"), 2).alias("time"),
     )
 
 
+def settings_breakdown(rows: DataFrame, settings: str, value: str) -> DataFrame:
+    """(name, setting, count, mean, p90) by each key and value of a JSON object of settings; also for sub-components, whose object holds their own values (value null: theirs)."""
+    each = rows.select(value, F.explode(F.from_json(settings, "map<string,string>")).alias("name", "setting"))
+    base = each.groupBy("name", "setting").agg(F.count(value).alias("count"), F.round(F.avg(value), 4).alias("mean"))
+    found = beside(base, at_ranks(each, value, ["name", "setting"], {"p90": index_rank(0.9)}), ["name", "setting"])
+    return found.withColumn("p90", F.round("p90", 4))
+
+
 def cache_efficiency(rows: DataFrame, hit: Column, value: str) -> DataFrame:
     """One row: hit rate in per cent, mean latency of hits and misses, and the saving, absolute and in per cent."""
     out = rows.agg(F.avg(hit.cast("int")).alias("r"), F.avg(F.when(hit, F.col(value))).alias("h"), F.avg(F.when(~hit, F.col(value))).alias("m"))
@@ -91,10 +111,21 @@ def last_n(rows: DataFrame, n: int, order: str, by: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
 
 
-def rate(rows: DataFrame, ts: str, by: str, seconds: int = 60) -> DataFrame:
-    """Each row with the number of rows of its group in the seconds up to it, per second."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("rate", F.round(F.count("*").over(w) / seconds, 6))
+def rate(rows: DataFrame, ts: str, by: str, seconds: int = 60, slice_seconds: int = 3600) -> DataFrame:
+    """Each row with the number of rows of its group in the seconds up to it, per second. Rows without ts have none.
+
+    A group's time is cut into slices, each a task's work of its own; rows near the end of a slice are shown to the next one as well, which counts but does not return them.
+    """
+    if slice_seconds < seconds:
+        raise ValueError("a slice must be as long as the window or longer")
+    t, long = F.unix_micros(F.col(ts).cast("timestamp")), slice_seconds * 1_000_000
+    own = rows.withColumn("_t", t).withColumn("_slice", F.floor(F.col("_t") / F.lit(long)).cast("long"))
+    seen = F.array(F.lit(0), F.lit(1))
+    late = F.pmod(F.col("_t"), F.lit(long)) >= long - seconds * 1_000_000
+    each = own.withColumn("_next", F.explode(F.when(late, seen).otherwise(F.array(F.lit(0))))).withColumn("_slice", F.col("_slice") + F.col("_next"))
+    w = Window.partitionBy(by, "_slice").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
+    value = F.when(F.col("_t").isNotNull(), F.round(F.count("*").over(w) / seconds, 6))
+    return each.withColumn("rate", value).where("_next = 0").drop("_t", "_slice", "_next")
 
 
 # --- features and users
@@ -136,9 +167,10 @@ def session_stats(events: DataFrame, ts: str, least: int = 2) -> DataFrame:
     """One row over sessions of `least` events or more: how many, seconds and events (min, max, mean, median)."""
     per = events.groupBy("session_id").agg(F.count("*").alias("e"), (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))).alias("us"))
     per = per.where(F.col("e") >= least).select(F.col("e").cast("double").alias("events"), (F.col("us") / 1e6).alias("seconds"))
-    each = [f(c) for c in ("seconds", "events") for f in (F.min, F.max, F.avg, F.median)]
-    names = [f"{c}_{a}" for c in ("seconds", "events") for a in ("min", "max", "mean", "median")]
-    return per.agg(F.count("*").alias("sessions"), *(F.round(e, 4).alias(n) for e, n in zip(each, names)))
+    out = per.agg(F.count("*").alias("sessions"), *(f(c).alias(f"{c}_{a}") for c in ("seconds", "events") for f, a in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))))
+    for c in ("seconds", "events"):
+        out = beside(out, at_ranks(per, c, [], MIDDLE), []).withColumn(f"{c}_median", median()).drop(*MIDDLE)
+    return out.select("sessions", *(F.round(f"{c}_{a}", 4).alias(f"{c}_{a}") for c in ("seconds", "events") for a in ("min", "max", "mean", "median")))
 
 
 def engagement(events: DataFrame, user: str, ts: str, kind: str) -> DataFrame:
@@ -147,6 +179,13 @@ def engagement(events: DataFrame, user: str, ts: str, kind: str) -> DataFrame:
     return events.join(owner, "session_id").groupBy(kind).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("owner").alias("users"))
 
 
+def sessions_per_user(events: DataFrame, user: str, ts: str) -> DataFrame:
+    """One row: users, sessions, sessions_per_user; a session's user is that of its first event."""
+    owner = events.groupBy("session_id").agg(F.min_by(user, ts).alias("owner"))
+    out = owner.agg(F.count_distinct("owner").alias("users"), F.count("*").alias("sessions"))
+    return out.withColumn("sessions_per_user", F.round(F.col("sessions") / F.col("users"), 4))
+
+
 def transitions(events: DataFrame, ts: str, kind: str, tie: str) -> DataFrame:
     """(from, to, n) of successive events of a session."""
     w = Window.partitionBy("session_id").orderBy(ts, tie)
@@ -176,14 +215,47 @@ def retention(events: DataFrame, user: str, ts: str, days: int) -> DataFrame:
 # --- errors
 
 
-def severity(message: Column) -> Column:
-    low = F.lower(message)
-    return F.when(low.rlike("fatal|critical|crash|corrupt"), "critical").when(low.rlike("fail|exception|denied"), "high").when(low.rlike("timeout|warn|retry"), "medium").otherwise("low")
+#: Words of a message that name its severity, in the order they are looked for (fixed values).
+SEVERITIES = {"critical": "critical|fatal", "high": "high|severe", "medium": "medium|moderate", "low": "low|minor"}
+#: Categories of errors by patterns, in the order they are looked for (fixed values).
+CATEGORIES = {
+    "retrieval": r"retriev|fetch|find|search",
+    "generation": r"generat|creat|produc",
+    "parsing": r"pars|extract|format",
+    "authentication": r"auth|login|credential",
+    "rate_limit": r"rate|limit|throttl",
+    "timeout": r"timeout|timed out|too long",
+    "connection": r"connect|network|server",
+    "validation": r"valid|schema|format",
+}
+
+
+def first_match(text: Column, patterns: Mapping[str, str], other: str | Column) -> Column:
+    """The name of the first pattern found in the lower-cased text."""
+    out = other if isinstance(other, Column) else F.lit(other)
+    for name, pattern in reversed(patterns.items()):
+        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def severity(message: Column, code: Column | None = None) -> Column:
+    """What the message says, or else by its code: 500 and above high, 400 and above medium, below low; without a code medium."""
+    by_code = F.lit("medium")
+    if code is not None:
+        by_code = F.when(code >= 500, "high").when(code >= 400, "medium").when(code.isNotNull(), "low").otherwise("medium")
+    return first_match(message, SEVERITIES, by_code)
 
 
 def category(message: Column) -> Column:
-    low = F.lower(message)
-    return F.when(low.rlike("timeout|timed out"), "timeout").when(low.rlike("connect|network|socket"), "network").when(low.rlike("auth|denied|permission"), "access").when(low.rlike("memory|disk|quota"), "resource").otherwise("other")
+    return first_match(message, CATEGORIES, "other")
+
+
+def errors_between(log: DataFrame, start=None, end=None, level: int | None = None, limit: int = 100) -> DataFrame:
+    """Rows of a log(timestamp, level, ...) from start to end (both included) of a level or above, newest first, limit at most; ties by id if there is one."""
+    rows = log
+    for given, condition in ((start, F.col("timestamp") >= F.lit(start)), (end, F.col("timestamp") <= F.lit(end)), (level, F.col("level") >= F.lit(level))):
+        rows = rows if given is None else rows.where(condition)
+    return rows.orderBy(F.desc("timestamp"), *(["id"] if "id" in log.columns else [])).limit(limit)
 
 
 #: What an error of each severity weighs (fixed values).
@@ -221,11 +293,18 @@ def frequent_phrases(rows: DataFrame, text: str, size: int, n: int) -> DataFrame
     return each.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(n)
 
 
-def resolution(errors: DataFrame, opened: str, closed: str, method: str) -> DataFrame:
+def resolution(errors: DataFrame, opened: str, closed: str) -> DataFrame:
     """One row: errors, share resolved, minutes to it (min, max, mean, median); null closed counts as open."""
     minutes = (F.unix_micros(F.col(closed).cast("timestamp")) - F.unix_micros(F.col(opened).cast("timestamp"))) / 6e7
-    own = errors.select(minutes.alias("m"), method)
-    return own.agg(F.count("*").alias("errors"), F.round(F.count("m") / F.count("*"), 6).alias("rate"), *(F.round(f("m"), 4).alias(a) for f, a in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.median, "median"))))
+    own = errors.select(minutes.alias("m"))
+    out = own.agg(F.count("*").alias("errors"), F.round(F.count("m") / F.count("*"), 6).alias("rate"), *(F.round(f("m"), 4).alias(a) for f, a in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))))
+    out = beside(out, at_ranks(own, "m", [], MIDDLE), []).withColumn("median", F.round(median(), 4))
+    return out.select("errors", "rate", "min", "max", "mean", "median")
+
+
+def resolution_methods(errors: DataFrame, closed: str, method: str) -> DataFrame:
+    """(method, n) of resolved errors that say how."""
+    return errors.where(F.col(closed).isNotNull() & F.col(method).isNotNull()).groupBy(F.col(method).alias("method")).agg(F.count("*").alias("n"))
 
 
 # --- cost
@@ -259,5 +338,23 @@ def tiered(amount: Column, free: float, price: float, per: float = 1.0) -> Colum
     return F.round(F.greatest(amount - free, F.lit(0)) / per * price, 4)
 
 
+#: Requests that a price is for, by provider (fixed values).
+REQUESTS = {"aws": 1_000, "gcp": 10_000, "azure": 10_000}
+
+
+def cloud_cost(usage: DataFrame, instances: DataFrame, provider: str, request_price: float, disk: tuple[float, float] = (3000, 0.005), throughput: tuple[float, float] = (125, 0.04)) -> DataFrame:
+    """usage(id, instance, hours, iops, throughput, requests) with the costs compute, iops, throughput, requests and total, each rounded to 4 digits.
+
+    instances(instance, price) by the hour; an unknown one costs nothing. disk and throughput: (what is free, price of one beyond that).
+    """
+    per = usage.join(instances.select("instance", F.col("price").alias("_price")), "instance", "left")
+    out = per.withColumns({
+        "compute_cost": F.round(F.coalesce("_price", F.lit(0.0)) * F.col("hours"), 4), "iops_cost": tiered(F.col("iops"), *disk), "throughput_cost": tiered(F.col("throughput"), *throughput),
+        "request_cost": F.round(F.col("requests") / REQUESTS[provider] * request_price, 4),
+    })
+    parts = ("compute_cost", "iops_cost", "throughput_cost", "request_cost")
+    return out.select("id", *parts, F.round(sum((F.col(p) for p in parts[1:]), F.col(parts[0])), 4).alias("total"))
+
+
 def price_table(prices: Mapping[str, tuple[float, float]], rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([(k, *v) for k, v in prices.items()], "model string, input double, output double")

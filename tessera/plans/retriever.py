@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ class Retriever:
     threshold: float | None = None
     rerank: Callable[[DataFrame], DataFrame] | None = None
     id_col: str = "doc_id"
+    #: Searches by name (vector, bm25, keyword) that take the place of the built-in ones: functions of (queries, k) to (query_id, id, score, rank).
+    searches: dict[str, Callable[[DataFrame, int], DataFrame]] = field(default_factory=dict)
+    #: For the contextual strategy: a column function text -> vector, and a template for queries.
+    embed: Callable[[Column], Column] | None = None
+    template: str = "{query}"
 
     def _vector(self, queries: DataFrame, k: int) -> DataFrame:
         return retrieval.top_k(retrieval.vector_scores(queries.select("query_id", "vector"), self.vectors, self.metric, None, self.id_col), k)
@@ -42,18 +47,21 @@ class Retriever:
 
     def retrieve(self, queries: DataFrame, limit: int) -> DataFrame:
         """(query_id, id, score, rank). Fused strategies take twice the limit of each list first."""
-        single = {"vector": self._vector, "bm25": self._bm25, "keyword": self._keyword}
+        single = {"vector": self._vector, "bm25": self._bm25, "keyword": self._keyword} | self.searches
         if self.strategy in single:
             out = fusion.ranked(single[self.strategy](queries, limit), limit)
         else:
-            v = self._vector(queries, 2 * limit)
-            other = (self._keyword if self.strategy == "vector_keyword" else self._bm25)(queries, 2 * limit)
+            v = single["vector"](queries, 2 * limit)
+            if self.strategy == "contextual" and self.embed:  # what the vector search found, scored again by content
+                other = retrieval.rescored(v, queries, self.docs, self.embed, self.template, 2 * limit, self.id_col)
+            else:
+                other = single["keyword" if self.strategy == "vector_keyword" else "bm25"](queries, 2 * limit)
             if self.strategy == "rrf":
                 out = fusion.rrf([v, other], limit, weights=self.weights)
             elif self.strategy == "weighted":
                 out = fusion.ensemble([fusion.min_max(v), fusion.min_max(other)], limit, self.weights)
             elif self.strategy == "contextual":
-                out = fusion.combine(fusion.min_max(v), fusion.min_max(other), limit, "max")
+                out = fusion.combine(fusion.min_max(v), fusion.min_max(other), limit, *(("linear", *self.weights) if self.embed else ("max",)))
             else:
                 out = fusion.combine(fusion.min_max(v), fusion.min_max(other), limit, "linear", *self.weights)
         if self.threshold is not None:

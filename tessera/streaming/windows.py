@@ -5,7 +5,7 @@ Event times without a zone are cast to timestamps, as watermarks need them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +59,13 @@ def alerts(events: DataFrame, ts: str, key: str, tie: str, seconds: float) -> Da
     return own.groupBy(key).applyInPandas(run, own.schema)
 
 
+def alerting(log: DataFrame, level: int, types: Sequence[str] | None = None, patterns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a log(level, error_type, message) that may raise an alert, before any cool-down: of the level or above, of one of the types, with a message that one of the patterns finds."""
+    rows = log.where(F.col("level") >= level)
+    rows = rows if types is None else rows.where(F.col("error_type").isin(list(types)))
+    return rows if patterns is None else rows.where(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp(F.col("message"), p)))
+
+
 def alerts_stream(events: DataFrame, ts: str, key: str, tie: str, seconds: float, late: str = "1 hour") -> DataFrame:
     """alerts() of a stream: the last alert of each key is its state. Events of one trigger are taken in order of time; late ones never move the last alert back."""
     from pyspark.sql.streaming.state import GroupStateTimeout
