@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -13,25 +12,9 @@ from tessera.functions import vectors as V
 from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, metrics, retrieval, telemetry
 from tessera.plans import retriever, schema
 from tessera.plans.predicates import Pred, where
+from tessera.registry import QUERIES, SQL, query, table
 from tessera.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 # --- vectors. Queries are every vector whose id 50 divides, against all.
 
@@ -138,37 +121,38 @@ def index_memory_estimate(spark, d):
 
 
 def text_queries(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _W = r"list_filter(regexp_split_to_array(lower({}), '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
+_ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
 _BM25 = f"""WITH d AS (SELECT doc_id AS id, {_W.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_W.format('text')}) AS term FROM benchmark WHERE item_id % 10 = 0) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_W.format('query')}) AS term FROM ({{asked}})) GROUP BY ALL),
 tf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
 df0 AS (SELECT term, any_value(n) AS n, any_value(avgdl) AS avgdl, count(*)::DOUBLE AS df FROM tf, st GROUP BY term), df1 AS (SELECT term, avgdl, {{idf}} AS idf FROM df0),
 df AS (SELECT term, avgdl, {{fix}} AS idf FROM df1),
 sc AS (SELECT query_id, id, sum(qtf * {{part}}) AS score FROM q JOIN df USING (term) JOIN tf USING (term) GROUP BY query_id, id), fl AS (SELECT query_id, sum(qtf * idf * 0.5) AS f FROM q JOIN df USING (term) GROUP BY query_id),
 r AS (SELECT query_id, id, round(score + {{floor}}, 5) AS score FROM sc JOIN fl USING (query_id))
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 10"""
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= {{k}}"""
 _OK = "idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"
 
 
-@query(_BM25.format(idf="ln((n + 1) / df)", fix="idf", part=_OK, floor="f"))
+@query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n + 1) / df)", fix="idf", part=_OK, floor="f"))
 def bm25_plus_topk(spark, d):
     return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "plus"), 10)
 
 
-@query(_BM25.format(idf="ln((n - df + 0.5) / (df + 0.5))", fix="CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df1) ELSE idf END", part=_OK, floor="0"))
+@query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n - df + 0.5) / (df + 0.5))", fix="CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df1) ELSE idf END", part=_OK, floor="0"))
 def bm25_okapi_topk(spark, d):
     return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "okapi"), 10)
 
 
-@query(_BM25.format(idf="ln((n + 1) / (df + 0.5))", fix="idf", part="idf * 2.5 * (tf / (0.25 + 0.75 * dl / avgdl) + 0.5) / (1.5 + tf / (0.25 + 0.75 * dl / avgdl) + 0.5)", floor="0"))
+@query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n + 1) / (df + 0.5))", fix="idf", part="idf * 2.5 * (tf / (0.25 + 0.75 * dl / avgdl) + 0.5) / (1.5 + tf / (0.25 + 0.75 * dl / avgdl) + 0.5)", floor="0"))
 def bm25_l_topk(spark, d):
     return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "l"), 10)
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_W.format('text')}) AS w FROM benchmark WHERE item_id % 10 = 0), qt AS (SELECT query_id, len(w) AS size, unnest(w) AS term FROM q),
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_W.format('text')}) AS w FROM benchmark), qt AS (SELECT query_id, len(w) AS size, unnest(w) AS term FROM q),
   dt AS (SELECT doc_id AS id, unnest(list_distinct({_W.format('text')})) AS term FROM documents), s AS (SELECT query_id, id, round(count(*) / any_value(size), 5) AS score FROM qt JOIN dt USING (term) GROUP BY query_id, id)
   SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def keyword_topk(spark, d):
@@ -256,13 +240,20 @@ def rerank_ensemble(spark, d):
     return fusion.ensemble(_lists(spark, d), 10, [0.7, 0.3])
 
 
-@query()
+@query(f"""WITH {_L}, n AS (SELECT query_id, id, round(-score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(-score, 6) DESC, id) AS rank FROM a WHERE rank <= 6), c AS (SELECT * FROM n WHERE rank <= 3),
+  o AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM a ANTI JOIN c USING (query_id, id)),
+  u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, r) AS n FROM (SELECT query_id, id, score, rank AS r, 0 AS late FROM c UNION ALL SELECT query_id, id, score, r, 1 FROM o WHERE r <= 5))
+  SELECT query_id, id, score, n AS rank FROM u WHERE late = 0 OR n <= 5""")
 def rerank_cascade(spark, d):
     a, _ = _lists(spark, d)
     return fusion.cascade(a, [(F.col("score"), 6), (-F.col("score"), 3)], 5)
 
 
-@query()
+_ASKED = "SELECT vec_id AS query_id, text AS query FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0"
+_PLUS = _BM25.format(asked=_ASKED, k=20, idf="ln((n + 1) / df)", fix="idf", part=_OK, floor="f")
+
+
+@query(f"WITH a AS ({_vec_sql('cosine', 20)} AND query_id IN (SELECT query_id FROM ({_ASKED}))), b AS ({_PLUS}) " + _RANKED.format(f"SELECT query_id, id, round(0.5 * coalesce(sa, 0) + 0.5 * coalesce(sb, 0), 6) AS score FROM (SELECT query_id, id, score AS sa FROM {_MM.format('a')}) FULL JOIN (SELECT query_id, id, score AS sb FROM {_MM.format('b')}) USING (query_id, id)"))
 def hybrid_retrieve(spark, d):
     """Vector and keyword search over documents and vectors of the same ids, fused."""
     docs = table(spark, d, "documents")
@@ -275,10 +266,10 @@ def hybrid_retrieve(spark, d):
 # --- measures: vectors of the query's label are relevant
 
 
-def _truth(spark, d):
+def _judged(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return v.select(F.col("vec_id").alias("id"), "label").join(F.broadcast(q), "label").select("query_id", "id")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return metrics.judged_by_label(vec_topk_cosine(spark, d), queries, v.select(F.col("vec_id").alias("id"), "label"))
 
 
 _TRUTH = "truth AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 50 = 0)"
@@ -287,7 +278,7 @@ _J = f"WITH res AS ({_vec_sql('cosine')}), {_TRUTH}, j AS (SELECT r.*, CASE WHEN
 
 @query(f"{_J}, k AS (SELECT query_id, count(*) AS c, sum(rel) AS h FROM j WHERE rank <= 5 GROUP BY query_id), m AS (SELECT query_id, h / c AS p, h / n AS r, h FROM k JOIN n USING (query_id)) SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, CAST(h > 0 AS INT) AS hit FROM m")
 def precision_recall_f1_at_k(spark, d):
-    return metrics.at_k(vec_topk_cosine(spark, d), _truth(spark, d), 5)
+    return metrics.at_k_of(*_judged(spark, d), 5)
 
 
 _AP = f"{_J}, c AS (SELECT query_id, rank, rel, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS h FROM j), ap AS (SELECT query_id, round(avg(h / rank), 6) AS ap FROM c WHERE rel = 1 GROUP BY query_id)"
@@ -295,27 +286,27 @@ _AP = f"{_J}, c AS (SELECT query_id, rank, rel, sum(rel) OVER (PARTITION BY quer
 
 @query(f"{_AP} SELECT round(avg(coalesce(ap, 0)), 6) AS map FROM n LEFT JOIN ap USING (query_id)")
 def map_strict(spark, d):
-    return metrics.mean_average_precision(vec_topk_cosine(spark, d), _truth(spark, d))
+    return metrics.mean_average_precision_of(*_judged(spark, d))
 
 
 @query(f"{_AP} SELECT round(avg(ap), 6) AS map FROM ap")
 def map_of_hits(spark, d):
-    return metrics.mean_average_precision(vec_topk_cosine(spark, d), _truth(spark, d), False)
+    return metrics.mean_average_precision_of(*_judged(spark, d), False)
 
 
 @query(f"{_J}, dcg AS (SELECT query_id, sum(rel / log2(rank + 1)) AS d FROM j GROUP BY query_id), ideal AS (SELECT query_id, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS i FROM n) SELECT query_id, round(coalesce(d, 0) / i, 6) AS ndcg FROM ideal LEFT JOIN dcg USING (query_id)")
 def ndcg_at_10(spark, d):
-    return metrics.ndcg(vec_topk_cosine(spark, d), _truth(spark, d), 10)
+    return metrics.ndcg_of(*_judged(spark, d), 10)
 
 
 @query(f"{_J} SELECT query_id, round(coalesce(1 / min(rank) FILTER (rel = 1), 0), 6) AS rr FROM n LEFT JOIN j USING (query_id) GROUP BY query_id")
 def mrr_first_hit(spark, d):
-    return metrics.reciprocal_rank(vec_topk_cosine(spark, d), _truth(spark, d))
+    return metrics.reciprocal_rank_of(*_judged(spark, d))
 
 
 @query(f"{_J} SELECT query_id, round(sum(CASE WHEN rel = 1 THEN 1 / rank ELSE 0 END) / any_value(n), 6) AS mrr FROM n LEFT JOIN j USING (query_id) GROUP BY query_id")
 def mrr_per_truth(spark, d):
-    return metrics.reciprocal_rank_per_truth(vec_topk_cosine(spark, d), _truth(spark, d))
+    return metrics.reciprocal_rank_per_truth_of(*_judged(spark, d))
 
 
 # --- filters
@@ -482,12 +473,13 @@ for _n, _days in (("day", 1), ("week", 7), ("month", 30)):
 def _errors(spark, d):
     rows = _events(spark, d).where("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("long")
-    message = F.when(k % 4 == 0, "Fatal: disk quota").when(k % 4 == 1, "Request failed: connection refused").when(k % 4 == 2, "Timeout while reading socket").otherwise("Unknown state")
-    rows = rows.withColumn("message", message)
-    return rows.withColumns({"severity": telemetry.severity(F.col("message")), "category": telemetry.category(F.col("message"))})
+    message = F.when(k % 5 == 0, "Fatal: cannot fetch page").when(k % 5 == 1, "Severe: connection refused").when(k % 5 == 2, "Request timed out").when(k % 5 == 3, "Invalid schema").otherwise("Login is a minor problem")
+    rows = rows.withColumns({"message": message, "code": F.when(k % 7 > 0, 300 + 3 * k)})
+    return rows.withColumns({"severity": telemetry.severity(F.col("message"), F.col("code")), "category": telemetry.category(F.col("message"))})
 
 
-_E = f"""(SELECT *, CASE k % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, CASE k % 4 WHEN 0 THEN 'resource' WHEN 1 THEN 'network' WHEN 2 THEN 'timeout' ELSE 'other' END AS category
+_E = f"""(SELECT *, CASE k % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 4 THEN 'low' ELSE CASE WHEN k % 7 = 0 THEN 'medium' WHEN 300 + 3 * k >= 500 THEN 'high' WHEN 300 + 3 * k >= 400 THEN 'medium' ELSE 'low' END END AS severity,
+  CASE k % 5 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'connection' WHEN 2 THEN 'timeout' WHEN 3 THEN 'validation' ELSE 'authentication' END AS category
   FROM (SELECT *, CAST(props->>'k' AS BIGINT) AS k FROM {_S} WHERE event_type = 'error'))"""
 
 
@@ -509,8 +501,22 @@ def error_impact(spark, d):
 @query(f"WITH m AS (SELECT CASE WHEN k % 3 > 0 THEN value END AS m FROM {_E}) SELECT count(*) AS errors, round(count(m) / count(*), 6) AS rate, round(min(round(m)), 4) AS min, round(max(round(m)), 4) AS max, round(avg(round(m)), 4) AS mean, round(median(round(m)), 4) AS median FROM m")
 def error_resolution(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    rows = _errors(spark, d).withColumn("closed", F.when(k % 3 > 0, F.col("ts").cast("timestamp") + F.make_interval(mins=F.round("value").cast("int")))).withColumn("method", F.lit("retry"))
-    return telemetry.resolution(rows, "ts", "closed", "method")
+    rows = _errors(spark, d).withColumn("closed", F.when(k % 3 > 0, F.col("ts").cast("timestamp") + F.make_interval(mins=F.round("value").cast("int"))))
+    return telemetry.resolution(rows, "ts", "closed")
+
+
+@query(f"SELECT CASE WHEN k % 2 = 0 THEN 'retry' ELSE 'restart' END AS method, count(*) AS n FROM {_E} WHERE k % 3 > 0 AND k % 11 > 0 GROUP BY 1")
+def error_methods(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = _errors(spark, d).withColumns({"closed": F.when(k % 3 > 0, F.col("ts")), "method": F.when(k % 11 > 0, F.when(k % 2 == 0, "retry").otherwise("restart"))})
+    return telemetry.resolution_methods(rows, "closed", "method")
+
+
+@query("SELECT event_id, CAST(props->>'k' AS INT) AS level FROM events WHERE CAST(props->>'k' AS INT) >= 40 AND ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY ts DESC, event_id LIMIT 50")
+def error_log_newest(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.get_json_object("props", "$.k").cast("int").alias("level"))
+    start = log.agg(F.min("timestamp")).first()[0]
+    return telemetry.errors_between(log, start=start + timedelta(days=1), level=40, limit=50).select(F.col("id").alias("event_id"), "level")
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')"
@@ -597,11 +603,11 @@ def doc_stats(spark, d):
 _SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '[ \t\n\r\f\x0B]+', ' ', 'g'))), lambda s: s <> '')"
 
 
-@query(rf"""WITH x AS (SELECT doc_id, {_TOK.format('text')} AS w, greatest(len({_SENT}), 1)::DOUBLE AS ns, length(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g')) AS letters FROM documents WHERE length(text) >= 50),
+@query(rf"""WITH x AS (SELECT doc_id, {_TOK.format('text')} AS w, greatest(len({_SENT}), 1)::DOUBLE AS ns, length(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g')) AS letters, length(text) >= 50 AS is_long FROM documents),
   y AS (SELECT *, greatest(len(w), 1)::DOUBLE AS nw, coalesce(list_sum(list_transform(w, lambda t: greatest(1, len(regexp_extract_all(lower(t), '[aeiouy]+'))))), 0) AS syl FROM x)
-  SELECT doc_id, round(greatest(0, least(100, 206.835::DOUBLE - 1.015::DOUBLE * (nw / ns) - 84.6::DOUBLE * (syl / nw))), 4) AS flesch, round(greatest(0, least(18, 0.39::DOUBLE * (nw / ns) + 11.8::DOUBLE * (syl / nw) - 15.59::DOUBLE)), 4) AS grade, round(greatest(0, least(18, 4.71::DOUBLE * (letters / nw) + 0.5::DOUBLE * (nw / ns) - 21.43::DOUBLE)), 4) AS ari FROM y""")
+  SELECT doc_id, CASE WHEN is_long THEN round(greatest(0, least(100, 206.835::DOUBLE - 1.015::DOUBLE * (nw / ns) - 84.6::DOUBLE * (syl / nw))), 4) END AS flesch, CASE WHEN is_long THEN round(greatest(0, least(18, 0.39::DOUBLE * (nw / ns) + 11.8::DOUBLE * (syl / nw) - 15.59::DOUBLE)), 4) END AS grade, CASE WHEN is_long THEN round(greatest(0, least(18, 4.71::DOUBLE * (letters / nw) + 0.5::DOUBLE * (nw / ns) - 21.43::DOUBLE)), 4) END AS ari FROM y""")
 def readability(spark, d):
-    return table(spark, d, "documents").where(F.length("text") >= 50).select("doc_id", T.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return table(spark, d, "documents").select("doc_id", T.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 @query(rf"WITH x AS (SELECT doc_id, {_TOK.format('lower(text)')} AS w, greatest(len({_SENT}), 1) AS ns FROM documents) SELECT doc_id, round((least(1.0, len(w) / ns / 25.0::DOUBLE) + least(1.0, 2.0 * len(list_distinct(w)) / greatest(len(w), 1))) / 2, 6) AS density FROM x")
@@ -619,9 +625,12 @@ def question_type(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.question_type(F.col("text")).alias("kind"))
 
 
-@query("SELECT conv_id, turn, round(least(1.0, (" + " + ".join(f"CASE WHEN contains(lower(text), '{m}') THEN {w} ELSE 0 END" for m, w in T.DOUBT.items()) + ")::DOUBLE / 4), 4) AS doubt FROM conversations")
+_DOUBT = "round(least(1.0, (" + " + ".join(f"CASE WHEN contains(lower(text), '{p.lower()}') THEN {w} ELSE 0 END" for w, ps in T.DOUBT.values() for p in ps) + ")::DOUBLE / 4), 6)"
+
+
+@query(f"SELECT *, CASE WHEN doubt < 0.5 THEN 'none' WHEN doubt >= 0.8 THEN 'high' WHEN doubt >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT conv_id, turn, {_DOUBT} AS doubt FROM conversations)")
 def uncertainty_markers(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.uncertainty(F.col("text")), 4).alias("doubt"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.uncertainty(F.col("text")).alias("u")).select("conv_id", "turn", "u.*")
 
 
 @query(rf"WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations), t AS (SELECT conv_id, turn, list_distinct({_TOK.format('lower(text)')}) AS a, list_distinct({_TOK.format('lower(prev)')}) AS b FROM p WHERE prev IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM t")
@@ -637,7 +646,15 @@ def html_title_links(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), F.size(T.html_links(F.col("html"))).alias("links"))
 
 
-@query()
+def _stripped(html: str) -> str:
+    text = rf"regexp_replace({html}, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)</?(p|div|br|h[1-6]|li|tr|ul|ol|table|article|section|nav|footer)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for k, v in T.ENTITIES.items():
+        text = f"replace({text}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
+    return rf"regexp_replace(regexp_replace({text}, '\n+', chr(10), 'g'), '^\n|\n$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_stripped('html')} AS text FROM pages")
 def html_strip(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
@@ -673,12 +690,22 @@ def chunk_adaptive(spark, d):
     return chunking.chunked(table(spark, d, "documents"), lambda t: chunking.split_adaptive(t, 500), "doc_id", "text")
 
 
-@query()
+@query(rf"""WITH p AS (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS paragraph FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS ps FROM documents)),
+  s AS (SELECT doc_id, paragraph, {_SENT} AS ss FROM p) SELECT doc_id, CAST(paragraph AS INT) AS paragraph, CAST(generate_subscripts(ss, 1) - 1 AS INT) AS sentence, unnest(ss) AS content FROM s""")
 def chunk_hierarchy(spark, d):
     return chunking.hierarchy(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+def _prepared_sql() -> str:
+    folded = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{Cs}]', '', 'g')"
+    clean = _stripped(folded)
+    clean = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({clean}, '\r\n?', chr(10), 'g'), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
+    facts = rf"CAST(length(t) AS INT) AS n_chars, CAST(len({_TOK.format('t')}) AS INT) AS n_words, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE len(string_split(regexp_replace(t, '\n$', ''), chr(10))) END AS INT) AS n_lines, round(len({_TOK.format('t')}) / 250.0::DOUBLE, 2) AS reading_minutes"
+    chunks = "list_transform(range(1, length(t) + 1, 360), lambda i: substr(t, i, 400)) AS c"
+    return f"SELECT doc_id, n_chars, n_words, n_lines, reading_minutes, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_index, CAST(len(c) AS INT) AS chunk_count, unnest(c) AS content FROM (SELECT doc_id, {facts}, {chunks} FROM (SELECT doc_id, {clean} AS t FROM documents) WHERE length(t) > 0)"
+
+
+@query(_prepared_sql())
 def prepare_corpus(spark, d):
     return retriever.prepare(table(spark, d, "documents"))
 
@@ -776,6 +803,12 @@ def cost_tiered(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", telemetry.tiered(F.col("l_quantity"), 30, 0.065).alias("cost"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+  h AS (SELECT *, regexp_matches(line, '^[A-Z][^|]{0,30}\.$') AS is_header FROM l),
+  m AS (SELECT *, coalesce(last_value(CASE WHEN is_header THEN trim(line) END IGNORE NULLS) OVER w, 'preamble') AS section, coalesce(last_value(CASE WHEN is_header THEN n END IGNORE NULLS) OVER w, -1) AS start FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+  t AS (SELECT doc_id, section, start, string_agg(line, chr(10) ORDER BY n) AS content FROM m GROUP BY ALL) SELECT doc_id, section, arg_max(content, start) AS content FROM t GROUP BY doc_id, section""")
 def chunk_sections(spark, d):
     return chunking.sections(table(spark, d, "documents"), "doc_id", "text", r"^[A-Z][^|]{0,30}\.$")
+
+
+from tessera import catalog_measures, catalog_usage  # noqa: E402, F401  they register queries of their own
