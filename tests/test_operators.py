@@ -79,7 +79,7 @@ def test_metrics_conventions(spark):
     assert 0 < metrics.ndcg(found, graded, 3).first().ndcg < 1
     rows = spark.createDataFrame([("what is a cat", "a cat is", "a cat is an animal")], "q string, a string, c string")
     g = metrics.generation(rows, "q", "a", "c").first()
-    assert (g.faithfulness, g.hallucination, g.conciseness) == (1.0, 0.0, 1.0)
+    assert (g.faithfulness, g.hallucination, g.conciseness, g.relevance) == (1.0, 0.0, 0.5, 0.75)
 
 
 def test_percentiles_differ(spark):
@@ -149,13 +149,199 @@ def test_sources(spark, tmp_path):
     assert readers.html_files(spark, p).first().metadata["title"] == "X"
     assert readers.json_documents(spark, f"{p}/d.json", "text", "concatenate").first().content == "one\n\ntwo"
     assert readers.json_documents(spark, f"{p}/d.json", "text").count() == 2
+    assert readers.text_files(spark, p, "a.txt").first().content == "caf\u00e9"
+    for name, data in (("u8.txt", "caf\u00e9".encode()), ("bom.txt", b"\xef\xbb\xbf" + "caf\u00e9".encode()), ("u16.txt", "caf\u00e9".encode("utf-16"))):
+        (tmp_path / name).write_bytes(data)
+        assert readers.text_files(spark, p, name).first().content == "caf\u00e9", name
+    assert readers.text_files(spark, p, "a.txt", "UTF-8").first().content == "caf\ufffd"
     assert readers.directory(spark, p, limit=2).count() == 2 and readers.code_files(spark, p).where("language = 'python'").count() == 1
     assert readers.pdf_files(spark, p, lambda b: []).count() == 0
+    (tmp_path / "e.json").write_text('[{"text": "one", "k": 1}, [{"text": "two", "k": "x"}, ["three", 4]], {"other": 5}]')
+    e = lambda *a: [(r.content, r.metadata) for r in readers.json_documents(spark, f"{p}/e.json", "text", *a, metadata_keys=["k"]).orderBy("n").collect()]
+    assert e("flatten") == [("one", {"k": "1"}), ("two", {"k": "x"}), ("three", {}), ("4", {}), ("", {})]
+    assert len(e("separate")) == 3 and e("concatenate")[0][1] == {"k": "[1]"}
+    (tmp_path / "page.html").write_text('<title>X</title><meta name="Author" content="A B"><meta content="d" name="description"><p>y</p>')
+    page = readers.html_files(spark, p, "page.html").first()
+    assert (page.metadata["title"], page.metadata["author"], page.metadata["description"], page.content) == ("X", "A B", "d", "X\ny")
     docs = readers.text_files(spark, p, "a.txt")
     for kind in ("json", "csv", "text"):
         readers.write_documents(docs, f"{p}/out-{kind}", kind)
 
 
+def test_csv_has_a_column_for_every_key(spark, tmp_path):
+    rows = spark.range(1200).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("t").alias("content"), F.create_map(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")), F.lit("v")).alias("metadata"))
+    readers.write_documents(rows.coalesce(1), f"{tmp_path}/out", "csv")
+    with open(next((tmp_path / "out").glob("*.csv"))) as f:
+        assert len(f.readline().split(",")) == 1202
+
+
+def test_more_sources(spark, tmp_path):
+    import zipfile
+
+    import numpy as np
+
+    p = str(tmp_path)
+    (tmp_path / "bench").mkdir()
+    (tmp_path / "bench" / "b.json").write_text('[{"query": "q1", "answer": "a", "ground_truth": ["x", "y"]}, {"query": "q2", "ground_truth": "z"}, {"other": 1}]')
+    got = {r.query: (r.answer, r.truth) for r in readers.benchmark_json(spark, f"{p}/bench").collect()}
+    assert got == {"q1": ("a", ["x", "y"]), "q2": (None, ["z"])}
+    (tmp_path / "emb").mkdir()
+    (tmp_path / "emb" / "a.json").write_text('{"i": [1, 2.5]}')
+    np.savez(tmp_path / "emb" / "b.npz", m=np.array([[1.0, 2.0], [3.0, 4.0]]))
+    np.savez(tmp_path / "emb" / "c.npz", x=np.array([5.0]), y=np.array([6.0]))
+    assert sorted((r.id, r.embedding) for r in readers.embedding_files(spark, f"{p}/emb").collect()) == [("0", [1.0, 2.0]), ("1", [3.0, 4.0]), ("i", [1.0, 2.5]), ("x", [5.0]), ("y", [6.0])]
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>One </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:t>three</w:t></w:p></w:document>')
+    (tmp_path / "e.docx").write_bytes(b"no archive")
+    assert sorted((r.path[-6:], r.content) for r in readers.docx_files(spark, p).collect()) == [("d.docx", "One two\n\nthree"), ("e.docx", None)]
+    (tmp_path / "x.pdf").write_bytes(b"a|b")
+    parse = lambda b: b.decode().split("|")
+    assert [(r.page, r.content) for r in readers.pdf_files(spark, p, parse).orderBy("page").collect()] == [(0, "a"), (1, "b")]
+    assert [(r.page, r.content) for r in readers.pdf_files(spark, p, parse, whole=True).collect()] == [(0, "a\n\nb")]
+    (tmp_path / "r.csv").write_text("evaluator,relevance-1,relevance-2\na,5,4\nb,3,\n")
+    found = {(r.criterion, r["query"]): (r.n, r["mean"]) for r in metrics.human_evaluation(readers.evaluation_results(spark, f"{p}/r.csv"), "evaluator").collect()}
+    assert found == {("relevance", 1): (2, 4.0), ("relevance", 2): (1, 4.0)}
+
+
+def test_logs_and_metrics(spark, tmp_path):
+    schema = "id string, timestamp timestamp, level int, message string"
+    log = spark.createDataFrame([("a", datetime(2024, 1, 1), 20, "x"), ("b", datetime(2024, 1, 2), 40, "y"), ("c", datetime(2024, 1, 2), 50, "z"), ("d", datetime(2024, 1, 3), None, "w")], schema)
+    ids = lambda **k: [r.id for r in telemetry.errors_between(log, **k).collect()]
+    assert ids() == ["d", "b", "c", "a"] and ids(level=40) == ["b", "c"] and ids(start=datetime(2024, 1, 2), end=datetime(2024, 1, 2)) == ["b", "c"] and ids(limit=1) == ["d"]
+    for _ in range(2):
+        readers.append_errors(log, f"{tmp_path}/log")
+    assert readers.error_log(spark, f"{tmp_path}/log").count() == 8
+    rows = spark.createDataFrame([("m", 1.5, {"k": "v,\"w"})], "name string, value double, tags map<string,string>")
+    readers.save_metrics(rows, f"{tmp_path}/m-json")
+    readers.save_metrics(rows, f"{tmp_path}/m-csv", "csv")
+    assert readers.load_metrics(spark, f"{tmp_path}/m-json", rows.schema.simpleString()[7:-1].replace("name:", "name ").replace("value:", "value ").replace("tags:", "tags ")).collect() == rows.collect()
+    assert json.loads(readers.load_metrics(spark, f"{tmp_path}/m-csv", "name string, value double, tags string", "csv").first().tags) == {"k": 'v,"w'}
+
+
+def test_order_statistics(spark):
+    from tessera.operators import statistics
+
+    rng = random.Random(3)
+    values = [(g, v) for g, n in (("a", 500), (None, 7), ("b", 1)) for v in [rng.choice([0.0, -1.5, rng.lognormvariate(0, 3), -rng.random()]) for _ in range(n)]] + [("c", None), ("a", None), ("n", float("nan")), ("n", 1.0), ("n", float("inf"))]
+    rows = spark.createDataFrame(values, "g string, v double").repartition(5)
+    got = {r.g: r for r in statistics.at_ranks(rows, "v", ["g"], {"p90": statistics.index_rank(0.9), "least": lambda n: F.lit(0), "most": lambda n: n - 1, "none": lambda n: n, **statistics.MIDDLE}).collect()}
+    for g in ("a", None, "b"):
+        own = sorted(v for x, v in values if x == g and v is not None)
+        r = got[g]
+        assert (r.p90, r.least, r.most, r.none, r._low, r._high) == (own[int(len(own) * 0.9)], own[0], own[-1], None, own[(len(own) - 1) // 2], own[len(own) // 2])
+    assert set(got) == {"a", None, "b", "n"} and got["n"].least == 1.0 and got["n"].most != got["n"].most
+    ints = spark.createDataFrame([(i % 3,) for i in range(9)], "v int")
+    assert statistics.at_ranks(ints, "v", [], {"m": lambda n: F.floor(n / 2)}).first().m == 1
+    assert statistics.at_ranks(ints.where("false"), "v", [], statistics.MIDDLE).count() == 0
+    usage = spark.createDataFrame([("f", '{"a": 1, "b": [1], "c": {"d": 2}}', '{"status": "ok"}'), ("f", '{"a": 1}', "[]"), ("f", "broken", None)], "f string, p string, r string")
+    assert sorted(map(tuple, statistics.parameter_usage(usage, "f", "p").collect())) == [("f", "a", "1", 2), ("f", "b", "list", 1), ("f", "c", "dict", 1)]
+    assert sorted(map(tuple, statistics.result_status(usage, "f", "r").collect())) == [("f", "ok", 1), ("f", "unknown", 2)]
+
+
+def test_rate_over_slices(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), datetime.fromtimestamp(1_700_000_000 + rng.randint(0, 20000))) for _ in range(800)] + [("a", None)]
+    got = telemetry.rate(spark.createDataFrame(rows, "k string, ts timestamp"), "ts", "k", 600, 900).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = sum(k == r.k and t is not None and r.ts is not None and 0 <= (r.ts - t).total_seconds() <= 600 for k, t in rows)
+        assert r.rate == (None if r.ts is None else round(n / 600, 6))
+
+
+def test_query_sets_in_blocks(spark):
+    rng = random.Random(5)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)], "vec_id long, embedding array<double>")
+    q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    for metric in ("cosine", "euclidean", "dot"):
+        whole = retrieval.top_k(retrieval.vector_scores(q, vectors, metric), 5)
+        assert sorted(map(tuple, retrieval.top_k(retrieval.vector_scores(q, vectors, metric, most=20), 5).collect())) == sorted(map(tuple, whole.collect()))
+    assert retrieval.vector_scores(q, vectors, most=7).count() == 120 * 120
+    assert embeddings.similar(vectors, vectors, 0.9, top=1).groupBy("a").count().where("count > 1").isEmpty()
+    reduced, sizes = embeddings.svd(vectors, 2)
+    assert len(sizes) == 2 and sizes[0] >= sizes[1] and len(reduced.first().reduced) == 2
+
+
+def test_filter_compilers(spark):
+    from tessera.plans import predicates
+
+    rows = spark.createDataFrame([(1, "x", ["p", "q"], '{"n": 1, "s": "1"}'), (2, 'y"', ["p"], '{"n": 2}'), (3, None, None, None)], "i long, s string, a array<string>, m string")
+    ids = lambda d: [r.i for r in rows.where(predicates.from_filter(d).column()).orderBy("i").collect()]
+    leaf = lambda f, o, v: {"field": f, "operator": o, "value": v}
+    assert ids({}) == [1, 2, 3] and ids(leaf("i", ">=", 2)) == [2, 3] and ids(leaf("i", "unknown", 2)) == [2] and ids(leaf("i", "in", [1, 3])) == [1, 3]
+    both = {"AND": [leaf("s", "neq", "x"), {"or": [leaf("i", "==", 2), leaf("a", "contains", ["p", "q"])]}]}
+    assert ids(both) == [2] and ids(leaf("a", "contains", ["p", "q"])) == [1]
+    assert predicates.expression_of(both) == '(s != "x") && ((i == 2) || (a == ["p", "q"]))'.replace('(a == ["p", "q"])', "").replace(" || )", ")")
+    assert predicates.expression_of(leaf("s", "eq", 'y"')) == 's == "y\\""' and predicates.expression_of(leaf("i", "not in", [1, 2])) == "i not in [1, 2]" and predicates.expression_of({}) == ""
+    assert predicates.tree_of(both)["operands"][0] == {"path": ["s"], "operator": "NotEqual", "valueString": "x"}
+    assert predicates.tree_of(leaf("b", "=", True)) == {"path": ["b"], "operator": "Equal", "valueBoolean": True}
+    assert [r.i for r in rows.where(predicates.json_equals(F.col("m"), {"n": 1, "s": "1"})).collect()] == [1] and rows.where(predicates.json_equals(F.col("m"), {"n": "1"})).isEmpty()
+
+
+def test_stores_and_schemas(spark, tmp_path):
+    from tessera.sources.collections import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    c = store.create("a", 2, buckets=4)
+    store.create("b", 2, namespace="other")
+    assert store.list() == ["a"] and store.exists("a") and not store.exists("b") and store.exists("b", "other") and store.list("none") == []
+    with pytest.raises(ValueError):
+        store.create("a", 2)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0), F.col("id").cast("double")).cast("array<float>").alias("embedding"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.lit("d").alias("document"), F.current_timestamp().alias("updated_at"))
+    c.upsert(rows)
+    before = c._parts()
+    c.upsert(rows.where("id = '7'").withColumn("document", F.lit("new")))
+    after = store.open("a")._parts()
+    assert sum(before[b] != after[b] for b in before) == 1 and c.count() == 40 and c.get(["7"]).first().document == "new"
+    assert c.info()["count"] == 40 and c.info()["dimension"] == 2
+    assert c.delete(F.lit(True)).count() == 0 and c.delete(F.lit(True)).count() == 0
+    assert store.drop("a") and not store.exists("a") and not store.drop("a")
+    fields = [schema.Field("a", "integer", True, 0, 9), schema.Field("o", "object", fields=(schema.Field("x", values=("u", "v")),))]
+    schema.export(spark, {"one": fields, "two": []}, f"{tmp_path}/schemas")
+    assert schema.imported(spark, f"{tmp_path}/schemas") == {"one": fields, "two": []}
+
+
+def test_kinds_of_texts(spark):
+    from tessera.operators import domains
+
+    legal = {
+        "Chapter 1. Section 2 says what a person shall do.": "statute", "Smith v. Jones, 410 U.S. 113 (1973): the plaintiff appealed": "case_law",
+        "This agreement between A and B, the parties, provides for payment.": "contract", "Nothing of the kind": "legal_document", "The act of a factual article": "legal_document",
+    }
+    for text, kind in legal.items():
+        assert one(spark, domains.kind_of_legal(F.lit(text))) == kind, text
+    medical = {"Abstract. Methods. Results, p < 0.05": "paper", "abstracts introductions discussions": "other", "Chief complaint: cough": "note", "et al cite references": "paper"}
+    for text, kind in medical.items():
+        assert one(spark, domains.kind_of_medical(F.lit(text))) == kind, text
+    assert domains.statute_parts("Section 1\n\naaa\n\nbbb\nSection 2\nshort\nSection 3\n" + "c" * 30, r"Section \d", 12, 16) == ["Section 1\n\naaa", "bbb", "Section 2\nshort", "Section 3\n" + "c" * 30]
+    assert domains.medical_paragraphs("one\n\naaaa\nbbbb\ncc\n \n", 6) == ["one", "aaaa", "bbbb\ncc"]
+
+
+def test_texts_of_measures(spark):
+    low = "It is unclear, and perhaps not certain, what might be."
+    u = one(spark, T.uncertainty(F.lit(low)))
+    assert (u.doubt, u.severity) == (round((2 * 0.8 + 0.7 * 2 + 0.8) / 4, 6), "high") or u.severity in ("medium", "high")
+    assert one(spark, T.uncertainty(F.lit(None).cast("string"))).severity == "none"
+    assert one(spark, T.query_kind(F.lit("Compare a and b"))) == "comparative" and one(spark, T.query_kind(F.lit("What is it?"))) == "factual"
+    flags = one(spark, T.query_flags(F.lit("I don't know the difference")))
+    assert (flags.has_negation, flags.has_comparison) == (True, True)
+    assert one(spark, T.tfidf_cosine(F.lit("a cat"), F.lit("A CAT"))) == pytest.approx(1) and one(spark, T.tfidf_cosine(F.lit("x"), F.lit(None).cast("string"))) == 0
+    assert one(spark, T.dedup_parts(F.lit("A\nb\na\n"))) == "A\nb" and one(spark, T.dedup_parts(F.lit("A\nb\na"), keep_first=False)) == "b\na" and one(spark, T.dedup_parts(F.lit("A\nb\na"), case_sensitive=True)) == "A\nb\na"
+    assert one(spark, T.dedup_parts(F.lit("One. Two! one. "), "sentence")) == "One. Two!" + " " or one(spark, T.dedup_parts(F.lit("One. Two! one."), "sentence")) == "One. Two!"
+    assert one(spark, T.dedup_parts(F.lit(None).cast("string"), "paragraph")) == ""
+    assert one(spark, T.normalize_unicode(F.lit("\ufb01n\u0007e cafe\u0301"))) == "fine caf\u00e9" and one(spark, T.normalize_unicode(F.lit("a\u00e9\u00e8b"), ascii_by="?")) == "a?b"
+
+
+def test_contextual_scores(spark):
+    docs = spark.createDataFrame([(1, "aa b"), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
+    embed = lambda c: F.array(F.regexp_count(c, F.lit("a")).cast("double"), F.regexp_count(c, F.lit("b")).cast("double"))
+    found = spark.createDataFrame([(1, i, 0.5, i) for i in (1, 2, 3, 4)], "query_id long, id long, score double, rank int")
+    q = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert [(r.id, r.score) for r in retrieval.rescored(found, q, docs, embed).orderBy("rank").collect()] == [(1, 0.894427), (2, 0.0)]
+    cache = spark.createDataFrame([("k", [1.0, 0.0], datetime(2024, 1, 1), 3), ("m", [0.0, 1.0], datetime(2024, 1, 1), 9)], "key string, embedding array<double>, created_at timestamp, access_count long")
+    v = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "none", [1.0, 0.0]), (3, "x", [-1.0, 0.0])], "query_id long, key string, vector array<double>")
+    assert {r.query_id: r.key for r in corpus.semantic_cache(v, cache, F.lit(datetime(2024, 1, 1))).collect()} == {1: "m", 2: "k"}
+
+
 def test_collections(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame([(i, v, {"k": i}, i, datetime(2024, 1, n)) for i, v, n in x], "id string, embedding array<float>, metadata map<string,string>, document string, updated_at timestamp")
     c = Collection(spark, str(tmp_path / "c"), 2).create()

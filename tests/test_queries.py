@@ -28,13 +28,18 @@ def plain(v):
     return plain(float(v)) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+#: Queries that SQL cannot say; test_plain_queries.py holds each against a plain version or against what must hold of it.
+PLAIN = {"vec_kmeans", "vec_pca", "vec_ivf_recall", "chunk_recursive", "chunk_adaptive", "augment_swap", "rouge_of_turns"}
+
+
+def test_every_query_is_held_against_something():
+    assert set(catalog.QUERIES) - set(catalog.SQL) == PLAIN
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     rows, columns = df.collect(), df.columns
-    if name not in catalog.SQL:
-        assert len(rows) >= 0 and len(set(columns)) == len(columns)
-        return
     found = duck.sql(catalog.SQL[name])
     assert sorted(found.columns) == sorted(columns)
     order = sorted(columns)
