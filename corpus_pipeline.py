@@ -42,7 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every record that comes of sf_dir's documents."""
+    """doc_id, start, n_tokens and ids_crc32 of every record that comes of sf_dir's documents.
+
+    Documents without a text or with fewer than ten words are rejected by the first stage; those without an id pass like any other and have a null doc_id in the result, where
+    they come first. Of exact repeats and near copies one row stays. A null language is not judged by distance; null languages and sources are leaves of their own in the mixture. Columns beyond those
+    of documents pass through all stages but the last, whatever their names. Null and wordless benchmark items hit nothing. Empty tables give no record.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
