@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Words are split at these; str.split() in other languages may also split at other white space.
 GAP = r"[ \t\n\r\f\x0B]+"
+WORD = r"[^ \t\n\r\f\x0B]+"
 STOPWORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
 
 

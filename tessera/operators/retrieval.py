@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import WORD, tokens
 from tessera.functions.vectors import dot, norm, score
 
 
@@ -34,12 +34,14 @@ def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float =
     """
     asked = queries.select("query_id", F.explode(tokens(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     own = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("w"))
-    stats = own.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    # lengths by a count of words, without making them
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))).alias("avgdl"))
     wanted = asked.select("term").distinct()
     # the words of the queries are few: a plan-time choice by their size, not a hint
     hits = own.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
     tf = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    # every posting has a tf and a dl above 0: the count reads them so that both uses of tf need the same columns, and Spark makes it once
+    df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     n, d = F.col("n"), F.col("df")
     idf = {"okapi": F.log((n - d + 0.5) / (d + 0.5)), "l": F.log((n + 1) / (d + 0.5)), "plus": F.log((n + 1) / d)}[variant]
     terms = df.select("term", "avgdl", idf.alias("idf"))
