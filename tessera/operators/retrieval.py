@@ -10,10 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WORD, tokens
+from tessera.functions.text import WORD, let, tokens
 from tessera.functions.vectors import dot, norm, score
 
 
+#: A block of queries, or of the words of queries with their weights, is this large at most, as it is broadcast.
+MOST_QUERIES, MOST_TERMS = 10_000, 200_000
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query with their rank from 1. Spark keeps k rows a task before it shuffles."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
@@ -26,40 +30,55 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def counted(words: Column) -> Column:
+    """Array of struct(term, tf) of an array of words: each different word and how often it is there. Runs of the sorted words, so no shuffle is needed to count within a text."""
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        each = let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(x, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(x)) - i).cast("long").alias("tf"))))
+        return F.when(F.size(x) > 0, each).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return let(F.array_sort(words), runs)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS) -> DataFrame:
     """(query_id, id, score) of documents that share a word with queries(query_id, query); variant okapi, l or plus.
 
     A word that a query repeats counts as often. With plus, documents without any hit would all score delta times the sum of idf; that
-    constant is in the score of hits, and those documents are left out. Only postings of the queries' words are kept: they are semi-joined first.
+    constant is in the score of hits, and those documents are left out.
+
+    Documents are dealt by id once and counted where they are; the queries' words with their weights are broadcast in blocks of `most` words at most. So all words that a document shares with a
+    query meet in its own task, its score is summed there, and a top-k over the result lets only k rows a query out of each task: pairs of queries and documents are never shuffled.
     """
     asked = queries.select("query_id", F.explode(tokens(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    own = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text_col)).alias("w"))
     # lengths by a count of words, without making them
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))).alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    # the words of the queries are few: a plan-time choice by their size, not a hint
-    hits = own.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    # every posting has a tf and a dl above 0: the count reads them so that both uses of tf need the same columns, and Spark makes it once
-    df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", tokens(F.lower("text")).alias("w"))
+    tf = placed.select("id", F.size("w").alias("dl"), F.inline(counted(F.col("w"))))
+    wanted = asked.select("term").distinct()  # few beside the documents: a plan-time choice by their size, not a hint
+    df = tf.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     n, d = F.col("n"), F.col("df")
     idf = {"okapi": F.log((n - d + 0.5) / (d + 0.5)), "l": F.log((n + 1) / (d + 0.5)), "plus": F.log((n + 1) / d)}[variant]
     terms = df.select("term", "avgdl", idf.alias("idf"))
     if variant == "okapi":  # words in over half the documents would count against a document
         mean = terms.agg(F.avg("idf").alias("mean"))
         terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf"))).drop("mean")
-    found = asked.join(terms, "term").join(tf, "term")
+    weights = asked.join(terms, "term")
     t, length = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
     part = {
         "okapi": F.col("idf") * t * (k1 + 1) / (t + k1 * length),
         "l": F.col("idf") * (k1 + 1) * (t / length + delta) / (k1 + t / length + delta),
         "plus": F.col("idf") * t * (k1 + 1) / (t + k1 * length),
     }[variant]
-    out = found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
-    if variant == "plus":
-        floor = asked.join(terms, "term").groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("floor"))
-        out = out.join(floor, "query_id").select("query_id", "id", (F.col("score") + F.col("floor")).alias("score"))
-    return out.withColumn("score", F.round("score", 5))
+
+    def scored(w: DataFrame) -> DataFrame:
+        out = tf.join(w, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
+        if variant == "plus":
+            floor = w.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("floor"))
+            out = out.join(F.broadcast(floor), "query_id").select("query_id", "id", (F.col("score") + F.col("floor")).alias("score"))  # a row for each query of the block
+        return out
+
+    return in_blocks(weights, "query_id", scored, most, asked.count()).withColumn("score", F.round("score", 5))
 
 
 def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,13 +91,9 @@ def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-#: A block of queries is this large at most, as it is broadcast.
-MOST_QUERIES = 10_000
-
-
-def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES) -> DataFrame:
-    """run(broadcast queries) over a stated set of queries: at once while they number most or fewer, else in blocks by the hash of id_col, each about half as large."""
-    n = queries.count()
+def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES, n: int | None = None) -> DataFrame:
+    """run(broadcast queries) over a stated set of queries: at once while they number most or fewer, else in blocks by the hash of id_col, each about half as large. n: their number, if known."""
+    n = queries.count() if n is None else n
     if n <= most:
         return run(F.broadcast(queries))
     blocks = -(-2 * n // most)
