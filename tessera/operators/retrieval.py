@@ -81,14 +81,17 @@ def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float =
     return in_blocks(weights, "query_id", scored, most, asked.count()).withColumn("score", F.round("score", 5))
 
 
-def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score): share of the query's different words that the document has."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.lower("query")))).alias("term"))
-    size = asked.groupBy("query_id").agg(F.count("*").alias("size"))
-    own = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens(F.lower(text_col)))).alias("term"))
-    return asked.join(own, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits")).join(size, "query_id").select(
-        "query_id", "id", F.round(F.col("hits") / F.col("size"), 5).alias("score")
-    )
+def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS) -> DataFrame:
+    """(query_id, id, score): share of the query's different words that the document has. Laid out like bm25(): documents dealt by id, the queries' words broadcast in blocks."""
+    words = lambda c: F.array_distinct(tokens(F.lower(c)))
+    asked = queries.select("query_id", words("query").alias("w")).select("query_id", F.size("w").alias("size"), F.explode("w").alias("term"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", F.explode(words("text")).alias("term"))
+
+    def scored(w: DataFrame) -> DataFrame:
+        hits = own.join(w, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.first("size").alias("size"))
+        return hits.select("query_id", "id", F.round(F.col("hits") / F.col("size"), 5).alias("score"))
+
+    return in_blocks(asked, "query_id", scored, most)
 
 
 def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES, n: int | None = None) -> DataFrame:
