@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_extract, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, url_filter
+from tessera.llm import decontaminate, html_extract, line_dedup, mixing, periodic, piecewise, quality, simhash, substring_dedup, suffix_dedup, token_records, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.detect(periodic.tail_repeated(_table(spark, sf_dir, "documents"))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_quality_rules, op4_html_extraction, op5_benchmark_decontamination, op6_substring_dedup, op7_url_filter, op8_token_records, op9_simhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_quality_rules, op4_html_extraction, op5_benchmark_decontamination, op6_substring_dedup, op7_url_filter, op8_token_records, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_periodic_runs, op12_embedding_whitening, op13_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
