@@ -25,11 +25,13 @@ from tessera.session import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml
+    audio button canvas iframe input object script select style svg template textarea video""".split()
 )
 #: Elements that hold no article text.
 NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas audio video select button textarea input nav aside footer menu dialog map math".split()
+    "head script style noscript template iframe object svg canvas audio video select button textarea input nav aside footer menu dialog map annotation annotation-xml".split()
 )
 #: Elements that hold no article text unless they hold most of the page's text; a header in an article may hold its title.
 SELDOM = frozenset(("form", "header"))
@@ -45,6 +47,12 @@ PLAIN = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr popup modal overlay newsletter
     subscribe subscription paywall sidebar sidenav aside footer bottombar comments commentlist respond reply replies disqus complementary contentinfo dialog alertdialog""".split()
 )
+#: Words of reader comments, notices and boxes of other texts, but also of parts of articles: they count like PLAIN where the token has no other words than these and BOX.
+BOXED = frozenset("comment notice notices alert alerts related recommended share sharing social widget widgets promotion discussion".split())
+BOX = frozenset(
+    """area article articles author bar block body box boxes button buttons card cards cell col column container content danger date error feed foot footer form group head heading icons info inline
+    inner item items left links list main media message meta more news outer panel parent post posts primary right row rows section small stories story success text thread title user view warning wrap wrapper""".split()
+)
 #: Words that say that what follows is not there, or beside.
 BEHIND = frozenset("has no not with without hide".split())
 #: Words before "header" that make it the header of a text.
@@ -59,6 +67,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that a new one of the same kind ends if they are still open, up to the holder.
 ENDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_COMMENT_END, _COMMENT_CLOSE = re.compile("-?>"), re.compile("--!?>")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -75,11 +84,13 @@ def _level(value: str, inside: bool) -> int:
     level = 0
     for token in value.split():
         last = ""
-        for word in map(str.lower, _PART.findall(token)):
+        parts = [x.lower() for x in _PART.findall(token)]
+        boxed = parts != ["discussion"] and all(x in BOXED or x in BOX or x.isdigit() for x in parts)
+        for word in parts:
             if word in BEHIND:
                 break
             if word in NAMES and not (word == "header" and (inside or last in OWN)):
-                level = max(level, 1 + (word in PLAIN))
+                level = max(level, 1 + (word in PLAIN or (boxed and word in BOXED)))
             last = word
     return level
 
@@ -104,6 +115,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, left out, holder, proposal
         self.pieces: list[tuple[int, str, bool]] = []  # proposal, text, in a link
         self.tags = self.in_link = 0
+        self.where: dict[str, list[int]] = {}  # of each tag name the places of its open elements in the stack
+        self.ending = False
 
     def flush(self) -> None:
         pieces = self.pieces
@@ -115,25 +128,53 @@ class Lines(HTMLParser):
         self.tags = 0
 
     def _close(self, tag: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in until:
+        """Closes the innermost open element of the tag and what is open in it, unless one of `until` is open in it. Takes the time of what it closes."""
+        where = self.where
+        own = where.get(tag)
+        if not own:
+            return
+        k = own[-1]
+        for other in until:
+            if (at := where.get(other)) and at[-1] > k:
                 return
+        for x in self.stack[k:]:
+            where[x[0]].pop()
+        del self.stack[k:]
+
+    def close(self):
+        self.ending = True
+        super().close()
+
+    def _or_end(self, k: int) -> int:
+        """What the page's end cuts off within markup is no text."""
+        return len(self.rawdata) if k < 0 and self.ending else k
+
+    def parse_comment(self, i, report=1):
+        """As HTML has it: a comment ends with `-->` or `--!>`, is empty before `>` or `->`, and without an end goes on to the end of the page."""
+        found = _COMMENT_END.match(self.rawdata, i + 4) or _COMMENT_CLOSE.search(self.rawdata, i + 4)
+        return found.end() if found else self._or_end(-1)
+
+    def parse_starttag(self, i):
+        return self._or_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._or_end(super().parse_endtag(i))
+
+    def parse_pi(self, i):
+        return self._or_end(super().parse_pi(i))
 
     def parse_html_declaration(self, i):
         """`<![` that is not CDATA is a bogus comment up to the next `>`; the base class raises on it, or looks for a far `]>`."""
         if self.rawdata.startswith("<![", i) and self.rawdata[i + 3 : i + 9].upper() != "CDATA[":
-            return self.parse_bogus_comment(i)
-        return super().parse_html_declaration(i)
+            return self.parse_bogus_comment(i)  # without any `>` it is text
+        return self._or_end(super().parse_html_declaration(i))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.pieces.append((self.stack[-1][3], " ", False))
             self.tags += 1
             return
-        block = tag not in INLINE
+        block = tag not in INLINE and not self.stack[-1][1]  # what is left out cuts no lines
         if block:
             self.flush()
             if tag == "body":
@@ -146,7 +187,7 @@ class Lines(HTMLParser):
             return
         _, out, holder, proposal = self.stack[-1]
         if not out:
-            out = tag in NEVER or (tag not in WHOLE and bool(attrs) and _hidden(attrs))
+            out = (tag in NEVER and not self._of_quotation(tag, attrs)) or (tag not in WHOLE and bool(attrs) and _hidden(attrs))
             level = 0 if out else self._proposed(tag, attrs)
             if level:
                 self.proposals.append((proposal, level, holder))
@@ -155,16 +196,23 @@ class Lines(HTMLParser):
             self.holders.append((holder, "main" if ("role", "main") in attrs else tag))
             self.at.append(proposal)
             holder = len(self.holders) - 1
+        self.where.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, out, holder, proposal))
         self.in_link += tag == "a"
 
+    def _of_quotation(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """The source below a quotation, or a quotation of the text beside it."""
+        if tag == "footer":
+            return any(x[0] == "blockquote" for x in self.stack[-2:])
+        return tag == "aside" and any(v and n in ("class", "role", "epub:type") and "quote" in v.lower() for n, v in attrs)
+
     def _proposed(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in WHOLE or tag in HEADINGS or (not attrs and tag not in SELDOM):
             return 0
         values = [v for n, v in attrs if v and n in ("class", "id", "role")]
         level = max((_level(v, False) for v in values), default=0)
         if level or tag == "header":
-            inside = any(x[0] in ("article", "main") for x in self.stack)
+            inside = bool(self.where.get("article") or self.where.get("main"))
             level = max((_level(v, inside) for v in values), default=0)
             if tag == "header" and not inside:
                 level = 2
@@ -178,7 +226,8 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID:
             return
-        if tag not in INLINE:
+        own = self.where.get(tag)
+        if tag not in INLINE and not self.stack[own[-1] if own else -1][1]:
             self.flush()
         self.tags += 1
         if tag == "a" and self.in_link:
@@ -284,13 +333,13 @@ def region(lines: list[Line], holders: list[tuple[int, str]], chosen: np.ndarray
         while (k := holders[k][0]) >= 0:
             around.add(k)
         found = [best]
-        for k in whole:  # parents come first
-            above, inside = k, False
-            while above >= 0 and not inside:
-                inside = above in found
-                above = holders[above][0]
-            if not inside and k not in around and 2 * weight[k] >= weight[best]:
+        chosen_at, covered = {best}, [False] * len(holders)
+        for k, (parent, tag) in enumerate(holders):  # parents come first
+            covered[k] = k in chosen_at or (parent >= 0 and covered[parent])
+            if not covered[k] and tag in ("article", "main") and k not in around and weight[k] > 0 and 2 * weight[k] >= weight[best]:
                 found.append(k)
+                chosen_at.add(k)
+                covered[k] = True
         if sum(weight[k] for k in found) >= most * weight[0]:
             return found
     children: dict[int, list[int]] = {}
