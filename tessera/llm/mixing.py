@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import dealt, words, written
+from tessera.llm.shared import dealt, identity, words, written
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def usable(leaves: DataFrame, levels: Sequence[Level], depth: int, epochs: int)
 
 def row_hash(levels: Sequence[Level]) -> Column:
     """Rows of one hash have the same doc_id, text and leaf."""
-    return F.xxhash64("doc_id", "text", *(F.coalesce(x.value, F.lit("")) for x in levels))
+    return identity(F.struct("doc_id", "text", *(F.coalesce(x.value, F.lit("")).alias(f"level{k}") for k, x in enumerate(levels))))
 
 
 def plan(docs: DataFrame, levels: Sequence[Level], per_cent: int = 80, epochs: int = 2, seed: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import SPACE, dealt, let, packed, split_words, words, written
+from tessera.llm.shared import SPACE, dealt, identity, let, packed, split_words, words, written
 
 #: Twenty frequent words of each language that is judged (fixed values).
 COMMON = {
@@ -113,13 +113,13 @@ def distance(counts: Column, reference: Column) -> Column:
 
 
 def features(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, lang, row (xxhash64 of doc_id and text), the counts of the contract, and the histograms classes and common.
+    """doc_id, lang, row (identity() of doc_id, text and lang), the counts of the contract, and the histograms classes and common.
 
     common: how often each word of the language's list is in the text, and the number of its other words; null without a list.
     """
     text = F.coalesce("text", F.lit(""))
     cut = docs.select(
-        "doc_id", "lang", F.xxhash64("doc_id", "text").alias("row"), words(text).alias("w"),
+        "doc_id", "lang", identity(F.struct("doc_id", "text", "lang")).alias("row"), words(text).alias("w"),
         split_words(F.lower(text), f"[{SPACE}{MARKS}]+").alias("bare"), class_counts(text).alias("classes"), dup_lines(text).alias("n_dup_lines"),
     ).withColumn("own", F.transform("w", lambda x: F.xxhash64(x)))
     # each step reads the arrays of the one before more than once, so they are computed once; a word is hashed once, a window from its words' hashes
@@ -154,7 +154,7 @@ def references(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """For each row of docs(doc_id, text, lang): doc_id, row (xxhash64 of doc_id and text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept.
+    """For each row of docs(doc_id, text, lang): doc_id, row (identity() of doc_id, text and lang), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept.
 
     Null text counts as empty: no words, hence base_failed. A null or unlisted language, and a text of fewer than rules.judged_words
     words, has null distances and is kept unless base_failed. Every row is judged for itself; repeated rows get the same values;
@@ -178,4 +178,4 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     gone = judge(docs, rules).where("NOT kept").select("row").distinct()
-    return packed(docs).join(dealt(written(gone, "rejected")), F.xxhash64("doc.doc_id", "doc.text") == F.col("row"), "left_anti").select("doc.*")
+    return packed(docs).join(dealt(written(gone, "rejected")), identity(F.struct(*(F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "lang")))) == F.col("row"), "left_anti").select("doc.*")

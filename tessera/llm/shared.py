@@ -54,6 +54,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("doc"))
 
 
+def identity(row: Column) -> Column:
+    """A name that tells rows apart: SHA-256 of a struct's fields as JSON, nulls and microseconds included."""
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false", "timestampFormat": stamp + "XXX", "timestampNTZFormat": stamp}), 256)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A side of a join with documents: both sides are dealt out by the key and this one is hashed, at every size, so plans and costs grow alike."""
     return df.hint("shuffle_hash")

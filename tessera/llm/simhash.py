@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, dealt, n_partitions, packed, written
+from tessera.llm.shared import components, dealt, identity, n_partitions, packed, written
 from tessera.session import ship
 
 SEED = 42
@@ -182,14 +182,14 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of docs: that of the smallest doc_id (rows without one come last), and of several such rows the one with the least hash of all columns.
+    """One row of each group of docs: that of the smallest doc_id (rows without one come last), and of several such rows the one whose identity() of all columns is least.
 
-    Rows are told apart by that hash, so rows that share a doc_id are judged one by one, and of exact repeats one stays. Columns are docs'.
+    Rows are told apart by that identity, so rows that share a doc_id are judged one by one, and of exact repeats one stays. Columns are docs'.
     """
-    row = F.xxhash64(*docs.columns)
-    prints = written(fingerprints(docs.select("doc_id", row.alias("row"), "text"), ["doc_id", "row"]), "fingerprints")
+    named = docs.select("doc_id", identity(F.struct("*")).alias("_row"), "text").toDF("doc_id", "row", "text")
+    prints = written(fingerprints(named, ["doc_id", "row"]), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = written(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "classes")
     kept = written(_named(classes).groupBy("label").agg(F.min("first").alias("first")).select("first.row"), "kept")
-    own = packed(docs).withColumn("own", F.xxhash64(*(F.col("doc").getField(c) for c in docs.columns)))
+    own = packed(docs).withColumn("own", identity(F.col("doc")))
     return own.join(dealt(kept), F.col("own") == F.col("row")).dropDuplicates(["own"]).select("doc.*")

@@ -46,17 +46,39 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-#: What stands beside white space, and white space, when a tokenizer is asked whether it joins characters across it.
-PROBES = ("a", "word", "Z9", "12", "'s", "é", "東京", "!?", ",", "-x-", "\u0301", "<|endoftext|>", "<s>")
-GAPS = (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n ", "\r\n")
+#: Normalizers that neither join what white space parts nor make white space of anything else than white space or one character.
+_ALONE = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer")
+#: Alternatives of a pattern that match no white space: plain letters behind an apostrophe or not, or a class, once or more often.
+_LITERAL, _CLASS = re.compile("'?[A-Za-z]+"), re.compile(r"\[(\^?)((?:\\s|\\p\{\w+\})+)\]\+?")
 
 
-def parts_at_space(tokenizer) -> bool:
-    """Whether the ids of a text are those of its words in order, as far as probes with all ASCII white space show."""
-    ids = {p: tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES}
-    texts = [(g + a + g + b + g, ids[a] + ids[b]) for g in GAPS for a in PROBES for b in PROBES] + [(g, []) for g in GAPS]
-    found = tokenizer.encode_batch_fast([t for t, _ in texts], add_special_tokens=False)
-    return all(e.ids == want for e, (_, want) in zip(found, texts))
+def _spaceless(pattern: str) -> bool:
+    """Whether no match of the pattern holds white space, as far as its form shows."""
+    for part in pattern.split("|"):
+        found = _CLASS.fullmatch(part)
+        if not (_LITERAL.fullmatch(part) or (found and (found[1] == "^") == (r"\s" in found[2]) and r"\p{Z" not in found[2])):
+            return False
+    return True
+
+
+def _parts(kind: dict | None, many: str) -> list[dict]:
+    return [] if kind is None else [x for y in kind[many] for x in _parts(y, many)] if kind["type"] == "Sequence" else [kind]
+
+
+def parts_at_space(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file shows that the ids of a text are those of its words in order: no added token holds white space, no normalizer carries anything across it, and
+    the first pre-tokenizer cuts there and drops it. Where the file does not show it, the answer is no."""
+    if any(not t["content"].strip() or len(t["content"].split()) > 1 or t["content"] != t["content"].strip() for t in tokenizer.get("added_tokens", [])):
+        return False
+    for x in _parts(tokenizer.get("normalizer"), "normalizers"):
+        if x["type"] not in _ALONE and not (x["type"] == "Replace" and x["pattern"].get("Regex") in (r"\s+", r"\s") and x["content"] == " "):
+            return False
+    first = next(iter(_parts(tokenizer.get("pre_tokenizer"), "pretokenizers")), None)
+    if first is None:
+        return False
+    if first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    return first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and _spaceless(first["pattern"].get("Regex", " "))
 
 
 class WordEncoder:
@@ -72,11 +94,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), remembered
-        self.by_word = parts_at_space(self.tokenizer)
+        described = json.loads(self.tokenizer.to_str())
+        self.by_word = parts_at_space(described)
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {b"": b""}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = described["model"].get("end_of_word_suffix")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         if suffix:
