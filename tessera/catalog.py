@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, metrics, retrieval, telemetry
+from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, metrics, neighbours, quantised, retrieval, telemetry
 from tessera.plans import retriever, schema
 from tessera.plans.predicates import Pred, where
 from tessera.registry import QUERIES, SQL, query, table
@@ -111,6 +111,64 @@ def vec_ivf_recall(spark, d):
     return metrics.recall_against(embeddings.ivf_search(index, centres, q, 10, 6), vec_topk_cosine(spark, d), 10)
 
 
+_DIST = f"round(sqrt(list_sum(list_transform({_D}, lambda x: x * x))), 6)"
+_GRAPH = f"""g AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= {{k}})"""
+
+
+@query(f"WITH {_GRAPH.format(k=5)} SELECT query_id, id, distance, rank FROM g")
+def vec_knn_graph(spark, d):
+    """The exact graph of all vectors' five nearest."""
+    v = table(spark, d, "embeddings")
+    return neighbours.nearest(v, v, 5)
+
+
+@query(f"""WITH {_GRAPH.format(k=20)}, r AS (SELECT query_id AS id, max(distance) AS radius FROM g GROUP BY query_id),
+  l AS (SELECT query_id, 1 / (avg(greatest(distance, radius)) + 1e-10) AS density FROM g JOIN r USING (id) GROUP BY query_id)
+  SELECT g.query_id AS vec_id, round(avg(o.density) / any_value(l.density), 5) AS factor FROM g JOIN l USING (query_id) JOIN l o ON o.query_id = g.id GROUP BY g.query_id""")
+def vec_lof(spark, d):
+    return neighbours.local_outlier_factor(table(spark, d, "embeddings"), 20).withColumn("factor", F.round("factor", 5))
+
+
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS d FROM embeddings a, embeddings b) WHERE d <= 1.15), core AS MATERIALIZED (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 5),
+  e AS MATERIALIZED (SELECT a, b FROM n WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r AS (SELECT id AS node, id AS label FROM core UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node),
+  lab AS MATERIALIZED (SELECT node, min(label) AS cluster FROM r GROUP BY node),
+  edge AS (SELECT a, arg_min(b, (d, b)) AS b FROM n WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) GROUP BY a),
+  f AS MATERIALIZED (SELECT vec_id, embedding, coalesce(l.cluster, m.cluster) AS cluster, l.node IS NOT NULL AS is_core FROM embeddings LEFT JOIN lab l ON l.node = vec_id LEFT JOIN edge ON edge.a = vec_id LEFT JOIN lab m ON m.node = edge.b),
+  c AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS centre FROM (SELECT cluster, i, avg(embedding[i]::DOUBLE) AS m FROM f, range(1, 65) t(i) WHERE cluster IS NOT NULL GROUP BY cluster, i) GROUP BY cluster),
+  s AS (SELECT vec_id, min(sqrt(list_sum(list_transform(range(1, 65), lambda i: (f.embedding[i]::DOUBLE - c.centre[i]) ** 2)))) AS score FROM f JOIN c ON f.cluster IS NULL OR f.cluster = c.cluster GROUP BY vec_id)
+  SELECT vec_id, cluster, is_core, round(score, 6) AS score FROM f LEFT JOIN s USING (vec_id)""")
+def vec_dbscan(spark, d):
+    """Clusters by density over all vectors, noise, and each vector's distance to a centre."""
+    return neighbours.dbscan_outliers(table(spark, d, "embeddings"), 1.15, 5)
+
+
+@query(f"""WITH c AS (SELECT embedding, min(vec_id) AS class_id FROM embeddings GROUP BY embedding), p AS (SELECT a.class_id, count(*) AS n FROM c a, c b WHERE a.class_id <> b.class_id AND round({_SCORES['cosine']}, 6) >= 0.8 GROUP BY a.class_id)
+  SELECT vec_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM embeddings JOIN c USING (embedding) LEFT JOIN p USING (class_id)""")
+def vec_similar_links(spark, d):
+    """All vectors against all at 0.8, without pairs as rows."""
+    return neighbours.similar_links(table(spark, d, "embeddings"), 0.8)
+
+
+def _quantised(spark, d):
+    v = table(spark, d, "embeddings")
+    books = quantised.fit(v, m=16)
+    return quantised.search(quantised.encode(v, books), books, v, vector_queries(spark, d), 10, deep=200)
+
+
+@query()
+def vec_pq_topk(spark, d):
+    """Ten nearest by cosine from codes of 16 bytes a vector, scored again from the 200 best of each query."""
+    return _quantised(spark, d)
+
+
+@query()
+def vec_pq_recall(spark, d):
+    """Recall of the quantised search against exact search."""
+    exact = neighbours.nearest(table(spark, d, "embeddings"), vector_queries(spark, d).select(F.col("query_id").alias("vec_id"), F.col("vector").alias("embedding")), 10, "cosine", other=False)
+    return metrics.recall_against(_quantised(spark, d), exact, 10)
+
+
 @query("""SELECT label, count(*) AS n, CAST(floor((count(*) * 64 * 4 + count(*) * 16 * 8) * 1.1::DOUBLE) AS BIGINT) AS hnsw, CAST(floor((100 * 64 * 4 + count(*) * 64 * 4 + 100 * 100) * 1.05::DOUBLE) AS BIGINT) AS ivf,
   count(*) * 8 + 8 * 256 * 8 * 4 + count(*) * 8 AS pq FROM embeddings GROUP BY label""")
 def index_memory_estimate(spark, d):
