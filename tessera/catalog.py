@@ -197,24 +197,24 @@ _OK = "idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"
 
 @query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n + 1) / df)", fix="idf", part=_OK, floor="f"))
 def bm25_plus_topk(spark, d):
-    return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "plus"), 10)
+    return retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "plus", k=10)
 
 
 @query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n - df + 0.5) / (df + 0.5))", fix="CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df1) ELSE idf END", part=_OK, floor="0"))
 def bm25_okapi_topk(spark, d):
-    return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "okapi"), 10)
+    return retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "okapi", k=10)
 
 
 @query(_BM25.format(asked=_ITEMS, k=10, idf="ln((n + 1) / (df + 0.5))", fix="idf", part="idf * 2.5 * (tf / (0.25 + 0.75 * dl / avgdl) + 0.5) / (1.5 + tf / (0.25 + 0.75 * dl / avgdl) + 0.5)", floor="0"))
 def bm25_l_topk(spark, d):
-    return retrieval.top_k(retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "l"), 10)
+    return retrieval.bm25(text_queries(spark, d), table(spark, d, "documents"), "l", k=10)
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_W.format('text')}) AS w FROM benchmark), qt AS (SELECT query_id, len(w) AS size, unnest(w) AS term FROM q),
   dt AS (SELECT doc_id AS id, unnest(list_distinct({_W.format('text')})) AS term FROM documents), s AS (SELECT query_id, id, round(count(*) / any_value(size), 5) AS score FROM qt JOIN dt USING (term) GROUP BY query_id, id)
   SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def keyword_topk(spark, d):
-    return retrieval.top_k(retrieval.keyword(text_queries(spark, d), table(spark, d, "documents")), 10)
+    return retrieval.keyword(text_queries(spark, d), table(spark, d, "documents"), k=10)
 
 
 # --- fusion: two vector searches as the lists

@@ -66,5 +66,6 @@ def _rounded(lives):
 def multi_hop(spark, d):
     """Three hops from each benchmark item by shared words, without content seen before."""
     docs = table(spark, d, "documents")
+    index = retrieval.term_counts(docs)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return hops.hops(asked, docs, lambda q: retrieval.top_k(retrieval.keyword(q, docs), 3), n_hops=3, width=2)
+    return hops.hops(asked, docs, lambda q: retrieval.keyword(q, None, k=3, index=index), n_hops=3, width=2)

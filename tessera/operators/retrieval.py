@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import WORD, let, tokens
 from tessera.functions.vectors import dot, norm, score
+from tessera.tables import appended, bucketed, n_partitions, written
 
 
-#: A block of queries, or of the words of queries with their weights, is this large at most, as it is broadcast.
-MOST_QUERIES, MOST_TERMS = 10_000, 200_000
+#: A block of queries, or of the words of queries with their weights, has so many rows and bytes at most, as it is broadcast.
+MOST_QUERIES, MOST_TERMS, MOST_BYTES = 10_000, 200_000, 32 << 20
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -41,29 +42,39 @@ def counted(words: Column) -> Column:
     return let(F.array_sort(words), runs)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS) -> DataFrame:
-    """(query_id, id, score) of documents that share a word with queries(query_id, query); variant okapi, l or plus.
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl, terms): each document's number of words, and its different words with their counts, lower-cased. Documents are dealt by id, counted where they are, and written
+    in buckets by id: an index that searches read instead of texts, with all that a document shares with a query in one task."""
+    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(n_partitions(docs.sparkSession), "id").select("id", tokens(F.lower("text")).alias("w"))
+    return bucketed(placed.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("dl"), counted(F.col("w")).alias("terms")), "terms", "id")
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame | None, variant: str = "plus", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS,
+    k: int | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, id, score) of documents that share a word with queries(query_id, query); variant okapi, l or plus. With k, the k best of each query and their rank.
 
     A word that a query repeats counts as often. With plus, documents without any hit would all score delta times the sum of idf; that
     constant is in the score of hits, and those documents are left out.
 
-    Documents are dealt by id once and counted where they are; the queries' words with their weights are broadcast in blocks of `most` words at most. So all words that a document shares with a
-    query meet in its own task, its score is summed there, and a top-k over the result lets only k rows a query out of each task: pairs of queries and documents are never shuffled.
+    Texts are read once, for the index of term_counts() (or none is made, with an index); words' weights are written, and broadcast in blocks of `most` rows and MOST_BYTES at most. All words that a document shares with a
+    query meet in its own task, its score is summed there, and a top-k lets only k rows a query out of each task: pairs of queries and documents are never shuffled.
     """
+    own = term_counts(docs, id_col, text_col) if index is None else index
     asked = queries.select("query_id", F.explode(tokens(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # lengths by a count of words, without making them
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))).alias("avgdl"))
-    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", tokens(F.lower("text")).alias("w"))
-    tf = placed.select("id", F.size("w").alias("dl"), F.inline(counted(F.col("w"))))
+    stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = own.select("id", "dl", F.inline("terms"))
     wanted = asked.select("term").distinct()  # few beside the documents: a plan-time choice by their size, not a hint
     df = tf.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     n, d = F.col("n"), F.col("df")
     idf = {"okapi": F.log((n - d + 0.5) / (d + 0.5)), "l": F.log((n + 1) / (d + 0.5)), "plus": F.log((n + 1) / d)}[variant]
     terms = df.select("term", "avgdl", idf.alias("idf"))
     if variant == "okapi":  # words in over half the documents would count against a document
+        terms = written(terms, "idf")
         mean = terms.agg(F.avg("idf").alias("mean"))
         terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf"))).drop("mean")
-    weights = asked.join(terms, "term")
+    weights = written(asked.join(terms, "term"), "weights")
     t, length = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
     part = {
         "okapi": F.col("idf") * t * (k1 + 1) / (t + k1 * length),
@@ -76,39 +87,47 @@ def bm25(queries: DataFrame, docs: DataFrame, variant: str = "plus", k1: float =
         if variant == "plus":
             floor = w.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("floor"))
             out = out.join(F.broadcast(floor), "query_id").select("query_id", "id", (F.col("score") + F.col("floor")).alias("score"))  # a row for each query of the block
-        return out
+        return out.withColumn("score", F.round("score", 5))
 
-    return in_blocks(weights, "query_id", scored, most, asked.count()).withColumn("score", F.round("score", 5))
+    return in_blocks(weights, "query_id", scored, most, k, F.octet_length("term") + 64)
 
 
-def keyword(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS) -> DataFrame:
-    """(query_id, id, score): share of the query's different words that the document has. Laid out like bm25(): documents dealt by id, the queries' words broadcast in blocks."""
-    words = lambda c: F.array_distinct(tokens(F.lower(c)))
-    asked = queries.select("query_id", words("query").alias("w")).select("query_id", F.size("w").alias("size"), F.explode("w").alias("term"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", F.explode(words("text")).alias("term"))
+def keyword(
+    queries: DataFrame, docs: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TERMS, k: int | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, id, score): share of the query's different words that the document has; with k, the k best of each query and their rank. Laid out like bm25(), over the same index."""
+    own = term_counts(docs, id_col, text_col) if index is None else index
+    asked = queries.select("query_id", F.array_distinct(tokens(F.lower("query"))).alias("w")).select("query_id", F.size("w").alias("size"), F.explode("w").alias("term"))
+    each = own.select("id", F.inline("terms"))
 
     def scored(w: DataFrame) -> DataFrame:
-        hits = own.join(w, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.first("size").alias("size"))
+        hits = each.join(w, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.first("size").alias("size"))
         return hits.select("query_id", "id", F.round(F.col("hits") / F.col("size"), 5).alias("score"))
 
-    return in_blocks(asked, "query_id", scored, most)
+    return in_blocks(asked, "query_id", scored, most, k, F.octet_length("term") + 64)
 
 
-def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES, n: int | None = None) -> DataFrame:
-    """run(broadcast queries) over a stated set of queries: at once while they number most or fewer, else in blocks by the hash of id_col, each about half as large. n: their number, if known."""
-    n = queries.count() if n is None else n
-    if n <= most:
-        return run(F.broadcast(queries))
-    blocks = -(-2 * n // most)
-    out = None
-    for k in range(blocks):
-        part = run(F.broadcast(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k)))
-        out = part if out is None else out.unionByName(part)
+def in_blocks(queries: DataFrame, id_col: str, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERIES, k: int | None = None, cost: Column | None = None) -> DataFrame:
+    """run(broadcast queries) over a stated set of queries: at once while they have `most` rows and MOST_BYTES (by cost, bytes of a row) at most, else in blocks by the hash of id_col, each about half as large.
+
+    With k, the k best of each query: blocks are then run one after another and their results added to one table, so the plan does not grow with the queries.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(cost if cost is not None else F.lit(0)), F.lit(0)).alias("bytes")).first()
+    best = (lambda out: out) if k is None else (lambda out: top_k(out, k))
+    if size.n <= most and size.bytes <= MOST_BYTES:
+        return best(run(F.broadcast(queries)))
+    blocks = max(-(-2 * size.n // most), -(-2 * size.bytes // MOST_BYTES))
+    parts = (best(run(F.broadcast(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i)))) for i in range(blocks))
+    if k is not None:
+        return appended(parts, "found")
+    out = next(parts)
+    for part in parts:
+        out = out.unionByName(part)
     return out
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
-    """(query_id, id, score): every vector that `where` lets pass, before top-k, against a stated set of queries(query_id, vector), in blocks of `most` at most."""
+def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MOST_QUERIES, k: int | None = None) -> DataFrame:
+    """(query_id, id, score): every vector that `where` lets pass, before top-k, against a stated set of queries(query_id, vector), in blocks of `most` at most; with k, the k best of each query and their rank."""
     rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     value = score(metric, F.col("vector"), F.col("v"))
     asked = queries.select("query_id", "vector")
@@ -116,7 +135,7 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine"
         rows, asked = rows.withColumn("nv", norm(F.col("v"))), asked.withColumn("nq", norm(F.col("vector")))
         size = F.col("nv") * F.col("nq")
         value = F.when(size == 0, 0.0).otherwise(dot(F.col("vector"), F.col("v")) / size)
-    return in_blocks(asked, "query_id", lambda q: rows.join(q).select("query_id", "id", F.round(value, 6).alias("score")), most)
+    return in_blocks(asked, "query_id", lambda q: rows.join(q).select("query_id", "id", F.round(value, 6).alias("score")), most, k, 8 * F.coalesce(F.size("vector"), F.lit(0)) + 64)
 
 
 def rescored(results: DataFrame, queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], template: str = "{query}", k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,13 +37,13 @@ class Retriever:
     template: str = "{query}"
 
     def _vector(self, queries: DataFrame, k: int) -> DataFrame:
-        return retrieval.top_k(retrieval.vector_scores(queries.select("query_id", "vector"), self.vectors, self.metric, None, self.id_col), k)
+        return retrieval.vector_scores(queries.select("query_id", "vector"), self.vectors, self.metric, None, self.id_col, k=k)
 
     def _bm25(self, queries: DataFrame, k: int) -> DataFrame:
-        return retrieval.top_k(retrieval.bm25(queries, self.docs, id_col=self.id_col), k)
+        return retrieval.bm25(queries, self.docs, id_col=self.id_col, k=k)
 
     def _keyword(self, queries: DataFrame, k: int) -> DataFrame:
-        return retrieval.top_k(retrieval.keyword(queries, self.docs, self.id_col), k)
+        return retrieval.keyword(queries, self.docs, self.id_col, k=k)
 
     def retrieve(self, queries: DataFrame, limit: int) -> DataFrame:
         """(query_id, id, score, rank). Fused strategies take twice the limit of each list first."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The rows of all parts, each run and added to one table before the next one is made; what is read back is one scan, however many there were."""
+    path, schema, spark = "", None, None
+    for df in parts:
+        spark = df.sparkSession
+        path, schema = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+        df.write.mode("append").parquet(path)
+    if spark is None:
+        raise ValueError("there are no parts")
+    return spark.read.schema(schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written(), as a table bucketed by key in the shared folder: groups and joins on the key (and more) then need no exchange. df is dealt by key first, so that each bucket is one file."""
+    spark = df.sparkSession
+    n = n_partitions(spark)
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
