@@ -869,4 +869,4 @@ def chunk_sections(spark, d):
     return chunking.sections(table(spark, d, "documents"), "doc_id", "text", r"^[A-Z][^|]{0,30}\.$")
 
 
-from tessera import catalog_measures, catalog_plans, catalog_usage  # noqa: E402, F401  they register queries of their own
+from tessera import catalog_measures, catalog_plans, catalog_rest, catalog_usage  # noqa: E402, F401  they register queries of their own
