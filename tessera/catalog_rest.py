@@ -81,7 +81,7 @@ def filter_days(spark, d):
 def filter_relative_days(spark, d):
     """In the last month and the next two weeks of a moment, by the calendar; after a date."""
     now = datetime(1995, 3, 31)
-    near = where("o_orderdate", "in_last", 1, unit="months", now=now) & where("o_orderdate", "in_next", 2, unit="weeks", now=now)
+    near = where("o_orderdate", "in_last", n=1, unit="months", now=now) & where("o_orderdate", "in_next", n=2, unit="weeks", now=now)
     late = where("o_orderdate", "after", datetime(1998, 2, 28), inclusive=True) & where("o_orderdate", "after", datetime(1998, 3, 1))
     return table(spark, d, "orders").where((near | late).column()).select("o_orderkey")
 

@@ -139,10 +139,15 @@ STATUTE, PAPER = r"(?m)^(?:§ ?|Section )[0-9]+", r"(?im)^(?:[0-9.]+ )?(?:abstra
 
 #: LaTeX commands that stand for one character (fixed values).
 SIGNS = {
-    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "phi": "φ", "omega": "ω", "Delta": "Δ",
-    "Sigma": "Σ", "Omega": "Ω", "infty": "∞", "sum": "∑", "int": "∫", "partial": "∂", "nabla": "∇", "pm": "±", "times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠",
-    "approx": "≈", "rightarrow": "→", "in": "∈", "sqrt": "√",
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ",
+    "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω",
+    "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    "infty": "∞", "approx": "≈", "ne": "≠", "leq": "≤", "geq": "≥", "times": "×", "cdot": "·", "pm": "±", "sum": "∑", "prod": "∏", "int": "∫", "partial": "∂", "nabla": "∇",
+    "in": "∈", "notin": "∉", "subset": "⊂", "supset": "⊃", "cup": "∪", "cap": "∩", "emptyset": "∅", "forall": "∀", "exists": "∃",
+    "rightarrow": "→", "Rightarrow": "⇒", "leftarrow": "←", "Leftarrow": "⇐", "leftrightarrow": "↔", "Leftrightarrow": "⇔", "sqrt": "√",
 }
+#: Another name of one of them.
+SIGN_NAMES = {"neq": "ne"}
 
 
 def formulas(text: Column) -> Column:
@@ -153,9 +158,9 @@ def formulas(text: Column) -> Column:
 
 
 def formula_text(formula: Column) -> Column:
-    """A formula in plain characters as far as that goes: known commands as their sign, fractions with a slash, braces out."""
+    """A formula in plain characters as far as that goes: known commands as their sign, fractions with a slash, sub- and superscripts without their braces, other braces out."""
     out = F.regexp_replace(formula, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)")
-    for name, sign in SIGNS.items():
+    for name, sign in (SIGNS | {other: SIGNS[name] for other, name in SIGN_NAMES.items()}).items():
         out = F.regexp_replace(out, rf"\\{name}(?![A-Za-z])", sign)
     return F.trim(F.regexp_replace(out, r"[{}]", ""))
 

@@ -60,6 +60,7 @@ def test_citations_and_formulas(spark):
         ("federal_regulations", "24 CFR § 100.204"), ("federal_register", "83 Fed. Reg. 12,345"),
     ]
     assert one(spark, domains.formulas(F.lit(r"a $x+1$ b $$y^2$$ c \[z\] d \begin{equation}w\end{equation} $x+1$"))) == ["y^2", "z", "w", "x+1"]
+    assert one(spark, domains.formula_text(F.lit(r"x_{ij}^{2n} \ne \neq \eta \notin \Leftrightarrow \zetas"))) == r"x_ij^2n ≠ ≠ η ∉ ⇔ \zetas" and len(domains.SIGNS) == 63
     assert one(spark, domains.formula_text(F.lit(r"\frac{a}{b} \leq \alpha_{1} \inx"))) == r"(a)/(b) ≤ α_1 \inx"
     lit = F.lit
     assert one(spark, corpus.cite("bluebook", lit("A"), lit(1973), lit("Roe v. Wade"), lit("Cir."), lit("410 U.S."), lit(113))) == "Roe v. Wade, 410 U.S. 113 (Cir. 1973)."
