@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, dot, l2, normalized
 from tessera.operators.retrieval import in_blocks, top_k
-from tessera.operators.statistics import MIDDLE, at_ranks, beside, median
 from tessera.session import ship
+from tessera.tables import written
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -64,14 +64,29 @@ def similar(vectors: DataFrame, queries: DataFrame, threshold: float, id_col: st
 
 
 def similarity_profile(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One row over the pairs of a stated set of queries with all other rows: pairs, mean, median, min, max, std (population) of the cosine, pairs at the threshold or above."""
-    pairs = similar(vectors, queries, -2.0, id_col, vector).select("similarity")
-    base = pairs.agg(
-        F.count("*").alias("pairs"), F.avg("similarity").alias("mean"), F.min("similarity").alias("min"), F.max("similarity").alias("max"), F.stddev_pop("similarity").alias("std"),
-        F.count_if(F.col("similarity") >= threshold).alias("close"),
+    """One row over the pairs of a stated set of queries with all other rows: pairs, mean, median, min, max, std (population) of the cosine, pairs at the threshold or above.
+
+    The cosines are made once: as they have six places, they are counted by value, two million at most, and all figures come from the written counts.
+    """
+    values = written(similar(vectors, queries, -2.0, id_col, vector).groupBy("similarity").agg(F.count("*").alias("n")), "cosines")
+    s, n = F.col("similarity"), F.col("n")
+    pairs = F.sum("n")
+    mean = F.sum(s * n) / pairs
+    base = values.agg(
+        F.coalesce(pairs, F.lit(0)).alias("pairs"), mean.alias("mean"), F.min("similarity").alias("min"), F.max("similarity").alias("max"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum(s * s * n) / pairs - mean * mean)).alias("std"), F.coalesce(F.sum(F.when(s >= threshold, n)), F.lit(0)).alias("close"),
     )
-    out = beside(base, at_ranks(pairs, "similarity", [], MIDDLE), [])
-    return out.select("pairs", "close", "min", "max", *(F.round(c, 5).alias(n) for c, n in ((F.col("mean"), "mean"), (median(), "median"), (F.col("std"), "std"))))
+    # the two middle values: first the thousandth of the range in which each lies, then the value in it
+    bucket = F.floor(s * 1000)
+    sums = values.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("b")) - F.col("n")  # two thousand rows
+    placed = sums.withColumn("before", before).crossJoin(F.broadcast(base.select("pairs")))  # a row
+    wanted = placed.select("b", "before", "n", F.explode(F.array(F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2))).alias("at")).where("at >= before AND at < before + n")
+    inner = values.withColumn("b", bucket).join(F.broadcast(wanted.select("b", "at", (F.col("at") - F.col("before")).alias("left")).distinct()), "b")  # two rows at most
+    upto = inner.withColumn("upto", F.sum("n").over(Window.partitionBy("at").orderBy("similarity")))
+    middle = upto.where("left >= upto - n AND left < upto").agg(F.avg("similarity").alias("median"))
+    out = base.crossJoin(middle)  # a row each
+    return out.select("pairs", "close", "min", "max", *(F.round(c, 5).alias(c) for c in ("mean", "median", "std")))
 
 
 def cluster_stats(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
