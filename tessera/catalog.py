@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, metrics, neighbours, quantised, retrieval, telemetry
+from tessera.operators import caching, chunking, corpus, domains, embeddings, fusion, isolation, metrics, neighbours, quantised, retrieval, telemetry
 from tessera.plans import retriever, schema
 from tessera.plans.predicates import Pred, where
 from tessera.registry import QUERIES, SQL, query, table
@@ -150,6 +150,12 @@ def vec_similar_links(spark, d):
     return neighbours.similar_links(table(spark, d, "embeddings"), 0.8)
 
 
+@query()
+def vec_isolation(spark, d):
+    """Outliers by an isolation forest over all vectors."""
+    return isolation.isolation_outliers(table(spark, d, "embeddings"), 0.05)
+
+
 def _quantised(spark, d):
     v = table(spark, d, "embeddings")
     books = quantised.fit(v, m=16)
