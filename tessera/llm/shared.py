@@ -1,54 +1,18 @@
-"""What several corpus operators need: the shared folder, written tables, components, word columns."""
+"""What several corpus operators need: written tables and components (those of the library), row identities, word columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.tables import components, n_partitions, shared_dir, sweep, written  # noqa: F401  the operators take them from here
+
 #: The six ASCII white space characters; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir, as a whole URI: a path without a scheme is one of the default file system.
-
-    Without that setting a local session, as in tests, takes a temporary folder; any other is refused, since its executors would share nothing.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    if whole.startswith("file:/") and not whole.startswith("file://"):
-        whole = "file://" + whole[len("file:") :]
-    return f"{whole.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove all that this application has written to the shared folder. Results that read from there are to be written elsewhere before."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back.
-
-    The rows are then safe from lost executors and are computed once. A written table, unlike checkpoint(),
-    also forgets how it was partitioned, so that joins on it deal both sides out anew and AQE can split hot keys.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """Each row as one struct, doc, so that no other column can clash with its names."""
     return docs.select(F.struct("*").alias("doc"))
@@ -65,10 +29,6 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, though body's lambda functions may read it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -88,27 +48,3 @@ def split_words(text: Column, between: str) -> Column:
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; of null or an empty text, none."""
     return split_words(text, f"[{SPACE}]+")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b), long ids: a row (node, label) per node with an edge; label is the least node reachable.
-
-    Each round takes the least label among the neighbours and then the label of that label, so that long
-    chains shrink by doubling. Rounds end when no label has changed. Hubs are ordinary: minima are taken in two steps,
-    and every join is between freshly dealt tables, which AQE splits where a key is hot.
-    """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges"
-    )
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        met = written(
-            labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "met"
-        )
-        up = met.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = written(met.join(up, "label").select("node", "old", F.col("above").alias("label")), "labels")
-        if labels.where("old <> label").isEmpty():
-            return labels.select("node", "label")
