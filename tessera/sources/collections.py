@@ -1,10 +1,11 @@
 """Vector collections: a table of vectors with metadata, and the operations of a vector store over it.
 
-A collection is a folder of Parquet versions; each write adds a version and moves the pointer, so readers of the old one are not disturbed.
+A collection is a folder of Parquet versions; each write adds a version and swaps the pointer, one small file, by a rename, so readers see the old version or the new one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -15,17 +16,20 @@ from tessera.operators.retrieval import top_k, vector_scores
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string, updated_at timestamp"
 _POINTER = "version string, dimension int, metric string, buckets int, moved timestamp"
+_PARTS = "bucket int, folder string, n bigint"
 
 
 @dataclass
 class Collection:
-    """buckets: files of a version are dealt by the hash of the id, and a write makes new files of those buckets alone in which an id is touched."""
+    """buckets: files of a version are dealt by the hash of the id, and a write makes new files of those buckets alone in which an id is touched. When one has more than `most` rows,
+    the collection is dealt anew into as many buckets as bring them below half of that on average."""
 
     spark: SparkSession
     path: str
     dimension: int
     metric: str = "cosine"
     buckets: int = 16
+    most: int = 200_000
 
     def _pointer(self) -> str:
         return f"{self.path}/current"
@@ -36,27 +40,33 @@ class Collection:
     def create(self) -> Collection:
         return self._point([])
 
-    def _point(self, parts: list[tuple[int, str]]) -> Collection:
-        """Make parts (bucket, folder) the current version."""
+    def _point(self, parts: list[tuple[int, str, int]]) -> Collection:
+        """Make parts (bucket, folder, rows) the current version."""
         version = f"{self.path}/m-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(parts, "bucket int, folder string").coalesce(1).write.json(version)
-        now = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(self.dimension).alias("dimension"), F.lit(self.metric).alias("metric"), F.lit(self.buckets).alias("buckets"), F.current_timestamp().alias("moved"))
-        now.coalesce(1).write.mode("overwrite").json(self._pointer())
+        self.spark.createDataFrame(parts, _PARTS).coalesce(1).write.json(version)
+        moved = self.spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\") AS t").first().t
+        swap(self.spark, self._pointer(), json.dumps({"version": version, "dimension": self.dimension, "metric": self.metric, "buckets": self.buckets, "moved": moved}))
         return self
 
-    def _parts(self) -> dict[int, str]:
-        """Folder of each bucket that has rows: as many rows as there are buckets at most."""
-        version = self.spark.read.schema(_POINTER).json(self._pointer()).first().version
-        return {r.bucket: r.folder for r in self.spark.read.schema("bucket int, folder string").json(version).collect()}
+    def _parts(self) -> dict[int, tuple[str, int]]:
+        """Folder and rows of each bucket that has any: as many as there are buckets at most. The number of buckets is the current version's."""
+        now = self.spark.read.schema(_POINTER).json(self._pointer()).first()
+        self.buckets = now.buckets
+        return {r.bucket: (r.folder, r.n) for r in self.spark.read.schema(_PARTS).json(now.version).collect()}
 
-    def _save(self, rows: DataFrame, touched: set[int]) -> Collection:
-        """rows are all of the touched buckets."""
+    def _save(self, rows: DataFrame, touched: set[int], kept: dict[int, tuple[str, int]]) -> Collection:
+        """rows are all of the touched buckets; kept are the others."""
         version = f"{self.path}/v-{uuid.uuid4().hex}"
         if touched:
             rows.withColumn("bucket", self._bucket()).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(version)
-        written = {r.bucket for r in self.spark.read.parquet(version).select("bucket").distinct().collect()} if touched and self._has_files(version) else set()
-        kept = {b: f for b, f in self._parts().items() if b not in touched}
-        return self._point(sorted((kept | {b: f"{version}/bucket={b}" for b in written}).items()))
+        written = {r.bucket: r["count"] for r in self.spark.read.parquet(version).groupBy("bucket").count().collect()} if touched and self._has_files(version) else {}
+        parts = kept | {b: (f"{version}/bucket={b}", n) for b, n in written.items()}
+        largest, total = max((n for _, n in parts.values()), default=0), sum(n for _, n in parts.values())
+        if largest > self.most and -(-2 * total // self.most) > self.buckets:
+            whole = self.spark.read.schema(SCHEMA).parquet(*(f for f, _ in parts.values()))
+            self.buckets = -(-2 * total // self.most)
+            return self._save(whole, set(range(self.buckets)), {})
+        return self._point(sorted((b, f, n) for b, (f, n) in parts.items()))
 
     def _has_files(self, folder: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -64,7 +74,10 @@ class Collection:
         return any(s.getPath().getName().startswith("bucket=") for s in files.listStatus(path))
 
     def rows(self, buckets: set[int] | None = None) -> DataFrame:
-        folders = [f for b, f in sorted(self._parts().items()) if buckets is None or b in buckets]
+        return self._read(self._parts(), buckets)
+
+    def _read(self, parts: dict[int, tuple[str, int]], buckets: set[int] | None = None) -> DataFrame:
+        folders = [f for b, (f, _) in sorted(parts.items()) if buckets is None or b in buckets]
         return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, new: DataFrame) -> Collection:
@@ -74,13 +87,16 @@ class Collection:
         last = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc_nulls_last("document"))
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         new = new.select(*names).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        parts = self._parts()
         touched = {r[0] for r in new.select(self._bucket()).distinct().collect()}
-        return self._save(self.rows(touched).join(new.select("id"), "id", "left_anti").select(*names).unionByName(new), touched)
+        own = self._read(parts, touched).join(new.select("id"), "id", "left_anti").select(*names).unionByName(new)
+        return self._save(own, touched, {b: x for b, x in parts.items() if b not in touched})
 
     def delete(self, condition: Column) -> Collection:
         hit = F.coalesce(condition, F.lit(False))
-        touched = {r[0] for r in self.rows().where(hit).select(self._bucket()).distinct().collect()}
-        return self._save(self.rows(touched).where(~hit), touched)
+        parts = self._parts()
+        touched = {r[0] for r in self._read(parts).where(hit).select(self._bucket()).distinct().collect()}
+        return self._save(self._read(parts, touched).where(~hit), touched, {b: x for b, x in parts.items() if b not in touched})
 
     def get(self, ids: list[str]) -> DataFrame:
         return self.rows().where(F.col("id").isin(ids))
@@ -98,6 +114,20 @@ class Collection:
         return top_k(vector_scores(queries, self.rows(), self.metric, where, "id", "embedding"), k)
 
 
+def swap(spark: SparkSession, path: str, text: str) -> None:
+    """Puts text into a file in one step: it is written beside it and renamed over it."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at, beside = fs.Path(path), fs.Path(f"{path}-{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    files = at.getFileSystem(conf)
+    out = files.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    over[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(beside), files.makeQualified(at), over)
+
+
 @dataclass
 class Store:
     """Collections by name, in namespaces: a folder for each."""

@@ -417,3 +417,34 @@ def test_retriever_strategies(spark):
     stats = embeddings.pair_stats(vectors).first()
     assert stats.mean == pytest.approx((0 + 2 * 0.707107) / 3, abs=1e-5)
     assert retrieval.hyde(vectors.withColumn("g", F.lit(1)), "g").count() == 1
+
+
+def test_collections_grow_and_are_read_while_they_are_written(spark, tmp_path):
+    import threading
+
+    c = Collection(spark, str(tmp_path / "c"), 2, buckets=2, most=20).create()
+    rows = lambda a, b: spark.createDataFrame([(f"k{i}", [float(i), 1.0], {"n": str(i)}, None) for i in range(a, b)], "id string, embedding array<float>, metadata map<string,string>, document string").withColumn("updated_at", F.current_timestamp())
+    seen, failed, stop = [], [], threading.Event()
+
+    def read():
+        other = Collection(spark, str(tmp_path / "c"), 2)
+        while not stop.is_set():
+            try:
+                seen.append(other.count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for k in range(4):
+            c.upsert(rows(30 * k, 30 * k + 30))
+    finally:
+        stop.set()
+        reader.join()
+    assert not failed and set(seen) <= {0, 30, 60, 90, 120} and seen == sorted(seen)
+    assert c.info()["count"] == 120 and c.info()["buckets"] > 2
+    assert sum(n for _, n in c._parts().values()) == 120
+    again = Collection(spark, str(tmp_path / "c"), 2)
+    again.upsert(rows(0, 10)).delete(F.col("metadata")["n"].cast("int") >= 100)
+    assert sorted(r.id for r in c.rows().collect()) == sorted(f"k{i}" for i in range(100))
