@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import caching, domains, retrieval
+from tessera.operators import caching, domains, fusion, retrieval
 from tessera.plans import retriever
 from tessera.plans.predicates import where
 from tessera.registry import SQL, query, table
@@ -50,6 +50,25 @@ def _register() -> None:
     run.__name__ = "retrieve_threshold"
     query(f"SELECT * FROM ({linear}) WHERE score >= 0.5")(run)
 
+    @query(f"WITH {lists} SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(0.6 * coalesce(sa, 0) + 0.4 * coalesce(sb, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(sa, sb) DESC, sa IS NULL, coalesce(ra, rb), id) AS rank FROM (SELECT query_id, id, score AS sa, rank AS ra FROM a) FULL JOIN (SELECT query_id, id, score AS sb, rank AS rb FROM b) USING (query_id, id)) WHERE rank <= 8")
+    def fuse_two_modal(spark, d):
+        """Results of two kinds, scored together and ordered by the score that each came with."""
+        from tessera.catalog import _lists
+
+        return fusion.two_modal(*_lists(spark, d), 8, 0.4)
+
+    answer = "'Score: ' || (id % 13) || CASE WHEN id % 3 = 0 THEN '.5' ELSE '' END || chr(10) || 'of 10'"
+    given = "CASE WHEN v > 1 AND v <= 10 THEN v / 10 ELSE v END"
+
+    @query(f"WITH a AS ({cosine}), s AS (SELECT query_id, id, CAST(regexp_replace(split_part({answer}, chr(10), 1), '[^0-9.]', '', 'g') AS DOUBLE) AS v FROM a) " + best.format(f"SELECT query_id, id, round({given}, 6) AS score FROM s"))
+    def rerank_rated(spark, d):
+        """Results in the order of a model's ratings; made answers stand for the model's."""
+        from tessera.catalog import _vec
+
+        found = _vec("cosine")(spark, d)
+        said = F.concat(F.lit("Score: "), (F.col("id") % 13).cast("string"), F.when(F.col("id") % 3 == 0, ".5").otherwise(""), F.lit("\nof 10"))
+        return retrieval.top_k(found.select("query_id", "id", F.round(T.rated(said), 6).alias("score")), 5)
+
     letters = "list_transform(range(97, 123), lambda i: length(lower({0})) - length(replace(lower({0}), chr(i::INT), '')))::DOUBLE[]"
 
     @query(f"""WITH r AS MATERIALIZED ({words}), v AS MATERIALIZED (SELECT doc_id AS id, {letters.format('text')} AS v FROM documents WHERE text <> '' AND doc_id IN (SELECT id FROM r)), q AS MATERIALIZED (SELECT item_id AS query_id, {letters.format("('query: ' || text)")} AS q FROM benchmark)

@@ -361,3 +361,28 @@ def language_of_file(path: Column) -> Column:
     """Programming language by file extension (fixed values)."""
     known = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "c": "c", "cpp": "cpp", "cs": "csharp", "go": "go", "rb": "ruby", "php": "php", "rs": "rust", "scala": "scala", "kt": "kotlin", "swift": "swift", "html": "html", "css": "css"}
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))), F.lit("unknown"))
+
+
+#: Fields of a model's JSON answer that may hold its score, in order (fixed values).
+SCORE_FIELDS = ("score", "relevance", "relevance_score")
+
+
+def rated(answer: Column, method: str = "direct") -> Column:
+    """The score from 0 to 1 that a model's answer to a request for a rating gives; 0 where it gives none.
+
+    direct: the digits and dots of the first line as a number; json: the first score field of what stands between the first and the last brace; scale_1_10, scale_1_5: the digits and dots of the whole answer, within
+    the scale. Numbers above 1 up to 10 count as tenths (those of a scale of 5 as fifths); direct and json pass others on as they are.
+    """
+    number = lambda c: F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
+    if method == "direct":
+        value = number(F.substring_index(F.regexp_replace(answer, r"^[ \t\n\r\f\x0B]+", ""), "\n", 1))
+    elif method == "json":
+        body = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+        value = F.coalesce(*(F.get_json_object(body, f"$.{name}") for name in SCORE_FIELDS)).try_cast("double")
+    elif method in ("scale_1_10", "scale_1_5"):
+        top = int(method.rsplit("_", 1)[1])
+        value = number(answer)
+        return F.when((value >= 1) & (value <= top), value / top).otherwise(0.0)
+    else:
+        raise ValueError(method)
+    return F.coalesce(F.when((value > 1) & (value <= 10), value / 10).otherwise(value), F.lit(0.0))

@@ -140,3 +140,16 @@ def explained(a: DataFrame, b: DataFrame, k: int, wa: float = 0.5, wb: float = 0
 def rerank(results: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """New scores(query_id, id, score) in place of the old; ids without one are dropped."""
     return ranked(results.select("query_id", "id").join(scores.select("query_id", "id", "score"), ["query_id", "id"]), k)
+
+
+def two_modal(texts: DataFrame, images: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+    """(query_id, id, score, rank) of results by text and by image: score is their sum weighted 1 - weight and weight, a missing one 0.
+
+    The order is not by that score: it is by the score that a result came with, by text if it is there, else by image, and of equal ones those by text, in their order, come first.
+    """
+    a = texts.select("query_id", "id", F.col("score").alias("_a"), F.col("rank").alias("_ra"))
+    b = images.select("query_id", "id", F.col("score").alias("_b"), F.col("rank").alias("_rb"))
+    both = a.join(b, ["query_id", "id"], "full")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("_a", "_b")), F.col("_a").isNull(), F.coalesce("_ra", "_rb"), "id")
+    score = F.round((1 - weight) * F.coalesce("_a", F.lit(0.0)) + weight * F.coalesce("_b", F.lit(0.0)), 6)
+    return both.select("query_id", "id", score.alias("score"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.functions import vectors as V
 from tessera.operators import chunking, corpus, domains
 from tessera.plans import retriever
@@ -122,3 +123,13 @@ def test_retriever_with_functions_of_the_caller(spark):
     embed = lambda c: F.array(F.regexp_count(c, F.lit("dog")).cast("double"), F.regexp_count(c, F.lit("cat")).cast("double"))
     got = retriever.Retriever(docs, vectors, "contextual", weights=(0.0, 1.0), embed=embed, template="about {query}").retrieve(q, 2)
     assert [r.id for r in got.orderBy("rank").collect()] == [2, 3]
+
+
+def test_ratings_of_a_model(spark):
+    cases = [
+        ("direct", " 8\nas said", 0.8), ("direct", "Score: 0.75", 0.75), ("direct", "about 12", 12.0), ("direct", "none", 0.0), ("direct", "1.2.3", 0.0), ("direct", None, 0.0), ("direct", "", 0.0), ("direct", "\n\n7/10", 0.0 + 710),
+        ("json", 'well: {"score": 7, "why": "x"} so', 0.7), ("json", '{"relevance": "0.4"}', 0.4), ("json", '{"relevance_score": 11}', 11.0), ("json", '{"other": 1}', 0.0), ("json", "{broken", 0.0), ("json", "no", 0.0),
+        ("scale_1_10", "I say 7.", 0.7), ("scale_1_10", "7 of 10", 0.0), ("scale_1_10", "0.5", 0.0), ("scale_1_5", "4", 0.8), ("scale_1_5", "6", 0.0),
+    ]
+    for method, answer, want in cases:
+        assert spark.createDataFrame([(answer,)], "a string").select(text.rated(F.col("a"), method).alias("s")).first().s == pytest.approx(want), (method, answer)
