@@ -1,6 +1,7 @@
 """Vector collections: a table of vectors with metadata, and the operations of a vector store over it.
 
-A collection is a folder of Parquet versions; each write adds a version and swaps the pointer, one small file, by a rename, so readers see the old version or the new one.
+A collection is a folder of Parquet versions. Each write adds a version and a numbered pointer to it, one small file that comes to its name by a rename; the greatest number is current. No file
+changes once it is there, so readers see the old version or the new one, and of two writers that started from one version the second is refused.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from tessera.operators.retrieval import top_k, vector_scores
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string, updated_at timestamp"
-_POINTER = "version string, dimension int, metric string, buckets int, moved timestamp"
 _PARTS = "bucket int, folder string, n bigint"
 
 
@@ -30,9 +31,7 @@ class Collection:
     metric: str = "cosine"
     buckets: int = 16
     most: int = 200_000
-
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
+    _number: int = 0
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
@@ -45,14 +44,15 @@ class Collection:
         version = f"{self.path}/m-{uuid.uuid4().hex}"
         self.spark.createDataFrame(parts, _PARTS).coalesce(1).write.json(version)
         moved = self.spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\") AS t").first().t
-        swap(self.spark, self._pointer(), json.dumps({"version": version, "dimension": self.dimension, "metric": self.metric, "buckets": self.buckets, "moved": moved}))
+        add_pointer(self.spark, self.path, self._number + 1, json.dumps({"version": version, "dimension": self.dimension, "metric": self.metric, "buckets": self.buckets, "moved": moved}))
+        self._number += 1
         return self
 
     def _parts(self) -> dict[int, tuple[str, int]]:
         """Folder and rows of each bucket that has any: as many as there are buckets at most. The number of buckets is the current version's."""
-        now = self.spark.read.schema(_POINTER).json(self._pointer()).first()
-        self.buckets = now.buckets
-        return {r.bucket: (r.folder, r.n) for r in self.spark.read.schema(_PARTS).json(now.version).collect()}
+        self._number, now = pointer(self.spark, self.path)
+        self.buckets = now["buckets"]
+        return {r.bucket: (r.folder, r.n) for r in self.spark.read.schema(_PARTS).json(now["version"]).collect()}
 
     def _save(self, rows: DataFrame, touched: set[int], kept: dict[int, tuple[str, int]]) -> Collection:
         """rows are all of the touched buckets; kept are the others."""
@@ -106,26 +106,49 @@ class Collection:
 
     def info(self) -> dict:
         """dimension, metric, buckets, count and the time of the last write."""
-        r = self.spark.read.schema(_POINTER).json(self._pointer()).first()
-        return {"dimension": r.dimension, "metric": r.metric, "buckets": r.buckets, "updated_at": r.moved, "count": self.count()}
+        now = pointer(self.spark, self.path)[1]
+        return {"dimension": now["dimension"], "metric": now["metric"], "buckets": now["buckets"], "updated_at": datetime.fromisoformat(now["moved"]), "count": self.count()}
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """(query_id, id, score, rank); the condition holds before the k best are taken."""
         return top_k(vector_scores(queries, self.rows(), self.metric, where, "id", "embedding"), k)
 
 
-def swap(spark: SparkSession, path: str, text: str) -> None:
-    """Puts text into a file in one step: it is written beside it and renamed over it."""
+def _pointers(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def pointer(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The number and content of a collection's current pointer."""
+    at, files = _pointers(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    name = max(n for n in names if n[0].isdigit())
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(at, name))
+    try:
+        return int(name), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def add_pointer(spark: SparkSession, path: str, number: int, text: str) -> None:
+    """Writes a pointer beside its name and renames it, which fails if the number is taken."""
     fs = spark._jvm.org.apache.hadoop.fs
-    at, beside = fs.Path(path), fs.Path(f"{path}-{uuid.uuid4().hex}")
-    conf = spark._jsc.hadoopConfiguration()
-    files = at.getFileSystem(conf)
+    at, files = _pointers(spark, path)
+    files.mkdirs(at)
+    beside, name = fs.Path(at, f"_{uuid.uuid4().hex}"), fs.Path(at, f"{number:012d}")
     out = files.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    over = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-    over[0] = getattr(fs, "Options$Rename").OVERWRITE
-    fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(beside), files.makeQualified(at), over)
+    plain = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    plain[0] = getattr(fs, "Options$Rename").NONE
+    try:
+        fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(beside), files.makeQualified(name), plain)
+    except Exception as e:
+        if files.exists(name):
+            files.delete(beside, False)
+            raise RuntimeError(f"another write made version {number} first") from e
+        raise
 
 
 @dataclass
@@ -150,11 +173,11 @@ class Store:
         return Collection(self.spark, self._folder(name, namespace), dimension, metric, buckets).create()
 
     def open(self, name: str, namespace: str = "default") -> Collection:
-        r = self.spark.read.schema(_POINTER).json(f"{self._folder(name, namespace)}/current").first()
-        return Collection(self.spark, self._folder(name, namespace), r.dimension, r.metric, r.buckets)
+        now = pointer(self.spark, self._folder(name, namespace))[1]
+        return Collection(self.spark, self._folder(name, namespace), now["dimension"], now["metric"], now["buckets"])
 
     def exists(self, name: str, namespace: str = "default") -> bool:
-        at, files = self._files(f"{self._folder(name, namespace)}/current")
+        at, files = self._files(f"{self._folder(name, namespace)}/pointers")
         return files.exists(at)
 
     def list(self, namespace: str = "default") -> list[str]:

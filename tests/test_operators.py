@@ -448,3 +448,9 @@ def test_collections_grow_and_are_read_while_they_are_written(spark, tmp_path):
     again = Collection(spark, str(tmp_path / "c"), 2)
     again.upsert(rows(0, 10)).delete(F.col("metadata")["n"].cast("int") >= 100)
     assert sorted(r.id for r in c.rows().collect()) == sorted(f"k{i}" for i in range(100))
+    stale, other = Collection(spark, str(tmp_path / "c"), 2), Collection(spark, str(tmp_path / "c"), 2)
+    parts = stale._parts()
+    other.delete(F.col("id") == "k1")
+    with pytest.raises(RuntimeError, match="first"):
+        stale._point([(b, f, n) for b, (f, n) in parts.items()])
+    assert c.count() == 99
