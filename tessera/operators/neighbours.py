@@ -185,8 +185,8 @@ class Degrees:
 
 
 def within(q: np.ndarray, p: np.ndarray, eps: float) -> np.ndarray:
-    """Whether rows of q and p are at most eps apart, by their distance rounded to six places."""
-    return np.rint(np.sqrt(squares(q, p)) * 1e6) <= round(eps * 1e6)
+    """Whether rows of q and p are at most eps apart, by their distance rounded to six places: no root is taken, so the bound is half a place beyond eps."""
+    return squares(q, p) <= ((round(eps * 1e6) + 0.5) / 1e6) ** 2
 
 
 class Links:
@@ -204,43 +204,47 @@ class Links:
     def take(self, rows) -> None:
         ids, p, core = rows.field("id").to_numpy(zero_copy_only=False), matrix(rows, "v"), rows.field("core").to_numpy(zero_copy_only=False).astype(bool)
         best, who = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
+        rows, cols = [], []
         for a in range(0, len(self.ids), AT_ONCE):
             q = self.q[a : a + AT_ONCE]
-            micro = np.rint(np.sqrt(squares(q, p)) * 1e6).astype(np.int64)
-            near = micro <= round(self.eps * 1e6)
-            self.join(a, near[:, core], ids[core])
-            if not core.all():  # the nearest core of each border point, of equal ones that of the smallest id
-                part = np.where(near[:, ~core], micro[:, ~core], np.iinfo(np.int64).max)
+            near = within(q, p, self.eps)
+            i, j = np.nonzero(near & core)
+            rows.append((i + a).astype(np.int32))
+            cols.append(j.astype(np.int32))
+            at = np.flatnonzero(~core & near.any(axis=0))
+            if len(at):  # the nearest core of each border point, of equal ones that of the smallest id
+                part = np.where(near[:, at], np.rint(np.sqrt(squares(q, p[at])) * 1e6).astype(np.int64), np.iinfo(np.int64).max)
                 least = part.min(axis=0)
                 first = np.where(part == least, self.ids[a : a + AT_ONCE, None], np.iinfo(np.int64).max).min(axis=0)
-                better = (least < best[~core]) | ((least == best[~core]) & (least < np.iinfo(np.int64).max) & (first < who[~core]))
-                at = np.flatnonzero(~core)[better]
+                better = (least < best[at]) | ((least == best[at]) & (first < who[at]))
+                at = at[better]
                 best[at], who[at] = least[better], first[better]
+        self.join(np.concatenate(rows), np.concatenate(cols), ids)
         on = who >= 0
         self.border.append((ids[on], who[on], best[on]))
 
-    def join(self, a: int, near: np.ndarray, ids: np.ndarray) -> None:
-        """Points of a tile join the members of the block near them into one group: labels fall to the least of the group until none changes."""
-        rows, cols = near.any(axis=1), near.any(axis=0)
-        if not cols.any():
+    def join(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> None:
+        """Points j of a tile join the members i of the block near them into one group: labels fall to the least of the group until none changes. Each point is given once."""
+        if not len(i):
             return
-        near, at = near[np.ix_(rows, cols)], np.flatnonzero(rows) + a
-        self.out.append((ids[cols], at[near.argmax(axis=0)]))
+        met, first = np.unique(j, return_index=True)
+        self.out.append((ids[met], i[first]))
         while True:
-            label = self.label[at]
-            through = np.where(near, label[:, None], len(self.ids)).min(axis=0)
-            new = np.where(near, through, len(self.ids)).min(axis=1)
-            if (new == label).all():
+            through = np.full(len(ids), len(self.ids))
+            np.minimum.at(through, j, self.label[i])
+            new = through[j]
+            if (new >= self.label[i]).all():
                 return
-            np.minimum.at(self.label, label, new)  # the old group's first member goes along
-            np.minimum.at(self.label, at, new)
+            np.minimum.at(self.label, self.label[i], new)  # the old group's first member goes along
+            np.minimum.at(self.label, i, new)
             while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
     def finish(self):
-        a = [self.ids, *(x for x, _ in self.out), *(x for x, _, _ in self.border)]
-        b = [self.ids[self.label], *(self.ids[self.label[y]] for _, y in self.out), *(y for _, y, _ in self.border)]
-        links = len(self.ids) + sum(len(x) for x, _ in self.out)
+        moved = np.flatnonzero(self.label != np.arange(len(self.ids)))
+        a = [self.ids[moved], *(x for x, _ in self.out), *(x for x, _, _ in self.border)]
+        b = [self.ids[self.label[moved]], *(self.ids[self.label[y]] for _, y in self.out), *(y for _, y, _ in self.border)]
+        links = len(moved) + sum(len(x) for x, _ in self.out)
         d = np.concatenate([np.full(links, -1), *(z for _, _, z in self.border)]) / 1e6
         return np.concatenate(a), np.concatenate(b), d
 
