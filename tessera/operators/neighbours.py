@@ -21,6 +21,8 @@ from tessera.tables import components, n_partitions, written
 
 #: Query vectors that a task holds, points of a tile, and rows of the block that are compared with a tile at once.
 BLOCK, TILE, AT_ONCE = 8192, 1024, 1024
+#: Points that a task takes at least before a block's tiles are dealt over more tasks.
+SLICE = 1 << 16
 
 
 def matrix(rows: pa.StructScalar | pa.Array, name: str) -> np.ndarray:
@@ -39,15 +41,15 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 def meetings(queries: DataFrame, points: DataFrame, worker: Callable, schema: str, near: Callable[[Column], Column] = F.array, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """What workers make of each block of queries(cell, id, v, ...) and the tiles of points(cell, id, v, ...) in the cells near(cell).
 
-    worker() gives an object with start(rows) for a block, take(rows) for each tile, finish() for the arrays of its result. A block's tiles are dealt over several tasks where there are fewer
-    blocks than partitions, so a worker's results are to be merged by id.
+    worker() gives an object with start(rows) for a block, take(rows) for each tile, finish() for the arrays of its result. A block's tiles are dealt over several tasks, each with SLICE points or more, where there are
+    fewer blocks than partitions, so a worker's results are to be merged by id.
     """
     spark = queries.sparkSession
     ship(spark)
     asked = written(packed(queries, block), "blocks")
     told = written(packed(points, tile), "tiles")
     parts = n_partitions(spark)
-    slices = max(1, min(-(-parts // max(1, asked.count())), told.count()))
+    slices = max(1, min(-(-parts // max(1, asked.count())), told.count() * tile // SLICE))
     where = asked.select(F.col("cell").alias("to"), F.col("h").alias("qh"))
     sent = told.select(F.explode(near(F.col("cell"))).alias("to"), F.pmod(F.xxhash64("cell", "h"), F.lit(slices)).cast("int").alias("slice"), "rows").join(where, "to")
     each = asked.select(F.col("cell").alias("to"), F.col("h").alias("qh"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), F.col("rows").alias("asked"))
@@ -82,55 +84,79 @@ def squares(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * (q @ p.T), 0.0)
 
 
+class Metric:
+    """raw(q, p): a number for each pair that grows with the distance; micro(raw): the distance in micro-units, rounded; bound(micro): raw values above it have greater distances."""
+
+    def __init__(self, raw: Callable[[np.ndarray, np.ndarray], np.ndarray], squared: bool = False):
+        self.raw, self.squared = raw, squared
+
+    def micro(self, raw: np.ndarray) -> np.ndarray:
+        return np.rint((np.sqrt(raw) if self.squared else raw) * 1e6).astype(np.int64)
+
+    def bound(self, micro: np.ndarray) -> np.ndarray:
+        at = (micro + 0.5) / 1e6
+        return at * np.abs(at) * (1 + 1e-12) if self.squared else at
+
+
+#: Stands for no point yet.
+NONE = np.iinfo(np.int64).max
+
+
 class Nearest:
-    """The k points of least distance (micro-units, rounded) to each query, of equal ones those of the smallest id."""
+    """The k points of least distance (micro-units, rounded) to each query, of equal ones those of the smallest id.
+
+    Only points of a tile that are no farther than a query's k-th best so far are looked at again, so after the first tiles a tile costs its matrix product.
+    """
 
-    def __init__(self, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], other: bool):
-        self.k, self.distance, self.other = k, distance, other
+    def __init__(self, k: int, metric: Metric, other: bool):
+        self.k, self.metric, self.other = k, metric, other
 
     def start(self, rows) -> None:
         self.ids, self.q = rows.field("id").to_numpy(zero_copy_only=False), matrix(rows, "v")
         n = len(self.ids)
-        self.best, self.found = np.full((n, self.k), np.iinfo(np.int64).max), np.full((n, self.k), -1)
+        self.best, self.found = np.full((n, self.k), NONE), np.full((n, self.k), -1)
 
     def take(self, rows) -> None:
         ids, p = rows.field("id").to_numpy(zero_copy_only=False), self.points(rows)
-        order = np.argsort(ids, kind="stable")
-        ids, p = ids[order], p[order]
-        none = np.iinfo(np.int64).max
         for a in range(0, len(self.ids), AT_ONCE):
             b = min(len(self.ids), a + AT_ONCE)
-            micro = np.rint(self.distance(self.q[a:b], p) * 1e6).astype(np.int64)
-            far = 1 << 42 if not micro.size or micro.max() < 1 << 42 else none
+            raw = self.metric.raw(self.q[a:b], p)
+            last = self.best[a:b, -1]
+            on = raw <= np.where(last < NONE, self.metric.bound(last), np.inf)[:, None]
             if self.other:
-                micro[self.ids[a:b, None] == ids] = far
-            if len(ids) <= self.k:
-                at = np.broadcast_to(np.arange(len(ids)), micro.shape)
-            elif far < none:  # by distance, then id: the place in the tile follows the id
-                at = np.argpartition((micro << 20) + np.arange(len(ids)), self.k - 1, axis=1)[:, : self.k]
-            else:
-                at = np.argsort(micro, axis=1, kind="stable")[:, : self.k]
-            near, who = np.take_along_axis(micro, at, 1), ids[at]
-            who[near >= far] = -1
-            near[near >= far] = none
-            near, who = np.concatenate((self.best[a:b], near), 1), np.concatenate((self.found[a:b], who), 1)
-            order = np.lexsort((who, near), axis=1)[:, : self.k]
-            self.best[a:b], self.found[a:b] = np.take_along_axis(near, order, 1), np.take_along_axis(who, order, 1)
+                on &= self.ids[a:b, None] != ids
+            if len(ids) > self.k and np.count_nonzero(on) > 8 * self.k * len(on):  # the tile's own k-th best of each query first
+                kth = np.partition(np.where(on, raw, np.inf), self.k - 1, axis=1)[:, self.k - 1]
+                full = np.isfinite(kth)
+                on &= raw <= np.where(full, self.metric.bound(self.metric.micro(np.where(full, kth, 0.0))), np.inf)[:, None]
+            i, j = np.nonzero(on)
+            if len(i):
+                self.merge(a, i, self.metric.micro(raw[i, j]), ids[j])
+
+    def merge(self, a: int, i: np.ndarray, micro: np.ndarray, ids: np.ndarray) -> None:
+        """Takes candidates of rows a + i (in order of i) into the rows' best."""
+        rows = np.unique(i)
+        row = np.concatenate((np.repeat(rows, self.k), i))
+        near, who = np.concatenate((self.best[a + rows].ravel(), micro)), np.concatenate((self.found[a + rows].ravel(), ids))
+        order = np.lexsort((who, near, row))
+        first = np.searchsorted(row[order], rows)
+        at = order[first[:, None] + np.arange(self.k)]
+        self.best[a + rows], self.found[a + rows] = near[at], who[at]
 
     def points(self, rows) -> np.ndarray:
         return matrix(rows, "v")
 
     def finish(self):
-        q, j = np.nonzero(self.best < np.iinfo(np.int64).max)
+        q, j = np.nonzero(self.best < NONE)
         return self.ids[q], self.found[q, j], self.best[q, j] / 1e6
 
 
-def _distance(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def _metric(name: str) -> Metric:
     def unit(x):
         size = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    return {"l2": lambda q, p: np.sqrt(squares(q, p)), "cosine": lambda q, p: -(unit(q) @ unit(p).T), "dot": lambda q, p: -(q @ p.T)}[metric]
+    return {"l2": Metric(squares, True), "cosine": Metric(lambda q, p: -(unit(q) @ unit(p).T)), "dot": Metric(lambda q, p: -(q @ p.T))}[name]
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", other: bool = True) -> DataFrame:
@@ -142,7 +168,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", i
     if k < 1:
         raise ValueError("k must be positive")
     rows = lambda df: df.where(F.col(vector).isNotNull()).select(F.lit(0).alias("cell"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    found = meetings(rows(queries), rows(points), lambda: Nearest(k, _distance(metric), other), "query_id long, id long, distance double")
+    found = meetings(rows(queries), rows(points), lambda: Nearest(k, _metric(metric), other), "query_id long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 

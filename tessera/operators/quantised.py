@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import score
-from tessera.operators.neighbours import AT_ONCE, Nearest, matrix, meetings
+from tessera.operators.neighbours import AT_ONCE, Metric, Nearest, matrix, meetings
 from tessera.operators.retrieval import top_k
 from tessera.session import ship
 
@@ -101,12 +101,12 @@ class Coded(Nearest):
     """The codes of least distance to each query, by sums of its table's entries."""
 
     def __init__(self, k: int, books: Codebooks, metric: str):
-        super().__init__(k, self.summed, False)
-        self.books, self.metric = books, metric
+        super().__init__(k, Metric(self.summed), False)
+        self.books, self.kind = books, metric
 
     def start(self, rows) -> None:
         super().start(rows)
-        self.q = self.books.tables(self.q, self.metric)
+        self.q = self.books.tables(self.q, self.kind)
 
     def points(self, rows) -> np.ndarray:
         return np.frombuffer(b"".join(rows.field("code").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)

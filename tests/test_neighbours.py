@@ -48,6 +48,7 @@ def plain_graph(rows, k):
 def test_nearest(spark, table, rows, monkeypatch, block, tile):
     meet = neighbours.meetings
     monkeypatch.setattr(neighbours, "meetings", lambda q, p, w, s, **kw: meet(q, p, w, s, block=block, tile=tile, **kw))
+    monkeypatch.setattr(neighbours, "SLICE", 2 * tile)  # several slices
     got = {}
     for r in neighbours.nearest(table, table, 7).collect():
         got.setdefault(r.query_id, []).append((r.distance, r.id, r.rank))
@@ -122,6 +123,7 @@ def plain_dbscan(rows, eps, least):
 def test_dbscan(table, rows, eps, least, axes, monkeypatch):
     meet = neighbours.meetings
     monkeypatch.setattr(neighbours, "meetings", lambda q, p, w, s, near: meet(q, p, w, s, near, block=60, tile=25))
+    monkeypatch.setattr(neighbours, "SLICE", 50)
     want = plain_dbscan(rows, eps, least) | {9000: (None, False), 9001: (None, False)}
     got = {r.vec_id: (r.cluster, r.is_core) for r in neighbours.dbscan(table, eps, least, axes=axes).collect()}
     assert got == want
