@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import top_k, vector_scores
+from tessera.operators.retrieval import vector_scores
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string, updated_at timestamp"
 _PARTS = "bucket int, folder string, n bigint"
@@ -111,7 +111,7 @@ class Collection:
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """(query_id, id, score, rank); the condition holds before the k best are taken."""
-        return top_k(vector_scores(queries, self.rows(), self.metric, where, "id", "embedding"), k)
+        return vector_scores(queries, self.rows(), self.metric, where, "id", "embedding", k=k)
 
 
 def _pointers(spark: SparkSession, path: str):
