@@ -24,7 +24,7 @@ def vector_queries(spark, d) -> DataFrame:
 
 
 def _vec(metric):
-    return lambda spark, d: retrieval.top_k(retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings"), metric), 10)
+    return lambda spark, d: retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings"), metric, k=10)
 
 
 _D = "list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)"
@@ -57,7 +57,7 @@ def vec_topk_dot(spark, d):
 
 @query(_vec_sql("cosine", cond="b.label % 2 = 0"))
 def vec_topk_filtered(spark, d):
-    return retrieval.top_k(retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings"), "cosine", F.col("label") % 2 == 0), 10)
+    return retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings"), "cosine", F.col("label") % 2 == 0, k=10)
 
 
 @query("SELECT label, CAST(i - 1 AS INT) AS place, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
@@ -784,7 +784,7 @@ def augment_swap(spark, d):
 
 @query(f"WITH r AS ({_vec_sql('cosine', 3)}) SELECT query_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n) AS context FROM (SELECT query_id, substr(d.text, 1, 80) AS t, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r JOIN documents d ON d.doc_id = r.id) GROUP BY query_id")
 def context_numbered(spark, d):
-    found = retrieval.top_k(retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings")), 3)
+    found = retrieval.vector_scores(vector_queries(spark, d), table(spark, d, "embeddings"), k=3)
     return corpus.context(found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "text", 80, "\n")
 
 
