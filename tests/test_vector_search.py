@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.operators import embeddings, neighbours, retrieval
+from tessera.functions import text as T
+from tessera.functions.vectors import dot, l2, normalized
+from tessera.operators import embeddings, fusion, retrieval
 
 
 def rows_of(df):
@@ -61,3 +63,46 @@ def test_inverted_file_meets_cells_as_blocks(spark, made):
     want = retrieval.top_k(retrieval.vector_scores(q, made), 5)
     assert rows_of(found.select(*want.columns)) == rows_of(want)
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fused_halves_are_rounded_up(spark):
+    a = spark.createDataFrame([(1, 2, 0.1, 1)], "query_id long, id long, score double, rank int")
+    b = spark.createDataFrame([(1, 3, 0.466205, 1)], "query_id long, id long, score double, rank int")
+    assert [r.score for r in fusion.keep_best([a, b], 2).collect()] == [0.419585, 0.1]
+
+
+def plain_pairs(made, q, least):
+    u = made.select("vec_id", normalized(F.col("embedding")).alias("u"))
+    pairs = u.alias("x").join(u.alias("y"), F.col("x.vec_id") != F.col("y.vec_id")).where(f"x.vec_id {q}")
+    return pairs.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(dot(F.col("x.u"), F.col("y.u")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def test_pairs_profile_and_distances_of_products(spark, made):
+    v = made.where("vec_id % 4 = 0").unionByName(spark.createDataFrame([(9000, None), (9001, [1.0, None, 2.0]), (9002, [1.0])], "vec_id long, embedding array<double>"))
+    q = v.where("vec_id % 9 = 0")
+    assert rows_of(embeddings.similar(v, q, 0.9)) == rows_of(plain_pairs(v, "% 9 = 0", 0.9))
+    got = embeddings.similarity_profile(v, q, 0.5).first()
+    want = plain_pairs(v, "% 9 = 0", -2.0).agg(F.count("*").alias("n"), F.count_if(F.col("similarity") >= 0.5).alias("close"), F.min("similarity").alias("lo"), F.max("similarity").alias("hi"), F.median("similarity").alias("m")).first()
+    assert (got.pairs, got.close, got.min, got.max, got.median) == (want.n, want.close, want.lo, want.hi, round(want.m, 5))
+    e = v.where("size(embedding) = 3 AND NOT array_contains(transform(embedding, x -> x IS NULL), true)")
+    q = e.where("vec_id % 9 = 0")
+    d = e.alias("x").join(q.alias("y"), F.col("x.vec_id") != F.col("y.vec_id")).select(F.col("y.vec_id").alias("vec_id"), F.round(l2(F.col("x.embedding"), F.col("y.embedding")), 6).alias("d"))
+    want = d.groupBy("vec_id").agg(F.round(F.avg("d"), 5).alias("any"), F.slice(F.sort_array(F.collect_list("d")), 1, 5).alias("s")).select("vec_id", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / 5, 5))
+    assert rows_of(embeddings.knn_distance(e, q, 5)) == rows_of(want)
+
+
+@pytest.mark.parametrize("name", ["vec_pairs_threshold", "vec_knn_outliers", "vec_similarity_profile"])
+def test_pairs_of_vectors_are_no_rows(spark, name):
+    text = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoopJoin BuildRight, Inner, NOT" not in text and "NestedLoopJoin BuildLeft, Inner, NOT" not in text
+
+
+def test_words_of_kinds_end_at_letters_beyond_ascii(spark):
+    asked = ["der bestä", "besten", "ébest", "what is it?", "what\nis it?", "_best"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "i long, t string").select("i", T.query_kind(F.col("t")).alias("k")).orderBy("i")
+    assert [r.k for r in rows.collect()] == ["comparative", "other", "comparative", "factual", "other", "other"]
+
+
+def test_distances_that_are_none_come_last(spark):
+    v = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [3.0]), (4, None), (5, [float("nan")])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, repr(r.distance)) for r in embeddings.knn_distance(v, v, 2).orderBy("vec_id").collect()] == [(1, "2.0"), (2, "1.5"), (3, "2.5"), (4, "None"), (5, "nan")]
