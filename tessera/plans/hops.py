@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import let
+from tessera.operators.retrieval import counted
 from tessera.tables import written
 
 
@@ -19,7 +20,7 @@ def frequent_words(text: Column, n: int = 8, least: int = 5) -> Column:
     """A question of a text's n most frequent words of `least` letters or more, in order of their number, then the alphabet; null if it has none."""
 
     def of(words: Column) -> Column:
-        each = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("k"), w.alias("w")))
+        each = F.transform(counted(words), lambda x: F.struct((-x["tf"]).alias("k"), x["term"].alias("w")))
         return F.array_join(F.transform(F.slice(F.array_sort(each), 1, n), lambda x: x["w"]), " ")
 
     out = let(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}]{{{least},}}"), F.lit(0)), of)
