@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import jaccard, let, ngrams, tfidf_cosine, tokens
 from tessera.operators.statistics import at_ranks, beside
 from tessera.session import ship
+from tessera.tables import n_partitions, written
 
 
 def judged(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -142,7 +143,8 @@ def overlap_by_content(results: DataFrame, truth: DataFrame, threshold: float =
     """
     r = results.where("content <> ''").select("query_id", F.monotonically_increasing_id().alias("r"), F.col("content").alias("a"))
     t = truth.where("content <> ''").select("query_id", F.monotonically_increasing_id().alias("t"), F.col("content").alias("b"))
-    pairs = r.join(t, "query_id").select("query_id", "r", "t", similarity(F.col("b"), F.col("a")).alias("s"))
+    dealt = lambda df: df.repartition(n_partitions(df.sparkSession), "query_id")  # noqa: E731  by number: the texts are few bytes for their work, so AQE would leave it to few tasks
+    pairs = written(dealt(r).join(dealt(t), "query_id").select("query_id", "r", "t", similarity(F.col("b"), F.col("a")).alias("s")), "pairs")
 
     def best(side: str, name: str) -> DataFrame:
         per = pairs.groupBy("query_id", side).agg(F.max("s").alias("s"))

@@ -78,3 +78,22 @@ def test_slices_of_a_block_go_to_tasks_by_turns(spark):
     found = neighbours.meet(asked, told, n, lambda: neighbours.Top(3, "dot", False), "query_id long, id long, score double")
     sizes = found.rdd.mapPartitions(lambda rows: [len({r.query_id for r in rows})]).collect()
     assert sizes == [10] * n  # by the hash of four keys a task can be without any
+
+
+def test_pairs_of_contents_are_scored_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import metrics
+
+    rows = [(i, f"text {i % 3} of query {i}") for i in range(40)]
+    results = spark.createDataFrame(rows, "query_id long, content string")
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def likeness(a, b):
+        n.add(1)
+        return 1.0 if a == b else 0.0
+
+    out = metrics.overlap_by_content(results, results, similarity=likeness).collect()
+    assert {r.content_f1 for r in out} == {1.0} and len(out) == 40
+    assert n.value == 40  # 80 when either side's best match scored the pairs anew
