@@ -59,6 +59,13 @@ def test_searches_make_no_row_of_each_pair(spark, name):
     assert not pairs_as_rows(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+@pytest.mark.parametrize("name", ["retrieve_bm25_vector"])
+def test_fused_searches_meet_as_blocks(spark, name):
+    """Two searches, then a fusion of short lists: both are products of matrices, and no join makes a row of each pair."""
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not pairs_as_rows(df) and df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 2
+
+
 def test_inverted_file_meets_cells_as_blocks(spark, made):
     index, centres = embeddings.ivf(made, 4)
     q = made.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
