@@ -59,7 +59,7 @@ def test_searches_make_no_row_of_each_pair(spark, name):
     assert not pairs_as_rows(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
-@pytest.mark.parametrize("name", ["retrieve_bm25_vector", "retrieve_weighted", "fuse_rrf_missing_zero", "fuse_two_modal", "retrieve_contextual", "fuse_interleave"])
+@pytest.mark.parametrize("name", ["retrieve_bm25_vector", "retrieve_weighted", "fuse_rrf_missing_zero", "fuse_two_modal", "retrieve_contextual", "fuse_interleave", "retrieve_vector_keyword"])
 def test_fused_searches_meet_as_blocks(spark, name):
     """Two searches, then a fusion of short lists: both are products of matrices, and no join makes a row of each pair."""
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
