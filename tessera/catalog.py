@@ -78,13 +78,13 @@ def vec_pairs_threshold(spark, d):
 
 
 _KNN = f"""SELECT vec_id, round(avg(d), 5) AS distance FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, b) AS r FROM (
-  SELECT a.vec_id, b.vec_id AS b, round(sqrt(list_sum(list_transform({_D}, lambda x: x * x))), 6) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE r <= 5 GROUP BY vec_id"""
+  SELECT a.vec_id, b.vec_id AS b, round(sqrt(list_sum(list_transform({_D}, lambda x: x * x))), 6) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE r <= 5 GROUP BY vec_id"""
 
 
 @query(f"WITH k AS ({_KNN}) SELECT vec_id, distance, distance > (SELECT quantile_cont(distance, 0.9) FROM k) AS is_outlier FROM k")
 def vec_knn_outliers(spark, d):
     v = table(spark, d, "embeddings")
-    return embeddings.outliers(embeddings.knn_distance(v, v.where("vec_id % 50 = 0"), 5), 0.1)
+    return embeddings.outliers(embeddings.knn_distance(v, v, 5), 0.1)
 
 
 @query("""SELECT label, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12), 6)) AS vector FROM (
