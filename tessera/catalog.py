@@ -71,10 +71,10 @@ def vec_pair_stats(spark, d):
     return embeddings.pair_stats(table(spark, d, "embeddings"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_SCORES['cosine']}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND round({_SCORES['cosine']}, 6) >= 0.3")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_SCORES['cosine']}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND round({_SCORES['cosine']}, 6) >= 0.3")
 def vec_pairs_threshold(spark, d):
     v = table(spark, d, "embeddings")
-    return embeddings.similar(v, v.where("vec_id % 50 = 0"), 0.3)
+    return embeddings.similar(v, v, 0.3)
 
 
 _KNN = f"""SELECT vec_id, round(avg(d), 5) AS distance FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, b) AS r FROM (

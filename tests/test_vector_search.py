@@ -5,13 +5,14 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import text as T
 from tessera.functions.vectors import dot, l2, normalized
-from tessera.operators import embeddings, fusion, retrieval
+from tessera.operators import embeddings, fusion, neighbours, retrieval
 from tessera.plans.hops import frequent_words
 
 
@@ -131,3 +132,12 @@ def test_frequent_words_of_long_texts(spark):
         counts = Counter(x for x in t.split() if len(x) >= 5)
         assert w == " ".join(sorted(counts, key=lambda x: (-counts[x], x))[:3])
     assert got[16:] == [None, None, None]
+
+
+def test_pairs_of_copies_leave_in_parts():
+    """A tile of copies makes a pair of each two: they leave a slice at a time, not as one result."""
+    rows = lambda a, n: pa.StructArray.from_arrays([pa.array(range(a, a + n)), pa.array([[1.0, 2.0]] * n)], ["id", "v"])
+    worker = neighbours.Pairs(0.9, "unit")
+    worker.start(rows(0, 1500))
+    parts = list(worker.take(rows(1000, 1000)))
+    assert sum(len(a) for a, _, _ in parts) == 1500 * 1000 - 500 and max(len(a) for a, _, _ in parts) <= neighbours.SLICE

@@ -34,3 +34,9 @@ def test_outliers_of_few_or_no_distances(spark):
     got = {r.vec_id: r.is_outlier for r in embeddings.outliers(rows, 0.5).collect()}
     assert got == {1: False, 2: False, 3: True, 4: None}
     assert [r.is_outlier for r in embeddings.outliers(rows.where("vec_id = 4"), 0.5).collect()] == [None]
+
+
+def test_pairs_of_every_row_are_found(spark, tmp_path):
+    vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [-1.0, 0.0]), (50, [0.0, -1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r.a, r.b) for r in catalog.vec_pairs_threshold(spark, str(tmp_path)).collect()) == [(1, 2), (2, 1)]
