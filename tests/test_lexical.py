@@ -97,3 +97,12 @@ def test_pairs_of_contents_are_scored_once(spark):
     out = metrics.overlap_by_content(results, results, similarity=likeness).collect()
     assert {r.content_f1 for r in out} == {1.0} and len(out) == 40
     assert n.value == 40  # 80 when either side's best match scored the pairs anew
+
+
+def test_blocks_hold_numbers_as_bytes(spark):
+    """A block goes to many tasks: of 40 queries of 500 words each it has a few bytes a word, not a row."""
+    rows = spark.range(20000).selectExpr("id % 40 AS query_id", "id div 40 * 3 AS t", "1 + id % 2 AS qtf", "1.0 / (1 + id div 40) AS idf")
+    blocks = lexical._blocks(rows).collect()
+    assert sorted(i for b in blocks for r in b.rows for i in r["ids"]) == list(range(40))
+    assert sum(len(r[c]) for b in blocks for r in b.rows for c in ("n", "weight", "words", "code", "tf")) < 8 * 20000
+    assert lexical._blocks(rows.limit(0)).count() == 0
